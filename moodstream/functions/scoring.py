@@ -84,15 +84,14 @@ def keyword_lean(
     return F.sign(balance).cast("int")
 
 
-def _pick(lean: Column, below: Column, middle: Column, above: Column) -> Column:
-    # One array lookup instead of CASE branches per field: the scan over the text happens once.
-    return F.element_at(F.array(below, middle, above), lean + 2)
-
-
 def keyword_prediction(
     text: Column | str, positive: list[str] | None = None, negative: list[str] | None = None
 ) -> Column:
-    """Keyword scorer with its fixed confidence, polarity and subjectivity."""
+    """Keyword scorer with its fixed confidence, polarity and subjectivity.
+
+    The outcome is looked up in a constant array.  CASE branches per field would make each branch
+    lower and scan the text again.
+    """
 
     def outcome(label: str, confidence: float, polarity: float, subjectivity: float) -> Column:
         return F.struct(
@@ -102,13 +101,15 @@ def keyword_prediction(
             F.lit(subjectivity).alias("subjectivity"),
         )
 
-    scored = _pick(
-        keyword_lean(text, positive, negative),
+    blank = outcome("neutral", 0.0, 0.0, 0.0)
+    outcomes = F.array(
         outcome("negative", 0.5, -0.3, 0.5),
         outcome("neutral", 0.5, 0.0, 0.5),
         outcome("positive", 0.5, 0.3, 0.5),
     )
-    return F.when(is_blank(text), outcome("neutral", 0.0, 0.0, 0.0)).otherwise(scored)
+    blanks = F.array(blank, blank, blank)
+    lean = keyword_lean(text, positive, negative)
+    return F.coalesce(F.element_at(F.when(is_blank(text), blanks).otherwise(outcomes), lean + 2), blank)
 
 
 def keyword_sentiment(text: Column | str) -> Column:
@@ -118,10 +119,8 @@ def keyword_sentiment(text: Column | str) -> Column:
         return F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"))
 
     neutral = outcome("neutral", 0.0)
-    lean = keyword_lean(text)
-    return F.coalesce(
-        _pick(lean, outcome("negative", -0.3), neutral, outcome("positive", 0.3)), neutral
-    )
+    outcomes = F.array(outcome("negative", -0.3), neutral, outcome("positive", 0.3))
+    return F.coalesce(F.element_at(outcomes, keyword_lean(text) + 2), neutral)
 
 
 def star_prediction(stars_label: Column | str, score: Column | str, text: Column | None = None) -> Column:

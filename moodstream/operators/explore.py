@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodstream.functions.text import ngrams, topic_tokens
@@ -17,12 +17,9 @@ from moodstream.operators.topics import word_rows
 def ngram_counts(posts: DataFrame, longest: int = 3, *, text: str = "text") -> DataFrame:
     """Occurrences of every run of 1 … ``longest`` topic words; runs never cross posts."""
     words = posts.select(topic_tokens(text, stop_words()).alias("_words"))
-
-    def sized(n: int) -> Column:
-        return F.transform(ngrams("_words", n), lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("ngram")))
-
-    grams = words.select(F.explode(F.concat(*[sized(n) for n in range(1, longest + 1)])).alias("gram")).select("gram.*")
-    return grams.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("count"))
+    runs = F.concat(*[ngrams("_words", n) for n in range(1, longest + 1)])
+    counts = words.select(F.explode(runs).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
+    return counts.select(F.size(F.split("ngram", " ")).alias("n"), "ngram", "count")
 
 
 def tfidf_keywords(posts: DataFrame, k: int = 5, *, key: str = "id", text: str = "text") -> DataFrame:

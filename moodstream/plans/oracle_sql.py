@@ -55,8 +55,8 @@ def _clean(text: str, strict: bool = False) -> str:
 
 
 def _words(text: str) -> str:
-    letters = f"regexp_replace({text}, '{tx.NOT_LETTERS}', '', 'g')"
-    return f"string_split_regex(lower({letters}), '{tx.TOKEN_SPLIT}')"
+    letters = rf"regexp_replace({text}, '[^a-zA-Z\s]', '', 'g')"
+    return rf"string_split_regex(lower({letters}), '\s+')"
 
 
 def _kept(word: str = "word") -> str:
@@ -119,7 +119,8 @@ CASE WHEN {GAUGE} >= 65 THEN 'positive' WHEN {GAUGE} <= 40 THEN 'negative' ELSE
 count FROM ({HOURLY})"""
 
 WORDS = f"""SELECT doc_id, label, word FROM (
-SELECT doc_id, {LABEL} AS label, unnest({_words("text")}) AS word FROM documents) WHERE {_kept()}"""
+WITH scored AS MATERIALIZED (SELECT doc_id, {LABEL} AS label, {_words("text")} AS words FROM documents)
+SELECT doc_id, label, unnest(words) AS word FROM scored) WHERE {_kept()}"""
 COUNTS = f"SELECT word, label, count(*) AS count FROM ({WORDS}) GROUP BY 1, 2"
 TOP100 = f"SELECT * FROM ({COUNTS}) ORDER BY count DESC, word, label LIMIT 100"
 TOPICS = f"""SELECT word, count, label AS sentiment_association FROM (SELECT *,
@@ -298,8 +299,9 @@ ORACLES: dict[str, str] = {
         coalesce(label, 'neutral') AS label,
         CASE WHEN id::BIGINT % 3 = 0 THEN 'No content' ELSE title END AS content FROM ({SERVED})""",
     "topic_counts": COUNTS,
-    "topic_counts_cleaned": f"""SELECT word, label, count(*) AS count FROM (
-        SELECT {LABEL} AS label, unnest({_words(_clean("text"))}) AS word FROM ({PAGE_TEXTS}))
+    "topic_counts_cleaned": f"""WITH scored AS MATERIALIZED (
+        SELECT {LABEL} AS label, {_words(_clean("text"))} AS words FROM ({PAGE_TEXTS}))
+        SELECT word, label, count(*) AS count FROM (SELECT label, unnest(words) AS word FROM scored)
         WHERE {_kept()} GROUP BY 1, 2""",
     "topics_top100": TOP100,
     "topics_dedup": TOPICS,

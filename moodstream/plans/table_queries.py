@@ -55,6 +55,10 @@ def _fields(frame: DataFrame, key: str, prediction: Column) -> DataFrame:
     return frame.select(key, prediction.alias("_p")).select(key, "_p.*")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return t.spread(t.documents(spark, folder).select("doc_id", "text"))
+
+
 # Ingest
 
 
@@ -145,7 +149,7 @@ def preview_text(spark, folder):
 
 @query
 def word_tokens(spark, folder):
-    words = topics.word_rows(t.documents(spark, folder), "doc_id")
+    words = topics.word_rows(_texts(spark, folder), "doc_id")
     return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
@@ -154,7 +158,7 @@ def word_tokens(spark, folder):
 
 @query
 def keyword_sentiment(spark, folder):
-    return _fields(t.documents(spark, folder), "doc_id", scoring.keyword_prediction("text"))
+    return _fields(_texts(spark, folder), "doc_id", scoring.keyword_prediction("text"))
 
 
 @query
@@ -177,7 +181,7 @@ def polarity_confidence(spark, folder):
 def polarity_lexicon(spark, folder):
     learned = t.lexicon_of_labels(spark, folder)
     scored = lexicon.with_lexicon_scores(
-        t.documents(spark, folder).select("doc_id", "text"), learned, key="doc_id"
+        _texts(spark, folder), learned, key="doc_id"
     )
     named = scored.select(
         "doc_id", "polarity", "subjectivity",
@@ -245,7 +249,7 @@ def _keyword_stars(column: Column) -> Column:
 @query
 def analyze_posts(spark, folder):
     analyzed = analyze(
-        t.documents(spark, folder).select("doc_id", "text"),
+        _texts(spark, folder),
         {"bert": _keyword_stars, "lstm": scoring.keyword_prediction},
     )
     return analyzed.select(
@@ -274,7 +278,7 @@ def _keyword_model(positive: list[str], negative: list[str]):
 @query
 def model_scorer(spark, folder):
     scored = models.score_with_model(
-        t.documents(spark, folder).select("doc_id", "text"),
+        _texts(spark, folder),
         _keyword_model(POSITIVE_WORDS, NEGATIVE_WORDS),
     )
     return scored.select("doc_id", "bert.*")
@@ -459,17 +463,17 @@ def topic_bars(spark, folder):
 
 @query
 def word_cloud(spark, folder):
-    return _rounded(explore.word_cloud(t.documents(spark, folder)), "weight")
+    return _rounded(explore.word_cloud(_texts(spark, folder)), "weight")
 
 
 @query
 def ngram_counts(spark, folder):
-    return explore.ngram_counts(t.documents(spark, folder))
+    return explore.ngram_counts(_texts(spark, folder))
 
 
 @query
 def tfidf_keywords(spark, folder):
-    return explore.tfidf_keywords(t.documents(spark, folder), key="doc_id")
+    return explore.tfidf_keywords(_texts(spark, folder), key="doc_id")
 
 
 # Streaming
@@ -563,7 +567,7 @@ def hot_sql(spark, folder):
 
 @query
 def weak_labels(spark, folder):
-    return learn.weak_labels(t.documents(spark, folder)).select("doc_id", "label")
+    return learn.weak_labels(_texts(spark, folder)).select("doc_id", "label")
 
 
 @query
@@ -575,9 +579,7 @@ def labelled_texts(spark, folder):
 
 
 def _training(spark, folder):
-    return learn.attach_labels(
-        t.documents(spark, folder).select("doc_id", "text"), t.true_labels(spark, folder), "doc_id"
-    )
+    return learn.attach_labels(_texts(spark, folder), t.true_labels(spark, folder), "doc_id")
 
 
 @query
@@ -589,10 +591,10 @@ def rf_train_metrics(spark, folder):
 @query
 def rf_predict(spark, folder):
     model = learn.train(_training(spark, folder))
-    predicted = learn.predict(model, t.documents(spark, folder).select("doc_id", "text"))
+    predicted = learn.predict(model, _texts(spark, folder))
     return learn.probability_scores(predicted).select("doc_id", "rf.label", "rf.confidence", "score")
 
 
 @query
 def lda_topics(spark, folder):
-    return explore.lda_topics(t.documents(spark, folder))
+    return explore.lda_topics(_texts(spark, folder))

@@ -24,6 +24,16 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Share the rows of a table kept in fewer files than there are cores.
+
+    A Parquet row group is read by one task, so heavy text work on a table of one small file would
+    leave the other cores idle.  A table of many files is left as it is: no shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def _event_micros() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
@@ -48,7 +58,7 @@ def scored_posts(
     spark: SparkSession, folder: str, scorer: Scorer = keyword_sentiment
 ) -> DataFrame:
     """Flat posts with their sentiment; the text is scored where it is scanned."""
-    texts = scored_documents(spark, folder, scorer).drop("lang", "n_chars")
+    texts = scored_documents(spark, folder, scorer)
     return _as_posts(texts.join(authors(spark, folder), "doc_id"), "text", "sentiment")
 
 
@@ -61,7 +71,8 @@ def _as_posts(joined: DataFrame, *more: str) -> DataFrame:
 def scored_documents(
     spark: SparkSession, folder: str, scorer: Scorer = keyword_sentiment
 ) -> DataFrame:
-    return documents(spark, folder).withColumn("sentiment", scorer(F.col("text")))
+    texts = documents(spark, folder).select("doc_id", "lang", "source", "text")
+    return spread(texts).withColumn("sentiment", scorer(F.col("text")))
 
 
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +128,7 @@ def true_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def lexicon_of_labels(spark: SparkSession, folder: str) -> DataFrame:
     """A lexicon learned from the labelled documents; it grows with them."""
-    labelled = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id")
+    labelled = spread(documents(spark, folder).select("doc_id", "text")).join(table(spark, folder, "labels"), "doc_id")
     words = labelled.select("quality", "toxic", F.explode(tokens("text")).alias("word"))
     lean = F.col("quality") - F.col("toxic")
     return (
@@ -129,13 +140,11 @@ def lexicon_of_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, and web pages with their address in front: texts with links, signs and numbers."""
-    plain = documents(spark, folder).select(
-        F.concat(F.lit("d"), "doc_id").alias("id"), "text"
-    )
-    pages = table(spark, folder, "pages").select(
-        F.concat(F.lit("p"), "page_id").alias("id"), F.concat_ws(" ", "url", "html").alias("text")
+    plain = spread(documents(spark, folder).select("doc_id", "text"))
+    pages = spread(table(spark, folder, "pages"))
+    return plain.select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(
+        pages.select(F.concat(F.lit("p"), "page_id").alias("id"), F.concat_ws(" ", "url", "html").alias("text"))
     )
-    return plain.unionByName(pages)
 
 
 def predictions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
