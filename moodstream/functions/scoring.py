@@ -78,10 +78,14 @@ def _hits(text: Column, words: list[str]) -> Column:
 def keyword_lean(
     text: Column | str, positive: list[str] | None = None, negative: list[str] | None = None
 ) -> Column:
-    """-1, 0 or +1: which list has more of its words somewhere in the text (each at most once)."""
+    """-1, 0 or +1: which list has more of its words somewhere in the text (each at most once).
+
+    Null text leans nowhere.  The result must not be null: ``element_at`` on a constant array takes
+    the last element for a null index (seen on Spark 4.1.2).
+    """
     lowered = F.lower(_column(text))
     balance = _hits(lowered, positive or POSITIVE_WORDS) - _hits(lowered, negative or NEGATIVE_WORDS)
-    return F.sign(balance).cast("int")
+    return F.coalesce(F.sign(balance).cast("int"), F.lit(0))
 
 
 def keyword_prediction(
@@ -109,7 +113,7 @@ def keyword_prediction(
     )
     blanks = F.array(blank, blank, blank)
     lean = keyword_lean(text, positive, negative)
-    return F.coalesce(F.element_at(F.when(is_blank(text), blanks).otherwise(outcomes), lean + 2), blank)
+    return F.element_at(F.when(is_blank(text), blanks).otherwise(outcomes), lean + 2)
 
 
 def keyword_sentiment(text: Column | str) -> Column:
@@ -120,7 +124,7 @@ def keyword_sentiment(text: Column | str) -> Column:
 
     neutral = outcome("neutral", 0.0)
     outcomes = F.array(outcome("negative", -0.3), neutral, outcome("positive", 0.3))
-    return F.coalesce(F.element_at(outcomes, keyword_lean(text) + 2), neutral)
+    return F.element_at(outcomes, keyword_lean(text) + 2)
 
 
 def star_prediction(stars_label: Column | str, score: Column | str, text: Column | None = None) -> Column:

@@ -88,6 +88,9 @@ def without_copies(
 ) -> DataFrame:
     """First copy of each post; copies further apart than ``delay`` count as new.
 
+    Like every watermarked query it drops posts older than the watermark, and with them those whose
+    time is missing (0).
+
     With ``salts`` above 1 the copies of one very hot post are first thinned out in that many
     groups, so no single task receives all of them.
     """
