@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from moodstream.functions.text import ngrams, topic_tokens
 from moodstream.functions.wordlists import stop_words
-from moodstream.operators.lookup import SALTS
 from moodstream.operators.topics import word_rows
 
 
@@ -22,25 +21,29 @@ def ngram_counts(posts: DataFrame, longest: int = 3, *, text: str = "text") -> D
     return counts.select(F.size(F.split("ngram", " ")).alias("n"), "ngram", "count")
 
 
-def tfidf_keywords(posts: DataFrame, k: int = 5, *, key: str = "id", text: str = "text") -> DataFrame:
+def tfidf_keywords(
+    posts: DataFrame, k: int = 5, *, key: str = "id", text: str = "text", salts: int = 8
+) -> DataFrame:
     """The ``k`` words of each post with the highest ``tf * ln((N + 1) / (df + 1))``.
 
     The term counts of one very common word are spread over salts before they meet its document
     frequency, which is repeated once per salt.
     """
     term_counts = word_rows(posts, key, text=text).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-    salt = F.pmod(F.hash(F.col(key)), F.lit(SALTS))
+    # A salt that cannot be null, and reading ``tf`` below, keep both uses of the term counts alike:
+    # the plan computes them once.
+    salt = F.coalesce(F.pmod(F.hash(F.col(key)), F.lit(salts)), F.lit(0))
     spread = term_counts.withColumn("_salt", salt)
-    frequency = term_counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    repeated = frequency.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    frequency = term_counts.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    repeated = frequency.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     documents = posts.agg(F.count(F.lit(1))).scalar()
+    rarity = F.log((documents + 1) / (F.col("df") + 1))
+    # Rounding first keeps ties exact, so the order does not hang on the last digit.
     weighted = spread.join(repeated, ["word", "_salt"]).select(
-        key, "word", "tf", "df", (F.col("tf") * F.log((documents + 1) / (F.col("df") + 1))).alias("tfidf")
+        key, "word", "tf", "df", F.round(F.col("tf") * rarity, 6).alias("tfidf")
     )
-    # Rounding first keeps ties exact, so the order does not hang on the last digit.
-    ranked = weighted.withColumn("tfidf", F.round("tfidf", 6))
     best = Window.partitionBy(key).orderBy(F.desc("tfidf"), "word")
-    return ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return weighted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def word_cloud(posts: DataFrame, n: int = 50, *, text: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ SALTS = 32
 
 
 def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``frame`` has at most ``rows`` rows; reads no more than one row beyond."""
+    """True when ``frame`` has at most ``rows`` rows; counts no more than one row beyond."""
     return frame.limit(rows + 1).count() <= rows
 
 
@@ -21,10 +21,11 @@ def join_word_list(
     """Join word occurrences to a word list on ``word``.
 
     A list of checked size is broadcast.  A longer one is shuffled with every entry repeated once
-    per salt, so the occurrences of one very frequent word spread over ``salts`` tasks.
+    per salt, so the occurrences of one very frequent word spread over ``salts`` tasks.  The salt
+    is the number of the input partition: a task that runs again deals its rows the same way.
     """
     if is_small(listed, rows):
         return words.join(F.broadcast(listed), "word", how)
-    spread = words.withColumn("_salt", F.floor(F.rand() * salts).cast("int"))
+    spread = words.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     repeated = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, ["word", "_salt"], how).drop("_salt")

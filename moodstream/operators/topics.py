@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moodstream.functions.display import round_half_up
 from moodstream.functions.text import tokens
 from moodstream.functions.wordlists import ENGLISH_STOP_WORDS, SOCIAL_STOP_WORDS
-from moodstream.operators.lookup import join_word_list
+from moodstream.operators.lookup import is_small, join_word_list
 
 # A topic word is longer than this; sizes of the stored, served and drawn lists.
 MIN_LENGTH = 4
@@ -46,10 +46,22 @@ def _names(columns: tuple[str, ...]) -> list[str]:
     return [name.rsplit(".", 1)[-1] for name in columns]
 
 
-def topic_counts(scored: DataFrame, label: str = "sentiment.label", **options) -> DataFrame:
-    """Occurrences per ``(word, label)``; counts are summed before and after the shuffle."""
-    words = word_rows(scored.withColumn("label", F.col(label)), "label", **options)
-    return words.groupBy("word", "label").agg(F.count(F.lit(1)).alias("count"))
+def topic_counts(
+    scored: DataFrame, label: str = "sentiment.label", *, stops: DataFrame | None = None, **options
+) -> DataFrame:
+    """Occurrences per ``(word, label)``; counts are summed before and after the shuffle.
+
+    A stop list too long to broadcast is applied to the counts, where every word is rare.
+    """
+    labelled = scored.withColumn("label", F.col(label))
+
+    def counted(words: DataFrame) -> DataFrame:
+        return words.groupBy("word", "label").agg(F.count(F.lit(1)).alias("count"))
+
+    if stops is None or is_small(stops):
+        return counted(word_rows(labelled, "label", stops=stops, **options))
+    every_word = stops.where(F.lit(False))
+    return counted(word_rows(labelled, "label", stops=every_word, **options)).join(stops, "word", "left_anti")
 
 
 def top_topics(counts: DataFrame, n: int = STORED) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Answers read from the hot tables of a run."""
+"""Answers read from the hot tables of a run.
+
+The two short lists describe the last batch (``scope="batch"``) or, read from the cold store, every
+post of the run (``scope="all"``); totals and trends always cover the run.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from moodstream.operators import posts as post_ops
 from moodstream.operators import topics as topic_ops
 from moodstream.operators import trends as trend_ops
+from moodstream.sources.lake import read_cold
 from moodstream.streaming import state
 
 
-def latest_posts(spark: SparkSession, root: str, n: int = post_ops.SERVED) -> DataFrame:
-    return post_ops.served_posts(state.read_list(spark, root, "posts_recent"), n)
+def _everything(scope: str) -> bool:
+    if scope not in ("batch", "all"):
+        raise ValueError("scope is 'batch' or 'all'")
+    return scope == "all"
+
+
+def latest_posts(
+    spark: SparkSession, root: str, n: int = post_ops.SERVED, scope: str = "batch"
+) -> DataFrame:
+    if _everything(scope):
+        stored = post_ops.recent_posts(read_cold(spark, f"{root}/cold"), n)
+    else:
+        stored = state.read_list(spark, root, "posts_recent")
+    return post_ops.served_posts(stored, n)
+
+
+def topics(
+    spark: SparkSession, root: str, n: int = topic_ops.SERVED, scope: str = "batch"
+) -> DataFrame:
+    if _everything(scope):
+        stored = topic_ops.trending_topics(read_cold(spark, f"{root}/cold"))
+    else:
+        stored = state.read_list(spark, root, "trending_topics")
+    return topic_ops.served_topics(stored, n)
 
 
 def stats(spark: SparkSession, root: str) -> DataFrame:
@@ -25,7 +52,3 @@ def trends(spark: SparkSession, root: str, period: str = "1h", as_of: float | No
 
 def trend_summary(spark: SparkSession, root: str, period: str = "1h", as_of: float | None = None) -> DataFrame:
     return trend_ops.trend_direction(trends(spark, root, period, as_of))
-
-
-def topics(spark: SparkSession, root: str, n: int = topic_ops.SERVED) -> DataFrame:
-    return topic_ops.served_topics(state.read_list(spark, root, "trending_topics"), n)

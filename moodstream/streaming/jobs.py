@@ -96,6 +96,6 @@ def without_copies(
     """
     timed = _event_time(posts).withWatermark("event_time", delay)
     if salts > 1:
-        spread = timed.withColumn("_salt", F.floor(F.rand() * salts))
+        spread = timed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         timed = spread.dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
     return timed.dropDuplicatesWithinWatermark(list(key)).drop("event_time")

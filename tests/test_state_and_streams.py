@@ -36,6 +36,8 @@ def test_repeated_batch_replaces_itself_and_totals_are_exact(spark, tmp_path):
     assert [r.id for r in serve.latest_posts(spark, root, 3).collect()] == ["16", "15", "14"]
     assert serve.latest_posts(spark, root, 50).count() == 7  # the last non-empty batch
     assert {r.word for r in serve.topics(spark, root).collect()} == {"morning", "planets", "terrible", "weather", "plain", "words"}
+    assert serve.latest_posts(spark, root, 50, scope="all").count() == 17
+    assert serve.topics(spark, root, scope="all").where("word = 'planets'").first()["count"] == 6
     totals = labels.running_totals(state.read_parts(spark, root, "label_parts"))
     assert [r.total for r in totals.orderBy("batch_id").collect()] == [10, 17]
 

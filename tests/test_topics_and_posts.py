@@ -47,6 +47,14 @@ def test_long_stop_list_gives_the_same_words_as_a_short_one(spark):
     assert "planets" not in {r.word for r in broadcast.collect()}
 
 
+def test_stop_list_too_long_to_broadcast_is_applied_to_the_counts(spark, monkeypatch):
+    stops = spark.createDataFrame([("planets",), ("rising",)], "word string")
+    short = topics.topic_counts(scored(spark), stops=stops)
+    monkeypatch.setattr(topics, "is_small", lambda frame: False)
+    long = topics.topic_counts(scored(spark), stops=stops)
+    assert short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty() and long.count() == 3
+
+
 def test_lexicon_average_and_salted_join_agree(spark):
     words = spark.createDataFrame(
         [("planets", 0.5, 1.0), ("galaxies", -1.0, 0.5)], "word string, polarity double, subjectivity double"
