@@ -28,7 +28,7 @@ from moodstream.operators import (
 from moodstream.plans import serve
 from moodstream.plans.analyze import analyze
 from moodstream.schemas import CORRUPT
-from moodstream.session import scratch, use_streaming_state
+from moodstream.session import scratch, use_streaming_state, written
 from moodstream.sources import events, lake, testtables as t
 from moodstream.streaming import jobs, state
 
@@ -179,7 +179,7 @@ def polarity_confidence(spark, folder):
 
 @query
 def polarity_lexicon(spark, folder):
-    learned = t.lexicon_of_labels(spark, folder)
+    learned = written(t.lexicon_of_labels(spark, folder), "lexicon")
     scored = lexicon.with_lexicon_scores(
         _texts(spark, folder), learned, key="doc_id"
     )
@@ -579,7 +579,8 @@ def labelled_texts(spark, folder):
 
 
 def _training(spark, folder):
-    return learn.attach_labels(_texts(spark, folder), t.true_labels(spark, folder), "doc_id")
+    texts = t.documents(spark, folder).select("doc_id", "text")
+    return written(learn.attach_labels(texts, t.true_labels(spark, folder), "doc_id"), "training")
 
 
 @query

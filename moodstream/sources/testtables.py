@@ -24,14 +24,22 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+# A table of at most this size may be dealt out again to use all cores.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(frame: DataFrame) -> DataFrame:
-    """Share the rows of a table kept in fewer files than there are cores.
+    """Share the rows of a small table kept in fewer files than there are cores.
 
-    A Parquet row group is read by one task, so heavy text work on a table of one small file would
-    leave the other cores idle.  A table of many files is left as it is: no shuffle.
+    A Parquet row group is read by one task, so heavy text work on a small one-file table would
+    leave the other cores idle.  A large table, or one of many files, is left as it is: no shuffle.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+    spark = frame.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, frame.inputFiles()
+    if len(files) >= cores:
+        return frame
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return frame.repartition(cores) if size <= SPREAD_BYTES else frame
 
 
 def _event_micros() -> Column:

@@ -61,6 +61,13 @@ def test_period_cutoff_reaches_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(time," in plan(trends.in_period(series, "6h", 1704067200))
 
 
+def test_only_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    few = t.documents(spark, FOLDER)
+    assert "RoundRobinPartitioning" in plan(t.spread(few))
+    monkeypatch.setattr(t, "SPREAD_BYTES", 1000)
+    assert "Exchange" not in plan(t.spread(few))
+
+
 def test_many_files_are_not_shuffled(spark, tmp_path):
     path = str(tmp_path / "many")
     spark.range(64).repartition(16).select(F.col("id").cast("string").alias("text")).write.parquet(path)
