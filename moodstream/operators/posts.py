@@ -23,15 +23,28 @@ def latest_with_details(keys: DataFrame, details: DataFrame, n: int, on: str = "
     return F.broadcast(latest(keys, n)).join(details, on)
 
 
-def recent_posts(scored: DataFrame, n: int = STORED) -> DataFrame:
-    """Stored form of the newest posts."""
-    return latest(scored, n).select(
+def stored_form(scored: DataFrame) -> DataFrame:
+    return scored.select(
         "id", "source", "timestamp", "text",
         F.col("sentiment.label").alias("label"), F.col("sentiment.score").alias("score"),
         "created_at",
     )
 
 
+def recent_posts(scored: DataFrame, n: int = STORED, key: tuple[str, ...] = ("did", "id")) -> DataFrame:
+    """Stored form of the newest ``n`` distinct posts.
+
+    Copies are folded and the choice is made on key and time alone; then the ``n`` chosen keys are
+    broadcast to pick their rows out of the scan, so no text is shuffled but that of the result.
+    """
+    newest = latest(scored.groupBy(*key).agg(F.max("timestamp").alias("timestamp")), n)
+    columns = [*key, "timestamp"]
+    chosen = newest.select(*[F.col(name).alias(f"_{name}") for name in columns])
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in columns]
+    rows = scored.join(F.broadcast(chosen), same, "left_semi")
+    return stored_form(rows.dropDuplicates(list(key)))
+
+
 def served_posts(stored: DataFrame, n: int = SERVED) -> DataFrame:
     """Response form: ``id, title, subreddit, sentiment``."""
     return latest(stored, n).select(

@@ -33,9 +33,12 @@ def trend_partials(
     shift: int = SHIFT_SECONDS,
     by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(bucket, sum_score, n)``, per ``by`` if given: sums merge exactly, averages would not."""
+    """``(bucket, sum_score, n)``, per ``by`` if given: sums merge exactly, averages would not.
+
+    Rows without a ``key`` count in neither, so the average fits its count.
+    """
     return scored.groupBy(*by, bucket_start(timestamp, unit, shift).alias("bucket")).agg(
-        F.sum(score).alias("sum_score"), F.count(key).alias("n")
+        F.sum(F.when(F.col(key).isNotNull(), F.col(score))).alias("sum_score"), F.count(key).alias("n")
     )
 
 

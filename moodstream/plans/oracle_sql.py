@@ -294,6 +294,7 @@ ORACLES: dict[str, str] = {
         {_r6("max(avg_score)")} AS max_avg, count(*)::BIGINT AS buckets, sum(count)::BIGINT AS posts
         FROM ({LAST_WEEK})""",
     "recent_posts": RECENT,
+    "recent_posts_distinct": RECENT,
     "latest_posts": SERVED,
     "post_feed": f"""SELECT id, coalesce(nullif(subreddit, 'src1'), 'bluesky') AS source,
         coalesce(label, 'neutral') AS label,

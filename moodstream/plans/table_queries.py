@@ -401,7 +401,7 @@ def _newest(spark, folder, n=posts.STORED):
     keys = keys.withColumn("id", F.col("doc_id").cast("string"))
     texts = t.documents(spark, folder).select("doc_id", "source", "text")
     chosen = posts.latest_with_details(keys, texts, n, on="doc_id")
-    return posts.recent_posts(scoring.score_texts(chosen), n)
+    return posts.stored_form(scoring.score_texts(chosen))
 
 
 @query
@@ -409,6 +409,13 @@ def recent_posts(spark, folder):
     return _newest(spark, folder)
 
 
+@query
+def recent_posts_distinct(spark, folder):
+    """Every post written twice: the newest distinct ones."""
+    scored = t.scored_posts(spark, folder)
+    return posts.recent_posts(scored.unionByName(scored))
+
+
 @query
 def latest_posts(spark, folder):
     served = posts.served_posts(_newest(spark, folder))

@@ -79,13 +79,13 @@ def update_state(
     """Score one batch, write it to the cold store and refresh the hot tables.
 
     The hot tables are computed from the batch as written: it is scored once, and the partials read
-    only the columns they need.  An empty batch changes nothing.
+    only the columns they need.  An empty batch changes nothing.  Posts without an id count in the
+    totals but not in the series; see ``ingest.with_id`` to set them apart first.
     """
     spark = posts.sparkSession
-    identified = posts.where(F.col("id").isNotNull()).withColumn("sentiment", scorer(F.col("text")))
-    if identified.isEmpty():
+    if posts.isEmpty():
         return
-    write_cold_batch(identified, f"{root}/cold", batch_id)
+    write_cold_batch(posts.withColumn("sentiment", scorer(F.col("text"))), f"{root}/cold", batch_id)
     batch = read_cold_batch(spark, f"{root}/cold", batch_id)
     write_parts(label_counts(batch), root, "label_parts", batch_id)
     write_parts(trend_partials(batch, unit), root, "trend_parts", batch_id)

@@ -64,10 +64,21 @@ def test_hot_tables_answer_sql(spark, tmp_path):
     assert spark.sql("SELECT sum(count) FROM hourly_trends").first()[0] == 9
 
 
-def test_posts_without_id_are_left_out(spark, tmp_path):
+def test_posts_without_id_count_in_the_totals_only(spark, tmp_path):
     frame = posts(spark, range(3)).withColumn("id", F.when(F.col("id") != "1", F.col("id")))
     state.update_state(frame, str(tmp_path), 0)
-    assert counts(state.totals(spark, str(tmp_path)))["total"] == 2
+    assert counts(state.totals(spark, str(tmp_path)))["total"] == 3
+    got = state.trends(spark, str(tmp_path)).first()
+    assert got["count"] == 2 and got.avg_score == pytest.approx(0.15)
+
+
+def test_copies_appear_once_among_the_latest(spark, tmp_path):
+    hot = posts(spark, [40] * 60)
+    no_author = posts(spark, [41]).withColumn("did", F.lit(None).cast("string"))
+    state.update_state(posts(spark, range(40)).union(hot).union(no_author), str(tmp_path), 0)
+    got = [r.id for r in serve.latest_posts(spark, str(tmp_path), 5).collect()]
+    assert got == ["41", "40", "39", "38", "37"]
+    assert counts(serve.stats(spark, str(tmp_path)))["total"] == 101
 
 
 def deliver(frame, path):
