@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD_CHARS = r"[\p{L}\p{N}_]+"
-SPACE_CLASS = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+SPACE_CLASS = r" \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x{85}\p{Z}"
 URL = r"https?://[!a-z$-_]+"
 MENTION = "@" + WORD_CHARS
 HASHTAG = f"#({WORD_CHARS})"

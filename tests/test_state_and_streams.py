@@ -173,3 +173,44 @@ def test_trend_of_state_equals_batch(spark, tmp_path):
     whole = posts(spark, range(60)).withColumn("sentiment", jobs.keyword_sentiment(F.col("text")))
     expected = {r.time: r["count"] for r in trends.trend(whole).collect()}
     assert {r.time: r["count"] for r in state.trends(spark, root).collect()} == expected
+
+
+def test_files_come_in_small_batches_and_each_once(spark, tmp_path):
+    inbox, out, checkpoint, archive = (str(tmp_path / n) for n in ("in", "out", "check", "done"))
+    event = (
+        '{"kind":"commit","did":"d","time_us":1,"commit":{"operation":"create","rkey":"%d",'
+        '"record":{"langs":["en"],"text":"hi","createdAt":"t"}}}'
+    )
+    lines = spark.createDataFrame([(event % i,) for i in range(12)] + [("{broken",)], "value string")
+    lines.repartition(4).write.text(inbox)
+
+    def run():
+        raw = events.event_line_stream(spark, inbox, files_per_trigger=1, archive=archive)
+        query = jobs.write_lake(jobs.post_stream_of(raw, sample=1.0, seed=1), out, checkpoint, once=True)
+        query.awaitTermination()
+
+    run()
+    run()
+    good, bad = events.read_posts(spark, out)
+    assert sorted(int(r.id) for r in good.collect()) == list(range(12)) and bad.isEmpty()
+
+
+def test_running_query_picks_up_new_files(spark, tmp_path):
+    inbox, root, checkpoint = (str(tmp_path / n) for n in ("in", "state", "check"))
+    deliver(posts(spark, range(5)), inbox)
+    writer = events.post_stream(spark, inbox, files_per_trigger=100).writeStream.foreachBatch(
+        lambda batch, n: state.update_state(batch, root, n)
+    )
+    query = jobs.start(writer, checkpoint, period="1 second")
+    try:
+        query.processAllAvailable()
+        deliver(posts(spark, range(5, 9)), inbox)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert counts(state.totals(spark, root))["total"] == 9
+
+
+def test_message_source_gives_lines(spark):
+    stream = events.message_stream(spark, "rate", rowsPerSecond="1")
+    assert stream.isStreaming and stream.schema.simpleString() == "struct<value:string>"

@@ -40,6 +40,14 @@ def test_clean_matches_the_described_steps(spark, strict):
     assert got == [expected(t, strict) for t in TEXTS]
 
 
+def test_every_space_character_collapses(spark):
+    codes = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    frame = spark.createDataFrame([(c,) for c in codes], "c string")
+    cleaned = text.clean_text(F.concat(F.lit("x"), "c", "c", F.lit("x")))
+    spaces = {r.c for r in frame.where(cleaned == "x x").collect()}
+    assert spaces == {c for c in codes if c.isspace()}
+
+
 def test_flags_can_keep_everything(one):
     kept = text.clean_text("text", remove_urls=False, remove_mentions=False, lowercase=False)
     assert one(kept, row=("@Bob http://a.b  C",)) == "@Bob http://a.b C"
