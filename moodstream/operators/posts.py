@@ -31,18 +31,22 @@ def stored_form(scored: DataFrame) -> DataFrame:
     )
 
 
-def recent_posts(scored: DataFrame, n: int = STORED, key: tuple[str, ...] = ("did", "id")) -> DataFrame:
-    """Stored form of the newest ``n`` distinct posts.
+def latest_distinct(posts: DataFrame, n: int, key: tuple[str, ...] = ("did", "id")) -> DataFrame:
+    """Newest ``n`` posts, each once.
 
     Copies are folded and the choice is made on key and time alone; then the ``n`` chosen keys are
     broadcast to pick their rows out of the scan, so no text is shuffled but that of the result.
     """
-    newest = latest(scored.groupBy(*key).agg(F.max("timestamp").alias("timestamp")), n)
+    newest = latest(posts.groupBy(*key).agg(F.max("timestamp").alias("timestamp")), n)
     columns = [*key, "timestamp"]
     chosen = newest.select(*[F.col(name).alias(f"_{name}") for name in columns])
     same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in columns]
-    rows = scored.join(F.broadcast(chosen), same, "left_semi")
-    return stored_form(rows.dropDuplicates(list(key)))
+    return posts.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(list(key))
+
+
+def recent_posts(scored: DataFrame, n: int = STORED) -> DataFrame:
+    """Stored form of the newest distinct posts."""
+    return stored_form(latest_distinct(scored, n))
 
 
 def served_posts(stored: DataFrame, n: int = SERVED) -> DataFrame:

@@ -412,8 +412,9 @@ def recent_posts(spark, folder):
 @query
 def recent_posts_distinct(spark, folder):
     """Every post written twice: the newest distinct ones."""
-    scored = t.scored_posts(spark, folder)
-    return posts.recent_posts(scored.unionByName(scored))
+    flat = t.posts(spark, folder)
+    chosen = posts.latest_distinct(flat.unionByName(flat), posts.STORED)
+    return posts.stored_form(scoring.score_texts(chosen))
 
 
 @query

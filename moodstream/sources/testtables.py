@@ -159,7 +159,7 @@ def predictions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Outputs of three models over the documents; the third one skipped some of them."""
     kinds = F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive"))
     events = table(spark, folder, "events")
-    texts = documents(spark, folder)
+    texts = spread(documents(spark, folder).select("doc_id", "text"))
 
     def outcome(step: int) -> list[Column]:
         return [
