@@ -50,5 +50,11 @@ def trends(spark: SparkSession, root: str, period: str = "1h", as_of: float | No
     return trend_ops.in_period(state.trends(spark, root), period, as_of)
 
 
+def trend_overview(spark: SparkSession, root: str, period: str = "1h", as_of: float | None = None) -> DataFrame:
+    """Direction, latest, lowest and highest average, and sizes, of the period."""
+    return trend_ops.summary(trends(spark, root, period, as_of))
+
+
 def trend_summary(spark: SparkSession, root: str, period: str = "1h", as_of: float | None = None) -> DataFrame:
+    """Direction and latest average of the period."""
     return trend_ops.trend_direction(trends(spark, root, period, as_of))

@@ -35,7 +35,10 @@ def test_repeated_batch_replaces_itself_and_totals_are_exact(spark, tmp_path):
     assert lake.read_cold(spark, f"{root}/cold").count() == 17
     assert [r.id for r in serve.latest_posts(spark, root, 3).collect()] == ["16", "15", "14"]
     assert serve.latest_posts(spark, root, 50).count() == 7  # the last non-empty batch
-    assert {r.word for r in serve.topics(spark, root).collect()} == {"morning", "planets", "terrible", "weather", "plain", "words"}
+    shown = {r.word for r in serve.topics(spark, root).collect()}
+    assert shown == {"morning", "planets", "terrible", "weather", "plain", "words"}
+    overview = serve.trend_overview(spark, root, as_of=100.0).first()
+    assert (overview.buckets, overview.posts, overview.trend_direction) == (1, 17, "stable")
     assert serve.latest_posts(spark, root, 50, scope="all").count() == 17
     assert serve.topics(spark, root, scope="all").where("word = 'planets'").first()["count"] == 6
     totals = labels.running_totals(state.read_parts(spark, root, "label_parts"))
