@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import mixing, sharding, simhash
+from moodstream.llm import mixing, sharding, simhash, topk, vector_dedup
 from moodstream.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,13 @@ def op7_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(table(spark, folder, "documents"), seed="mix")
+
+
+@query
+def op2_impact_top5(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search_embeddings(table(spark, folder, "embeddings"), k=5, every=50)
+
+
+@query
+def op4_vector_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_groups(table(spark, folder, "embeddings"))
