@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import mixing, sharding, simhash, topk, vector_dedup
+from moodstream.llm import language_id, mixing, sharding, simhash, topk, vector_dedup
 from moodstream.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(function):
     return function
 
 
+@query
+def op1_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, folder, "documents"))
+
+
 @query
 def op5_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=24, seed="shuffle")

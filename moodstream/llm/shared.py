@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,9 @@ def in_order(frame: DataFrame, *keys: str) -> DataFrame:
     placed = scanned.repartitionByRange(*order).sortWithinPartitions(*order).drop("_scan")
     place = F.monotonically_increasing_id()
     return placed.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at"))
+
+
+def dealt_out(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function for tasks that gives ``value``; the value, classes included, is broadcast once."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(box.value)
