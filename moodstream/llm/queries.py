@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import language_id, mixing, sharding, simhash, topk, vector_dedup
+from moodstream.llm import language_id, mixing, sharding, simhash, topk, toxicity, vector_dedup
 from moodstream.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op2_impact_top5(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_vector_groups(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_groups(table(spark, folder, "embeddings"))
+
+
+@query
+def op8_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
