@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import language_id, mixing, sharding, simhash, topk, toxicity, vector_dedup
+from moodstream.llm import html_text, language_id, mixing, sharding, simhash, topk, toxicity, vector_dedup
 from moodstream.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op2_impact_top5(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search_embeddings(table(spark, folder, "embeddings"), k=5, every=50)
 
 
+@query
+def op3_page_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op4_vector_groups(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_groups(table(spark, folder, "embeddings"))
