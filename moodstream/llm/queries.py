@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import html_text, language_id, mixing, sharding, simhash, topk, toxicity, vector_dedup
+from moodstream.llm import html_text, language_id, mixing, packing, sharding, simhash, topk, toxicity, vector_dedup
 from moodstream.llm.shared import table
 
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +36,11 @@ def op5_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=24, seed="shuffle")
 
 
+@query
+def op6_hilbert_packs(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
+
+
 @query
 def op7_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))

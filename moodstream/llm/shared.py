@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as every contract on words counts it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a task handles at once.
+PORTION = 1 << 22
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,3 +55,22 @@ def dealt_out(spark: SparkSession, value: object) -> Callable[[], object]:
     """A function for tasks that gives ``value``; the value, classes included, is broadcast once."""
     box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(box.value)
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gave the first time in this worker process; later tasks find it again."""
+    store = sys.modules.setdefault("_moodstream_remembered", ModuleType("_moodstream_remembered"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
+def portions(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``PORTION`` bytes in column ``at``; a longer text comes alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        done = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, done + PORTION, side="right")))
+        yield batch.slice(low, high - low)
+        low = high

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moodstream.llm.shared import dealt_out, held_out
+from moodstream.llm.shared import dealt_out, held_out, portions
 
 #: Labelled documents that the model is fitted on, of each kind.
 FIT_ROWS = 1500
@@ -34,8 +34,7 @@ ROUNDS = 40
 #: A sign of toxicity is in this share of the toxic texts, and this many times as frequent in them.
 SHARE, RATIO = 0.03, 8.0
 CUT = 0.7
-#: Bytes of text handled at once, and words whose weights a task remembers.
-PORTION = 1 << 22
+#: Words whose weights a task remembers.
 REMEMBERED = 500_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -251,7 +250,7 @@ def tag(frame: DataFrame, model: ToxicSpans, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memory = shared(), {}
         for batch in batches:
-            for part in _portions(batch, at):
+            for part in portions(batch, at):
                 texts = part.column(at).to_pylist()
                 scores, spans = _tagged(model, memory, texts)
                 columns = [*part.columns, pa.array(scores), pa.array(spans, arrow)]
@@ -260,19 +259,6 @@ def tag(frame: DataFrame, model: ToxicSpans, text: str = "text") -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def _portions(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about ``PORTION`` bytes of text; a longer text comes alone."""
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-    low = 0
-    while low < batch.num_rows:
-        done = sizes[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(sizes, done + PORTION, side="right")))
-        yield batch.slice(low, high - low)
-        low = high
-
-
 def _tagged(model: ToxicSpans, memory: dict[str, float], texts: list[str | None]):
     if len(memory) > REMEMBERED:
         memory.clear()
