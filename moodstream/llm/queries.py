@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import html_text, language_id, mixing, packing, sharding, simhash, topk, toxicity, vector_dedup
+from moodstream.llm import html_text, language_id, mixing, packing, secret_scan, sharding, simhash, topk, toxicity, vector_dedup
 from moodstream.llm.shared import table
 
 
@@ -70,3 +70,8 @@ def op4_vector_groups(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op10_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, folder, "documents"))
