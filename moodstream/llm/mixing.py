@@ -64,14 +64,14 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(frame: DataFrame, id_column: str = "doc_id", seed: str = "0") -> DataFrame:
     """What the mix takes of each row of ``frame`` (id, ``source``, ``size``, ``weight``).
 
-    Adds ``source_size``, ``target`` and ``taken``; drops nothing.  The document at the border of
+    Adds ``source_size``, ``target``, ``taken`` and ``key`` (the drawn key); drops nothing.  The document at the border of
     the selection gives as many words as the budget still needs, so a source's ``taken`` words add
     up to its target, rounded down.  A null source is a source; size 0 takes nothing; equal rows
     are interchangeable.  Columns that would clash are replaced.
     """
-    frame = frame.drop("source_size", "target", "taken", "part", "at", "_key")
-    keyed = written(frame.withColumn("_key", sampling_key(id_column, "weight", seed)), "keyed")
-    placed = written(in_order(keyed, "source", "_key", id_column, "size"), "mix-order")
+    frame = frame.drop("source_size", "target", "taken", "part", "at", "key")
+    keyed = written(frame.withColumn("key", sampling_key(id_column, "weight", seed)), "keyed")
+    placed = written(in_order(keyed, "source", "key", id_column, "size"), "mix-order")
     blocks = written(placed.groupBy("source", "part").agg(F.sum("size").alias("_words")), "mix-blocks")
     wanted = targets(blocks.groupBy("source").agg(F.sum("_words").alias("source_size")))
     earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -86,7 +86,7 @@ def mix(frame: DataFrame, id_column: str = "doc_id", seed: str = "0") -> DataFra
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("_start") - F.col("_within"), F.lit(0)), F.col("size"))
     taken = (epochs * F.col("size") + part).cast("long")
-    return joined.withColumn("taken", taken).drop("part", "at", "_part", "_source", "_start", "_within", "_key")
+    return joined.withColumn("taken", taken).drop("part", "at", "_part", "_source", "_start", "_within")
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -98,3 +98,28 @@ def mix_documents(documents: DataFrame, seed: str = "0") -> DataFrame:
     return mix(sized(documents), "doc_id", seed).select(
         "doc_id", "source", "size", "source_size", "target", "taken"
     )
+
+
+def resample(documents: DataFrame, seed: str = "0") -> DataFrame:
+    """``documents`` as the mix has them: each row as often as it is taken, none to three times.
+
+    Within a source the selection is all that comes up to one place in key order, so that place and
+    the number of complete epochs, one row per source, decide every row; texts are not shuffled.
+    The document at the border is taken if at least half of its words are.  Documents without words
+    go by their keys; a source without any words gives nothing.
+    """
+    found = mix(sized(documents), "doc_id", seed)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    place = F.struct(F.col("key"), F.col("doc_id"), F.col("size"))
+    extra = 2 * (F.col("taken") - epochs * F.col("size")) >= F.col("size")
+    borders = found.where("size > 0").groupBy("source").agg(
+        F.max(epochs).alias("_epochs"), F.max(F.when(extra, place)).alias("_border")
+    )
+    borders = written(borders.withColumnRenamed("source", "_source"), "borders")
+    drawn = documents.withColumns({"_size": word_count(), "_weight": quality()})
+    drawn = drawn.withColumn("_key", sampling_key("doc_id", "_weight", seed))
+    joined = drawn.join(borders, F.col("source").eqNullSafe(F.col("_source")))
+    own = F.struct(F.col("_key").alias("key"), F.col("doc_id"), F.col("_size").alias("size"))
+    copies = F.col("_epochs") + F.coalesce((own <= F.col("_border")).cast("long"), F.lit(0))
+    repeated = joined.withColumn("_copies", copies).where("_copies > 0")
+    return repeated.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*documents.columns)

@@ -51,19 +51,18 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > count, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(frame: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+def with_fingerprints(frame: DataFrame, id_column: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """``(id, more..., fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], names=[id_column, "fp"]
-            )
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64)
+            columns = [*batch.columns[1:], pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    kind = frame.schema[id_column].dataType
-    schema = T.StructType([T.StructField(id_column, kind), T.StructField("fp", T.LongType())])
-    return frame.select(id_column, text).mapInArrow(run, schema)
+    narrow = frame.select(text, id_column, *more)
+    schema = T.StructType([*narrow.schema.fields[1:], T.StructField("fp", T.LongType())])
+    return narrow.mapInArrow(run, schema)
 
 
 def close_pairs(prints: DataFrame) -> DataFrame:
@@ -160,27 +159,36 @@ def near_duplicates(frame: DataFrame, id_column: str = "doc_id", text: str = "te
     have fingerprint 0 and link like others.  Copies share a fingerprint and are grouped before any
     search.  A null id is never the smallest; a component of null ids alone has a null id.
     """
-    rows = written(with_fingerprints(frame, id_column, text), "prints")
+    return _grouped(with_fingerprints(frame, id_column, text), id_column).select(id_column, "fp", "component_id")
+
+
+def _grouped(prints: DataFrame, id_column: str) -> DataFrame:
+    """``prints`` (id, ``fp`` and more) with ``root``, a fingerprint that names the component, and
+    ``component_id``.
+    """
+    rows = written(prints, "prints")
     classes = written(rows.groupBy("fp").agg(F.min(id_column).alias("first")), "classes")
     groups = connected_components(close_pairs(classes.select("fp")))
     rooted = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = written(rooted.select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "named")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select(id_column, "fp", "component_id")
+    named = written(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "named")
+    return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def keep_one(frame: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``frame`` with one document of each near-duplicate group: the one with the smallest id.
+    """``frame`` with one row of each near-duplicate group: the smallest id, then the smallest text hash.
 
-    Of several rows with that id and text one is kept.  Rows without an id have nothing to be
-    found by and stay.
+    A null id comes after all others.  Groups are found by fingerprint, so an id that stands at
+    several texts is judged text by text; of full copies one row stays.
     """
-    groups = near_duplicates(frame, id_column, text)
-    chosen = groups.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_id")).distinct()
-    named = frame.where(F.col(id_column).isNotNull())
-    kept = named.join(chosen, F.col(id_column) == F.col("_id"), "left_semi")
-    return kept.dropDuplicates([id_column]).unionByName(frame.where(F.col(id_column).isNull()))
+    hashed = frame.withColumn("_hash", F.xxhash64(text))
+    prints = with_fingerprints(hashed, id_column, text, "_hash")
+    best = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("_id"), F.col("_hash").alias("_text")))
+    chosen = written(_grouped(prints, id_column).groupBy("root").agg(best.alias("b")).select("b._id", "b._text"), "chosen")
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    kept = hashed.join(chosen, same, "left_semi")
+    return kept.dropDuplicates([id_column, "_hash"]).drop("_hash")
 
 
 def hex_of(column: str):
