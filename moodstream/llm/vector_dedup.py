@@ -99,6 +99,8 @@ def _placed(vectors: DataFrame, n: int, width: int, probes: int) -> DataFrame:
             x = x / np.where(scale > 0, scale, 1)  # no overflow in the length
             length = np.linalg.norm(x, axis=1)
             fine = length > 0
+            if not fine.any():
+                continue
             x, ids = x[fine] / length[fine, None], rows["id"].to_numpy()[fine]
             likeness = x @ centres.T
             order = np.argsort(-likeness, axis=1, kind="stable")[:, :near].astype(np.int32)
