@@ -1,0 +1,123 @@
+"""Page articles, secret scans and the pipeline."""
+
+import html
+import re
+
+import pytest
+
+import corpus_pipeline
+from moodstream.llm import secret_scan, simhash, toxicity
+from moodstream.llm.html_text import extract, main_text
+from moodstream.llm.queries import QUERIES
+
+LONG = "This is a sentence of the article that goes on for a while. " * 4
+
+
+@pytest.mark.parametrize("page, text", [
+    (None, ""), ("", ""), ("only text &amp; more", "only text & more"), ("<p>one<p>two", "one two"),
+    (f"<nav><a href=x>menu</a></nav><div><p>{LONG}</p><p>second &eacute;&nbsp;x</p></div><footer>f</footer>",
+     f"{LONG.strip()} second é x"),
+    (f"<article><h1>T</h1><p><b>{LONG}<br><p>short</p></article><div class='ad'>{LONG}</div>", f"T {LONG.strip()} short"),
+    (f"<div id=main><p>{LONG}</p></div><section id='comments'><p>{LONG * 9}</p></section>", LONG.strip()),
+    (f"<script>var x = '<p>no</p>';</script><style>p {{}}</style><!-- <p>no</p> --><p>{LONG}</p>", LONG.strip()),
+    (f"<form><p>{LONG}</p></form><aside>{LONG}</aside><div role=alert>{LONG}</div><header>h</header><p>yes</p>", "yes"),
+    (f"<main><p>{LONG}<table><tr><td>a<td>b</table>tail</main>", f"{LONG.strip()} a b tail"),
+    ("<p>a<em>b</em>c <i> d</i></p><p hidden>no</p>", "abc d"), ("<<<<>>>", "<<<<>>>"),
+    ("<ul>" + "<li><a href=x>link</a>" * 3 + "</ul>" + f"<div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}{LONG}".strip()),
+])
+def test_articles(page, text):
+    assert main_text(page) == text
+
+
+def test_odd_pages_end():
+    for page in ("<div>" * 5000 + "x", "<a title=\"" * 3000, "<" * 50_000, "<p>" * 20_000 + "x", "<!--" + "x" * 10**6):
+        main_text(page)
+    assert len(main_text("<p>" + "word " * 400_000)) == 1_999_999
+
+
+def test_extract_keeps_rows(spark):
+    pages = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>x y</p>", None)] * 2,
+                                  "page_id long, url string, html string, text string")
+    assert sorted(map(str, map(tuple, extract(pages).collect()))) == sorted(
+        map(str, [(1, None, "", 0), (None, "u", "x y", 3)] * 2)
+    )
+    assert extract(pages.limit(0)).count() == 0
+
+
+def test_pages_query(spark):
+    folder = "/root/testdata/sf0.01"
+    for row in QUERIES["op3_page_articles"](spark, folder).join(
+        spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html"), "page_id"
+    ).collect():
+        inner = re.search(r"<article>(.*?)</article>", row.html, re.S)[1]
+        blocks = re.sub(r"<(?!p>|/p>|h1>|/h1>|br>)[^>]*>", "", inner).replace("<br>", " ")
+        blocks = [" ".join(html.unescape(b).split()) for b in re.split(r"</?(?:p|h1)>", blocks)]
+        assert row.text == " ".join(filter(None, blocks)) and row.n_chars == len(row.text)
+
+
+KEY = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def _docs(spark):
+    rows = [(i, f"some words {i} here token = \"{KEY[i % 20:]}{KEY[:i % 20]}\" and more", f"src/{i}.py", 5) for i in range(40)]
+    rows += [(100 + i, f"pay 12345678{i:08d} now, call +1 (017) 555-7713 or see aaaaaaaaaaaaaaaa{i}", "doc", 5) for i in range(40)]
+    rows += [(None, f'é token = "{KEY}" token = "{KEY[::-1]}"', None, None), (201, None, None, 1), (202, "", "x", 0),
+             (203, "plain words " * 40_000, "x", 5), (204, ("0123456789abcdef" * 2 + " ") * 3000, "x", 5)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, secrets int")
+
+
+def test_secrets_of_odd_rows(spark):
+    docs = _docs(spark)
+    forest, words = secret_scan.fit(docs)
+    assert forest and "words" in words
+    found = secret_scan.scan(docs, forest, words)
+    got = {r.doc_id: r for r in found.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, row in got.items():
+        assert all(texts[i][s.start : s.start + s.length] == s.value and s.score >= 0.5 for s in row.secrets)
+    assert all(len(got[i].secrets) == 1 and got[i].secrets[0].length == 40 for i in range(40))
+    assert not any(got[100 + i].secrets for i in range(40)) and [s.value for s in got[None].secrets] == [KEY, KEY[::-1]]
+    assert got[201].secrets == got[202].secrets == got[203].secrets == got[204].secrets == []
+    masked = {r.doc_id: r.text for r in secret_scan.redact(found).collect()}
+    assert masked[None] == 'é token = "[SECRET]" token = "[SECRET]"'
+    assert masked[201] is None and masked[203] == texts[203] and masked[0].endswith('token = "[SECRET]" and more')
+    assert secret_scan.scan(docs.limit(0), forest, words).count() == 0
+    nothing, none = secret_scan.fit(docs.where("doc_id = 203"))
+    assert nothing is None
+    assert secret_scan.scan(docs, nothing, none).where("size(secrets) > 0").count() == 41
+    assert secret_scan.dictionary(docs.limit(0)) == []
+
+
+def test_forest_in_sql_is_the_forest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(r.doc_id, r.start) for r in QUERIES["op10_secret_forest"](spark, "/root/testdata/sf0.01").collect()}
+    planted = {(r.doc_id, m.start(1)) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert planted and got == planted
+
+
+def test_pipeline_stages(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    original, stages = docs, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "simhash", "secrets", "mixing", "packing"]
+    from moodstream.session import written
+
+    clean = written(stages["toxicity"](spark, docs, folder), "t")
+    assert clean.columns == docs.columns
+    bad = {r.doc_id for r in toxicity.score_documents(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("predicted = 1").collect()}
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad
+    single = written(stages["simhash"](spark, clean, folder), "s")
+    groups = simhash.near_duplicates(clean).collect()
+    assert sorted(r.doc_id for r in single.collect()) == sorted({r.component_id for r in groups})
+    masked = written(stages["secrets"](spark, single, folder), "m")
+    texts = {r.doc_id: r.text for r in original.collect()}
+    for r in masked.collect():
+        assert r.text == re.sub(r'(?i)(token = ")[0-9a-f]{40}', r"\1[SECRET]", texts[r.doc_id]) and r.n_chars == len(r.text)
+    mixed = written(stages["mixing"](spark, masked, folder), "x")
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in masked.collect()}
+    packs = stages["packing"](spark, mixed, folder).collect()
+    whole = corpus_pipeline.run(spark, folder).collect()
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
+    assert sum(r.length for r in packs) == sum(r.length for r in whole)
+    assert {r.doc_id for r in packs} == {r.doc_id for r in whole} == {r.doc_id for r in mixed.collect()}
+    assert len({key(r) for r in whole}) > 0
