@@ -34,6 +34,7 @@ ROUNDS = 40
 #: A sign of toxicity is in this share of the toxic texts, and this many times as frequent in them.
 SHARE, RATIO = 0.03, 8.0
 CUT = 0.7
+FLOOR = 0.1
 #: Words whose weights a task remembers.
 REMEMBERED = 500_000
 
@@ -180,14 +181,17 @@ def _windows(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _summary(p: np.ndarray, filled: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per text: log of the expected toxic words, log of their share, the largest probability."""
+    """Per text: log of the expected toxic words, log of their share, the largest probability.
+
+    Words below ``FLOOR`` count as clean, lest a long text add up to a toxic one.
+    """
     rows = np.diff(starts)
     some = rows > 0
     first = starts[:-1][some]
     out = np.zeros((len(rows), 3))
     total, count, most = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
     if some.any():
-        total[some] = np.add.reduceat(p.sum(axis=1), first)
+        total[some] = np.add.reduceat(np.where(p >= FLOOR, p, 0).sum(axis=1), first)
         count[some] = np.add.reduceat(filled.sum(axis=1), first)
         most[some] = np.maximum.reduceat(p.max(axis=1), first)
     out[:, 0] = np.log(total + 0.1)
@@ -197,13 +201,17 @@ def _summary(p: np.ndarray, filled: np.ndarray, starts: np.ndarray) -> np.ndarra
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps for a logistic curve; the intercept is moved from the sample's share to ``prior``."""
+    """Newton steps for a logistic curve; the intercept is moved from the sample's share to ``prior``.
+
+    No sign of toxicity may lower the score, so slopes stay at zero or above.
+    """
     x = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
         b += np.clip(np.linalg.solve(hessian, x.T @ (y - p) - ridge * b), -2, 2)
+        b[1:] = np.maximum(b[1:], 0)
     share = y.mean()
     b[0] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     return b
