@@ -52,16 +52,31 @@ def polarity_sentiment(
 
 
 def polarity_prediction(
-    polarity: Column | str, subjectivity: Column | str, threshold: float = POLARITY_THRESHOLD
+    polarity: Column | str,
+    subjectivity: Column | str,
+    text: Column | str | None = None,
+    threshold: float = POLARITY_THRESHOLD,
 ) -> Column:
-    """Label plus a confidence that grows with distance from neutral and with subjectivity."""
+    """Label plus a confidence that grows with distance from neutral and with subjectivity.
+
+    Without a polarity or a subjectivity, or for a blank ``text`` if one is given, the prediction is
+    neutral with confidence 0 and an error.
+    """
     polarity, subjectivity = _column(polarity), _column(subjectivity)
     confidence = F.least(F.abs(polarity) * subjectivity + 0.3, F.lit(1.0))
+    nothing = polarity.isNull() | subjectivity.isNull()
+    blank = F.lit(False) if text is None else is_blank(text)
+    usable = ~(blank | nothing)
+
+    def rounded(value: Column) -> Column:
+        return F.when(usable, F.round(value, 4)).otherwise(0.0)
+
     return F.struct(
-        label_by_threshold(polarity, threshold).alias("label"),
-        F.round(confidence, 4).alias("confidence"),
-        F.round(polarity, 4).alias("polarity"),
-        F.round(subjectivity, 4).alias("subjectivity"),
+        F.when(usable, label_by_threshold(polarity, threshold)).otherwise("neutral").alias("label"),
+        rounded(confidence).alias("confidence"),
+        rounded(polarity).alias("polarity"),
+        rounded(subjectivity).alias("subjectivity"),
+        F.when(blank, "Empty text").when(nothing, "No polarity").alias("error"),
     )
 
 

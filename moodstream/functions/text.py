@@ -101,3 +101,27 @@ def ngrams(words: Column | str, n: int) -> Column:
         F.array().cast("array<int>")
     )
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def histogram(words: Column | str) -> Column:
+    """Distinct words of an array with their counts, as ``array<struct<word, n>>``; none for null.
+
+    The array is sorted; each word starts where its predecessor differs and ends where the next
+    begins, so a long text costs a sort and two passes.
+    """
+    words = _column(words)
+    ordered = F.when(F.size(words) > 0, F.array_sort(words))
+
+    def starts(word: Column) -> Column:
+        first = F.sequence(F.lit(0), F.size(word) - 1)
+        return F.filter(first, lambda i: (i == 0) | (F.get(word, i) != F.get(word, i - 1)))
+
+    boxed = F.transform(F.array(ordered), lambda word: F.struct(word.alias("word"), starts(word).alias("starts")))
+    counted = F.transform(boxed, lambda box: F.transform(
+        box["starts"],
+        lambda at, k: F.struct(
+            F.get(box["word"], at).alias("word"),
+            (F.coalesce(F.get(box["starts"], k + 1), F.size(box["word"])) - at).cast("long").alias("n"),
+        ),
+    ))
+    return F.when(F.size(words) > 0, F.get(counted, 0))

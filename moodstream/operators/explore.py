@@ -8,7 +8,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodstream.functions.text import ngrams, topic_tokens
+from moodstream.functions.text import histogram, ngrams, topic_tokens
 from moodstream.functions.wordlists import stop_words
 from moodstream.operators.topics import word_rows
 
@@ -22,19 +22,20 @@ def ngram_counts(posts: DataFrame, longest: int = 3, *, text: str = "text") -> D
 
 
 def tfidf_keywords(
-    posts: DataFrame, k: int = 5, *, key: str = "id", text: str = "text", salts: int = 8
+    posts: DataFrame, k: int = 5, *, key: str = "id", text: str = "text", salts: int | None = None
 ) -> DataFrame:
     """The ``k`` words of each post with the highest ``tf * ln((N + 1) / (df + 1))``.
 
-    The term counts of one very common word are spread over salts before they meet its document
-    frequency, which is repeated once per salt.
+    Words are counted inside each post's row; only the document frequencies are grouped.  The term
+    counts of one very common word are spread over salts (as many as there are shuffle partitions)
+    before they meet its document frequency, which is repeated once per salt.
     """
-    term_counts = word_rows(posts, key, text=text).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-    # A salt that cannot be null, and reading ``tf`` below, keep both uses of the term counts alike:
-    # the plan computes them once.
+    salts = salts or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = F.explode(histogram(topic_tokens(text, stop_words()))).alias("_c")
+    term_counts = posts.select(key, counted).select(key, "_c.word", F.col("_c.n").alias("tf"))
     salt = F.coalesce(F.pmod(F.hash(F.col(key)), F.lit(salts)), F.lit(0))
     spread = term_counts.withColumn("_salt", salt)
-    frequency = term_counts.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    frequency = term_counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     repeated = frequency.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     documents = posts.agg(F.count(F.lit(1))).scalar()
     rarity = F.log((documents + 1) / (F.col("df") + 1))
@@ -59,15 +60,19 @@ def lda_topics(
     topics: int = 5,
     terms: int = 10,
     *,
-    vocabulary: int = 5000,
+    vocabulary: int = 1 << 18,
     iterations: int = 20,
     seed: int = 42,
     text: str = "text",
 ) -> DataFrame:
-    """``topic, rank, term, weight`` of a latent topic model over topic words."""
+    """``topic, rank, term, weight`` of a latent topic model over topic words.
+
+    Every step of the fit sees all posts.  ``vocabulary`` bounds what the driver holds; words of
+    fewer than two posts are left out.
+    """
     words = posts.select(topic_tokens(text, stop_words()).alias("_words"))
     counter = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary, minDF=2)
-    lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online")
+    lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0)
     model = Pipeline(stages=[counter, lda]).fit(words)
     names = model.stages[0].vocabulary
     listed = posts.sparkSession.createDataFrame(list(enumerate(names)), "index int, term string")

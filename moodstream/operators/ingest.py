@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodstream.functions.text import _column
-from moodstream.schemas import CORRUPT, EVENT_OR_CORRUPT
+from moodstream.schemas import CORRUPT, EVENT_OR_CORRUPT, LINE
 
 # Name of the source written into each post, share of posts kept, longest text taken.
 SOURCE = "bluesky"
@@ -57,6 +57,20 @@ def new_posts(
     )
 
 
+def split_parsed_posts(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good posts of parsed lines, and the quarantine ``(reason, line)``.
+
+    A line is set aside when it is no JSON of a post, or lacks the id or the time of one.
+    """
+    reason = (
+        F.when(F.col(CORRUPT).isNotNull(), "corrupt")
+        .when(F.col("id").isNull(), "no id")
+        .when(F.col("timestamp").isNull(), "no time")
+    )
+    good = parsed.where(reason.isNull()).drop(CORRUPT, LINE)
+    return good, parsed.where(reason.isNotNull()).select(reason.alias("reason"), F.col(LINE).alias("line"))
+
+
 def with_id(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posts that have an id, and the quarantine of those that have none."""
     return posts.where(F.col("id").isNotNull()), posts.where(F.col("id").isNull())
@@ -79,9 +93,10 @@ def hash_sample(
     return posts.where(prefix < limit)
 
 
-def text_in_bounds(text: Column | str = "text", longest: int = MAX_TEXT) -> Column:
-    """Length between 1 and ``longest`` characters; null is out of bounds."""
-    return F.coalesce(F.length(_column(text)).between(1, longest), F.lit(False))
+def text_in_bounds(text: Column | str = "text", longest: int | None = MAX_TEXT) -> Column:
+    """Length from 1 to ``longest`` characters (``None``: any); null is out of bounds."""
+    size = F.length(_column(text))
+    return F.coalesce(size >= 1 if longest is None else size.between(1, longest), F.lit(False))
 
 
 def split_by_bounds(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodstream.functions.display import dominant_mood, share, whole_share
+from moodstream.session import written
 
 SENTIMENT_LABEL = "sentiment.label"
 SHOWN = ("positive", "negative", "neutral")
@@ -65,11 +66,12 @@ def running_totals(parts: DataFrame, block: int = 1024) -> DataFrame:
     """All-time totals after each batch, from ``(batch_id, label, n)`` partials.
 
     A prefix sum in two levels: within blocks of batches, plus what all earlier blocks held, so no
-    single task sorts the whole batch history.
+    single task sorts the whole batch history.  The sums per batch are written first, so that the
+    posts behind them are scored once.
     """
     names = ["total", *SHOWN]
     per_batch = parts.groupBy("batch_id").agg(*_sums(F.col("label"), F.col("n")))
-    per_batch = per_batch.withColumn("_block", F.floor(F.col("batch_id") / block))
+    per_batch = written(per_batch.withColumn("_block", F.floor(F.col("batch_id") / block)), "per-batch")
 
     held = per_batch.groupBy("_block").agg(*[F.sum(name).alias(name) for name in names])
     in_order = Window.partitionBy(F.lit(0)).orderBy("_block")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodstream.functions.scoring import polarity_sentiment
 from moodstream.functions.text import tokens
 from moodstream.operators.lookup import join_word_list
 
@@ -12,22 +13,39 @@ from moodstream.operators.lookup import join_word_list
 def lexicon_scores(
     posts: DataFrame, lexicon: DataFrame, *, key: str = "id", text: str = "text"
 ) -> DataFrame:
-    """``(key, polarity, subjectivity)`` for posts with at least one lexicon word.
+    """``(key, polarity, subjectivity)`` of every key; 0 where no word is in the lexicon.
 
     ``lexicon`` is ``(word, polarity, subjectivity)``, one row per word.  The result is narrow: the
     words of a post meet in their own task first, so the shuffle carries one partial per post and
     never its text.
     """
-    words = posts.select(key, F.explode(tokens(text)).alias("word")).where(F.col("word") != "")
-    found = join_word_list(words, lexicon, "inner")
-    return found.groupBy(key).agg(
-        F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity")
-    )
+    words = posts.select(key, F.explode_outer(tokens(text)).alias("word"))
+    found = join_word_list(words, lexicon, "left")
+
+    def average(name: str):
+        return F.coalesce(F.avg(name), F.lit(0.0)).alias(name)
+
+    return found.groupBy(key).agg(average("polarity"), average("subjectivity"))
 
 
 def with_lexicon_scores(
     posts: DataFrame, lexicon: DataFrame, *, key: str = "id", text: str = "text"
 ) -> DataFrame:
-    """Posts with ``polarity`` and ``subjectivity``; 0 where no word is in the lexicon."""
+    """Posts with ``polarity`` and ``subjectivity``; 0 where no word is in the lexicon.
+
+    To keep other columns the posts are joined with their scores, which shuffles them; take
+    ``lexicon_scores`` where the key is enough.
+    """
     scores = lexicon_scores(posts, lexicon, key=key, text=text)
     return posts.join(scores, key, "left").fillna(0.0, ["polarity", "subjectivity"])
+
+
+def lexicon_sentiment(lexicon: DataFrame, *, key: str = "id", text: str = "text"):
+    """A frame scorer for streams: adds ``sentiment`` by text polarity."""
+
+    def score(posts: DataFrame) -> DataFrame:
+        scored = with_lexicon_scores(posts, lexicon, key=key, text=text)
+        polarity = polarity_sentiment(text, F.round("polarity", 6))
+        return scored.withColumn("sentiment", polarity).drop("polarity", "subjectivity")
+
+    return score

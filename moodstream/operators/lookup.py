@@ -1,31 +1,14 @@
-"""Joins against reference lists whose size is checked before anything is broadcast."""
+"""Joins against reference lists."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows of a word list that may be sent to every executor: a few tens of megabytes at most.
-BROADCAST_ROWS = 200_000
-SALTS = 32
 
-
-def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``frame`` has at most ``rows`` rows; counts no more than one row beyond."""
-    return frame.limit(rows + 1).count() <= rows
-
-
-def join_word_list(
-    words: DataFrame, listed: DataFrame, how: str, *, rows: int = BROADCAST_ROWS, salts: int = SALTS
-) -> DataFrame:
+def join_word_list(words: DataFrame, listed: DataFrame, how: str) -> DataFrame:
     """Join word occurrences to a word list on ``word``.
 
-    A list of checked size is broadcast.  A longer one is shuffled with every entry repeated once
-    per salt, so the occurrences of one very frequent word spread over ``salts`` tasks.  The salt
-    is the number of the input partition: a task that runs again deals its rows the same way.
+    Spark decides by the list's size in bytes whether to broadcast it.  If not, both sides are
+    shuffled by a plain join, whose hot words adaptive execution splits over several tasks.
     """
-    if is_small(listed, rows):
-        return words.join(F.broadcast(listed), "word", how)
-    spread = words.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    repeated = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, ["word", "_salt"], how).drop("_salt")
+    return words.join(listed, "word", how)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodstream.functions.scoring import star_prediction
+from moodstream.functions.scoring import star_prediction, star_value
 
 RATING = "label string, score double, error string"
 
@@ -30,7 +30,10 @@ def rating_udf(make_model: Callable[[], Model], batch_size: int = 64):
 
         def rate_some(texts):
             try:
-                return [(label, float(score), None) for label, score in model(texts)]
+                rated = [(label, float(score), None) for label, score in model(texts)]
+                if len(rated) != len(texts):
+                    raise ValueError(f"{len(rated)} ratings for {len(texts)} texts")
+                return rated
             except Exception as failure:
                 if len(texts) == 1:
                     return [(None, None, str(failure))]
@@ -69,3 +72,16 @@ def score_with_model(
     return rated.withColumn(
         into, prediction.withField("error", F.col("_rating.error"))
     ).drop("_rating")
+
+
+def model_sentiment(make_model: Callable[[], Model], *, text: str = "text", batch_size: int = 64):
+    """A frame scorer for streams: adds ``sentiment`` from a user's own star model."""
+
+    def score(posts: DataFrame) -> DataFrame:
+        rated = score_with_model(posts, make_model, text=text, into="_stars", batch_size=batch_size)
+        sentiment = F.struct(
+            F.col("_stars.label").alias("label"), star_value("_stars.raw_stars").cast("double").alias("score")
+        )
+        return rated.withColumn("sentiment", sentiment).drop("_stars")
+
+    return score

@@ -35,13 +35,17 @@ def latest_distinct(posts: DataFrame, n: int, key: tuple[str, ...] = ("did", "id
     """Newest ``n`` posts, each once.
 
     Copies are folded and the choice is made on key and time alone; then the ``n`` chosen keys are
-    broadcast to pick their rows out of the scan, so no text is shuffled but that of the result.
+    broadcast to pick their rows out of the scan, so no text is shuffled but that of the result.  Of
+    copies with one time and different contents the one first in the order of ``source`` and
+    ``text`` is shown.
     """
     newest = latest(posts.groupBy(*key).agg(F.max("timestamp").alias("timestamp")), n)
     columns = [*key, "timestamp"]
     chosen = newest.select(*[F.col(name).alias(f"_{name}") for name in columns])
     same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in columns]
-    return posts.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(list(key))
+    found = posts.join(F.broadcast(chosen), same, "left_semi")
+    first = F.min_by(F.struct(*posts.columns), F.struct("source", "text")).alias("_row")
+    return found.groupBy(*[F.col(name).alias(f"_{name}") for name in key]).agg(first).select("_row.*")
 
 
 def recent_posts(scored: DataFrame, n: int = STORED) -> DataFrame:

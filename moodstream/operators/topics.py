@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moodstream.functions.display import round_half_up
 from moodstream.functions.text import tokens
 from moodstream.functions.wordlists import ENGLISH_STOP_WORDS, SOCIAL_STOP_WORDS
-from moodstream.operators.lookup import is_small, join_word_list
+from moodstream.operators.lookup import join_word_list
 
 # A topic word is longer than this; sizes of the stored, served and drawn lists.
 MIN_LENGTH = 4
@@ -32,36 +32,47 @@ def word_rows(
 ) -> DataFrame:
     """One row per kept word occurrence, with the ``keep`` columns.
 
-    The built-in stop list has a fixed size and is broadcast; a list passed in is size-checked.
+    The built-in stop list has a fixed size and is broadcast; a list passed in is joined as its size asks.
     """
-    word = F.explode(tokens(text, clean_first=clean_first)).alias("word")
-    words = posts.select(*keep, word).where(F.length("word") > min_length)
+    words = _long_words(posts, *keep, text=text, min_length=min_length, clean_first=clean_first)
     if stops is None:
         listed = stop_word_frame(posts.sparkSession)
         return words.join(F.broadcast(listed), "word", "left_anti").select(*_names(keep), "word")
     return join_word_list(words, stops, "left_anti").select(*_names(keep), "word")
 
 
+def _long_words(posts: DataFrame, *keep: str, text: str, min_length: int, clean_first: bool) -> DataFrame:
+    word = F.explode(tokens(text, clean_first=clean_first)).alias("word")
+    return posts.select(*keep, word).where(F.length("word") > min_length)
+
+
 def _names(columns: tuple[str, ...]) -> list[str]:
     return [name.rsplit(".", 1)[-1] for name in columns]
 
 
 def topic_counts(
-    scored: DataFrame, label: str = "sentiment.label", *, stops: DataFrame | None = None, **options
+    scored: DataFrame,
+    label: str = "sentiment.label",
+    *,
+    text: str = "text",
+    min_length: int = MIN_LENGTH,
+    stops: DataFrame | None = None,
+    clean_first: bool = False,
 ) -> DataFrame:
     """Occurrences per ``(word, label)``; counts are summed before and after the shuffle.
 
-    A stop list too long to broadcast is applied to the counts, where every word is rare.
+    A stop list passed in takes the place of the built-in one and is applied to the counts, where
+    every word is rare.
     """
     labelled = scored.withColumn("label", F.col(label))
 
     def counted(words: DataFrame) -> DataFrame:
         return words.groupBy("word", "label").agg(F.count(F.lit(1)).alias("count"))
 
-    if stops is None or is_small(stops):
-        return counted(word_rows(labelled, "label", stops=stops, **options))
-    every_word = stops.where(F.lit(False))
-    return counted(word_rows(labelled, "label", stops=every_word, **options)).join(stops, "word", "left_anti")
+    options = {"text": text, "min_length": min_length, "clean_first": clean_first}
+    if stops is None:
+        return counted(word_rows(labelled, "label", **options))
+    return join_word_list(counted(_long_words(labelled, "label", **options)), stops, "left_anti")
 
 
 def top_topics(counts: DataFrame, n: int = STORED) -> DataFrame:

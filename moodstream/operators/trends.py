@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from moodstream.functions.timebuckets import (
     clock_label,
     period_cutoff,
 )
+from moodstream.session import written
 
 # Smallest change of the average, and of the 0-100 score, that counts as a movement.
 DIRECTION_STEP = 0.05
@@ -72,13 +76,38 @@ def in_period(
     return series.where(F.col("time") >= period_cutoff(hours, as_of, shift)).orderBy("time")
 
 
+def period_start(period: str = "1h", as_of: float | None = None, shift: int = SHIFT_SECONDS) -> int:
+    """First bucket number inside the period, a plain number that scans and folders are pruned by.
+
+    The same buckets as ``in_period`` gives: labels stop at the minute.
+    """
+    now = time.time() if as_of is None else as_of
+    seconds = math.floor(now + shift - PERIOD_HOURS.get(period, 1) * 3600)
+    return seconds - seconds % 60
+
+
+def trend_in_period(
+    scored: DataFrame, period: str = "1h", as_of: float | None = None, unit: str = "minute",
+    *, timestamp: str = "timestamp", shift: int = SHIFT_SECONDS, **columns,
+) -> DataFrame:
+    """The series of the period, from raw scored rows; older rows are left out before grouping."""
+    width = BUCKET_SECONDS[unit]
+    first = -(-period_start(period, as_of, shift) // width) * width
+    recent = scored.where(F.col(timestamp) >= float(first - shift))
+    return trend(recent, unit, timestamp=timestamp, shift=shift, **columns).orderBy("time")
+
+
 def in_period_or_all(
     series: DataFrame, period: str = "All", as_of: float | None = None, shift: int = SHIFT_SECONDS
 ) -> DataFrame:
-    """Buckets of the chart period; the whole series when the period holds none."""
+    """Buckets of the chart period; the whole series when the period holds none.
+
+    The series is written once to the shared folder and decided on from there.
+    """
     hours = CHART_PERIOD_HOURS.get(period)
     if hours is None:
         return series.orderBy("time")
+    series = written(series, "series")
     now = F.unix_timestamp().cast("double") if as_of is None else F.lit(float(as_of))
     start = F.unix_timestamp(F.to_timestamp("time", BUCKET_FORMAT)) - shift
     recent = now - start <= hours * 3600

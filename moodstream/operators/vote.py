@@ -15,12 +15,15 @@ WEIGHTS = {"bert": 0.5, "lstm": 0.3, "rf": 0.2}
 def join_predictions(posts: DataFrame, predictions: dict[str, DataFrame], key: str = "id") -> DataFrame:
     """Put each model's ``(key, label, confidence, …)`` frame beside the posts as a struct column.
 
-    Every prediction frame holds a key at most once; a post a model skipped gets a null struct.
+    Of several predictions for one key the surest counts, then the first label by name, so that a
+    repeated prediction never repeats a post; one a model skipped gets a null struct.
     """
     joined = posts
     for model, frame in predictions.items():
         fields = [name for name in frame.columns if name != key]
-        joined = joined.join(frame.select(key, F.struct(*fields).alias(model)), key, "left")
+        order = F.struct(F.coalesce(-F.col("confidence"), F.lit(1.0)), F.coalesce("label", F.lit("")))
+        single = frame.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias(model))
+        joined = joined.join(single, key, "left")
     return joined
 
 
@@ -80,3 +83,20 @@ def vote(
             ]
         fields["breakdown"] = F.when(~blank, F.create_map(*parts))
     return frame.withColumn(into, F.struct(*[value.alias(name) for name, value in fields.items()]))
+
+
+def vote_sentiment(predictors: dict, weights: dict[str, float] | None = None, *, text: str = "text"):
+    """A frame scorer for streams: adds ``sentiment`` by the vote of column predictors.
+
+    ``predictors`` maps model names to functions from a text column to ``struct<label, confidence>``;
+    without ``weights`` those models share the vote.
+    """
+    weights = weights or {model: WEIGHTS.get(model, 1.0) for model in predictors}
+
+    def score(posts: DataFrame) -> DataFrame:
+        models = {model: predict(F.col(text)) for model, predict in predictors.items()}
+        voted = vote(posts.withColumns(models), weights, text=text, into="_vote", breakdown=False)
+        sentiment = F.struct(F.col("_vote.label").alias("label"), F.col("_vote.score").alias("score"))
+        return voted.withColumn("sentiment", sentiment).drop("_vote", *models)
+
+    return score

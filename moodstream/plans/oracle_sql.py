@@ -175,11 +175,27 @@ def _num(label: str) -> str:
 VOTE_SCORE = f"({_num('bert')} * 0.5 + {_num('lstm')} * 0.3 + {_num('rf')} * 0.2)"
 VOTE_SURE = "(coalesce(bert_c, 0) * 0.5 + coalesce(lstm_c, 0) * 0.3 + coalesce(rf_c, 0) * 0.2)"
 
-ANALYZED = f"""SELECT doc_id, text, cleaned, {_lean("cleaned")} AS lean FROM (
-SELECT doc_id, text, {_clean("text")} AS cleaned FROM documents WHERE length(text) BETWEEN 1 AND {MAX_TEXT})"""
-ANALYZED_SURE = (
-    "CASE WHEN {blank} THEN 0.0 ELSE (CASE lean WHEN 0 THEN 0.63 ELSE 0.9 END * 0.5 + 0.5 * 0.3) END"
-)
+
+
+def _analyzed(weights: dict[str, float], longest: int) -> str:
+    """The vote of keyword models: stars (bert), keywords (lstm) and a sure stand-in (rf)."""
+    sure = {"bert": "CASE lean WHEN 0 THEN 0.63 ELSE 0.9 END", "lstm": "0.5", "rf": "0.7"}
+    confidence = " + ".join(f"{sure[model]} * {w}" for model, w in weights.items())
+    whole = sum(weights.values())
+    return f"""SELECT doc_id, {_preview("text")} AS original_text, {_preview("cleaned")} AS cleaned_text,
+        CASE WHEN refused THEN 'neutral' ELSE {_named("lean")} END AS label,
+        CASE WHEN refused THEN 0.0 ELSE {_r4(f"({confidence}) / {whole}")} END::DOUBLE AS confidence,
+        CASE WHEN refused THEN 0.0 ELSE lean END::DOUBLE AS score,
+        CASE WHEN NOT fits THEN 'Text out of bounds' WHEN refused THEN 'Empty text' END AS error,
+        CASE WHEN NOT refused THEN '' END AS warnings FROM (
+        SELECT *, NOT fits OR {_blank("cleaned")} AS refused, {_lean("cleaned")} AS lean FROM (
+        SELECT doc_id, text, {_clean("text")} AS cleaned,
+        coalesce(length(text) BETWEEN 1 AND {longest}, false) AS fits FROM documents))"""
+
+
+TERMS = f"""SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS terms
+FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+lambda x: x NOT IN ({STOPS})) AS w FROM documents JOIN labels USING (doc_id))"""
 
 TF = f"SELECT doc_id, word, count(*) AS tf FROM ({WORDS}) GROUP BY 1, 2"
 
@@ -215,10 +231,16 @@ ORACLES: dict[str, str] = {
     "polarity_label": f"""SELECT event_id, {_threshold("p", 0.1)} AS label, {_r6("p")} AS score FROM (
         SELECT event_id, CASE WHEN event_type = 'error' OR coalesce(props, '') = '' THEN 0.0
         ELSE {POLARITY} END AS p FROM events)""",
-    "polarity_confidence": f"""SELECT event_id, {_threshold("p", 0.1)} AS label,
-        {_r4("least(abs(p) * s + 0.3, 1.0)")} AS confidence, {_r4("p")} AS polarity,
-        {_r4("s")} AS subjectivity, {_r4("p")} AS numeric FROM (
-        SELECT event_id, {POLARITY} AS p, json_extract_string(props, '$.k')::DOUBLE / 100 AS s FROM events)""",
+    "polarity_confidence": f"""SELECT event_id, CASE WHEN usable THEN {_threshold("p", 0.1)} ELSE 'neutral' END AS label,
+        CASE WHEN usable THEN {_r4("least(abs(p) * s + 0.3, 1.0)")} ELSE 0.0 END::DOUBLE AS confidence,
+        CASE WHEN usable THEN {_r4("p")} ELSE 0.0 END::DOUBLE AS polarity,
+        CASE WHEN usable THEN {_r4("s")} ELSE 0.0 END::DOUBLE AS subjectivity,
+        CASE WHEN blank THEN 'Empty text' WHEN NOT usable THEN 'No polarity' END AS error,
+        CASE WHEN usable THEN {_r4("p")} ELSE 0.0 END::DOUBLE AS numeric
+        FROM (SELECT *, NOT blank AND p IS NOT NULL AND s IS NOT NULL AS usable FROM (
+        SELECT event_id, event_id % 10 = 0 OR {_blank("props")} AS blank,
+        CASE WHEN event_type <> 'error' THEN {POLARITY} END AS p,
+        CASE WHEN event_type <> 'login' THEN json_extract_string(props, '$.k')::DOUBLE / 100 END AS s FROM events))""",
     "polarity_lexicon": f"""WITH lexicon AS ({LEXICON}),
         found AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS s FROM (
             SELECT doc_id, unnest({_words("text")}) AS word FROM documents) JOIN lexicon USING (word) GROUP BY 1)
@@ -248,11 +270,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN NOT blank THEN {_r4(f"coalesce({m}_c, 0.0)")} END::DOUBLE AS {m}_confidence,
         CASE WHEN NOT blank THEN {w} END::DOUBLE AS {m}_weight'''
         for m, w in (("bert", 0.5), ("lstm", 0.3), ("rf", 0.2)))} FROM ({VOTES})""",
-    "analyze_posts": f"""SELECT doc_id, {_preview("text")} AS original_text, {_preview("cleaned")} AS cleaned_text,
-        CASE WHEN {_blank("cleaned")} THEN 'neutral' ELSE {_named("lean")} END AS label,
-        {_r4(ANALYZED_SURE.format(blank=_blank("cleaned")))}::DOUBLE AS confidence,
-        CASE WHEN {_blank("cleaned")} THEN 0.0 ELSE lean * 8 / 10.0 END::DOUBLE AS score,
-        CASE WHEN NOT {_blank("cleaned")} THEN 'rf: no prediction' END AS warnings FROM ({ANALYZED})""",
+    "analyze_posts": _analyzed({"bert": 0.5, "lstm": 0.3, "rf": 0.2}, MAX_TEXT),
+    "analyze_default": _analyzed({"lstm": 0.3}, 2**31 - 1),
     "model_scorer": f"""SELECT doc_id, {_named("lean")} AS label,
         CASE WHEN blank THEN 0.0 WHEN lean = 0 THEN 0.63 ELSE 0.9 END::DOUBLE AS confidence,
         CASE WHEN blank THEN 3 ELSE 3 + 2 * lean END::INTEGER AS raw_stars,
@@ -324,9 +343,39 @@ ORACLES: dict[str, str] = {
     "stream_totals": DOC_COUNTS,
     "stream_trend": MINUTELY,
     "stream_windows": MINUTELY,
+    "stream_quarantine": """SELECT * FROM (VALUES ('corrupt', 2), ('no id', 2), ('no time', 1)) AS v(reason, lines)
+        UNION ALL SELECT 'kept', count(*) FROM documents JOIN events ON doc_id = event_id""",
+    "stream_lexicon_totals": f"""WITH lexicon AS ({LEXICON}), found AS (SELECT doc_id, avg(polarity) AS p FROM (
+            SELECT doc_id, unnest({_words("text")}) AS word FROM documents) JOIN lexicon USING (word) GROUP BY 1)
+        SELECT count(*)::BIGINT AS total, {", ".join(
+            f"count(*) FILTER (label = '{n}')::BIGINT AS {n}" for n in ("positive", "negative", "neutral"))}
+        FROM (SELECT {_threshold("round(coalesce(p, 0.0), 6)", 0.1)} AS label
+        FROM documents JOIN events ON doc_id = event_id LEFT JOIN found USING (doc_id))""",
+    "served_posts": SERVED,
+    "served_topics": SERVED_TOPICS,
+    "served_stats": f"""SELECT total AS total_count, {", ".join(
+        f"{_r6(f'CASE WHEN total > 0 THEN {n}::DOUBLE / total * 100 ELSE 0.0 END')} AS {n}_pct"
+        for n in ("positive", "negative", "neutral"))}, true AS stamped FROM ({DOC_COUNTS})""",
+    "served_trends": f"SELECT * FROM ({MINUTELY}) WHERE time >= {_cutoff(168)}",
+    "served_summary": f"""WITH week AS (SELECT * FROM ({MINUTELY}) WHERE time >= {_cutoff(168)})
+        SELECT coalesce((SELECT trend_direction FROM ({_direction("SELECT * FROM week")})), 'stable') AS trend_direction,
+        coalesce(max_by(avg_score, time), 0.0) AS latest_avg, min(avg_score) AS min_avg, max(avg_score) AS max_avg,
+        count(*)::BIGINT AS buckets, coalesce(sum(count), 0)::BIGINT AS posts FROM week""",
     "stream_dedup": f"SELECT did, id, source FROM ({POSTS})",
     "hot_sql": f"SELECT * FROM ({MINUTELY}) WHERE count >= 2",
     "weak_labels": f"SELECT doc_id, {LABEL} AS label FROM documents",
     "labelled_texts": """SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive'
         ELSE 'neutral' END AS label, length(text) AS n_chars FROM documents JOIN labels USING (doc_id)""",
+    "tfidf_features": f"""SELECT term, count(*) AS df,
+        {_r6("ln(((SELECT count(*) FROM documents JOIN labels USING (doc_id)) + 1) / (count(*) + 1))")} AS idf
+        FROM (SELECT doc_id, unnest(list_distinct(terms)) AS term FROM ({TERMS})) GROUP BY 1 HAVING count(*) >= 2""",
+    "rf_train_metrics": f"""SELECT (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS samples,
+        least(count(*), 5000)::BIGINT AS features, true AS beats_commonest FROM (
+        SELECT term FROM (SELECT doc_id, unnest(list_distinct(terms)) AS term FROM ({TERMS}))
+        GROUP BY 1 HAVING count(*) >= 2)""",
+    "rf_predict": """SELECT doc_id, true AS label_known, true AS adds_up, true AS surest, true AS score_in_range,
+        CASE WHEN doc_id % 13 = 0 THEN 'Empty text' END AS error,
+        CASE WHEN doc_id % 13 = 0 THEN 'neutral' END AS blank_label FROM documents""",
+    "lda_topics": """SELECT topic::INTEGER AS topic, 10::BIGINT AS terms, 10::BIGINT AS known, true AS ordered
+        FROM range(5) AS t(topic)""",
 }

@@ -1,7 +1,7 @@
 """Answers read from the hot tables of a run.
 
-The two short lists describe the last batch (``scope="batch"``) or, read from the cold store, every
-post of the run (``scope="all"``); totals and trends always cover the run.
+The two lists describe every post of the run (``scope="all"``) or the last whole batch
+(``scope="batch"``); totals and trends always cover the run.  None of them reads the cold store.
 """
 
 from __future__ import annotations
@@ -11,34 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from moodstream.operators import posts as post_ops
 from moodstream.operators import topics as topic_ops
 from moodstream.operators import trends as trend_ops
-from moodstream.sources.lake import read_cold
 from moodstream.streaming import state
 
+NO_BATCH = -1
 
-def _everything(scope: str) -> bool:
+
+def _batch(spark: SparkSession, root: str, scope: str) -> int | None:
     if scope not in ("batch", "all"):
         raise ValueError("scope is 'batch' or 'all'")
-    return scope == "all"
+    if scope == "all":
+        return None
+    newest = state.newest_batch(spark, root)
+    return NO_BATCH if newest is None else newest
 
 
-def latest_posts(
-    spark: SparkSession, root: str, n: int = post_ops.SERVED, scope: str = "batch"
-) -> DataFrame:
-    if _everything(scope):
-        stored = post_ops.recent_posts(read_cold(spark, f"{root}/cold"), n)
-    else:
-        stored = state.read_list(spark, root, "posts_recent")
-    return post_ops.served_posts(stored, n)
+def latest_posts(spark: SparkSession, root: str, n: int = post_ops.SERVED, scope: str = "all") -> DataFrame:
+    return post_ops.served_posts(state.latest_posts(spark, root, _batch(spark, root, scope)), n)
 
 
-def topics(
-    spark: SparkSession, root: str, n: int = topic_ops.SERVED, scope: str = "batch"
-) -> DataFrame:
-    if _everything(scope):
-        stored = topic_ops.trending_topics(read_cold(spark, f"{root}/cold"))
-    else:
-        stored = state.read_list(spark, root, "trending_topics")
-    return topic_ops.served_topics(stored, n)
+def topics(spark: SparkSession, root: str, n: int = topic_ops.SERVED, scope: str = "all") -> DataFrame:
+    return topic_ops.served_topics(state.topics(spark, root, _batch(spark, root, scope)), n)
 
 
 def stats(spark: SparkSession, root: str) -> DataFrame:
@@ -47,7 +39,7 @@ def stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def trends(spark: SparkSession, root: str, period: str = "1h", as_of: float | None = None) -> DataFrame:
-    return trend_ops.in_period(state.trends(spark, root), period, as_of)
+    return state.trends(spark, root, period, as_of).orderBy("time")
 
 
 def trend_overview(spark: SparkSession, root: str, period: str = "1h", as_of: float | None = None) -> DataFrame:

@@ -6,13 +6,14 @@ Float results are rounded, because a distributed sum adds in no fixed order.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moodstream.functions import scoring, text
-from moodstream.functions.wordlists import NEGATIVE_WORDS, POSITIVE_WORDS
+from moodstream.functions.wordlists import NEGATIVE_WORDS, POSITIVE_WORDS, stop_words
 from moodstream.operators import (
     explore,
     ingest,
@@ -28,7 +29,7 @@ from moodstream.operators import (
 from moodstream.plans import serve
 from moodstream.plans.analyze import analyze
 from moodstream.schemas import CORRUPT
-from moodstream.session import scratch, use_streaming_state, written
+from moodstream.session import scratch, use_streaming_state, use_utc, written
 from moodstream.sources import events, lake, testtables as t
 from moodstream.streaming import jobs, state
 
@@ -43,8 +44,14 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    """Register a query; the given tables hold times in UTC, so it runs in that session zone."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return function(use_utc(spark), folder)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def _rounded(frame: DataFrame, *names: str) -> DataFrame:
@@ -56,7 +63,7 @@ def _fields(frame: DataFrame, key: str, prediction: Column) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return t.spread(t.documents(spark, folder).select("doc_id", "text"))
+    return t.documents(spark, folder).select("doc_id", "text")
 
 
 # Ingest
@@ -149,8 +156,10 @@ def preview_text(spark, folder):
 
 @query
 def word_tokens(spark, folder):
-    words = topics.word_rows(_texts(spark, folder), "doc_id")
-    return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("occurrences"))
+    """Words are counted inside each row: nothing is shuffled."""
+    counted = F.explode(text.histogram(text.topic_tokens("text", stop_words()))).alias("c")
+    rows = _texts(spark, folder).select("doc_id", counted)
+    return rows.select("doc_id", "c.word", F.col("c.n").alias("occurrences"))
 
 
 # Scoring
@@ -170,9 +179,13 @@ def polarity_label(spark, folder):
 
 @query
 def polarity_confidence(spark, folder):
+    """Errors have no polarity, logins no subjectivity, and a tenth of the rows a blank text."""
     subjectivity = F.get_json_object("props", "$.k").cast("double") / 100
+    subjectivity = F.when(F.col("event_type") != "login", subjectivity)
+    polarity = F.when(F.col("event_type") != "error", t.event_polarity())
+    said = F.when(F.col("event_id") % 10 == 0, "  ").otherwise(F.col("props"))
     predicted = t.table(spark, folder, "events").select(
-        "event_id", scoring.polarity_prediction(t.event_polarity(), subjectivity).alias("p")
+        "event_id", scoring.polarity_prediction(polarity, subjectivity, said).alias("p")
     )
     return predicted.select("event_id", "p.*", scoring.polarity_value("p").alias("numeric"))
 
@@ -180,9 +193,7 @@ def polarity_confidence(spark, folder):
 @query
 def polarity_lexicon(spark, folder):
     learned = written(t.lexicon_of_labels(spark, folder), "lexicon")
-    scored = lexicon.with_lexicon_scores(
-        _texts(spark, folder), learned, key="doc_id"
-    )
+    scored = lexicon.lexicon_scores(_texts(spark, folder), learned, key="doc_id")
     named = scored.select(
         "doc_id", "polarity", "subjectivity",
         scoring.label_by_threshold(F.round("polarity", 6), scoring.POLARITY_THRESHOLD).alias("label"),
@@ -246,18 +257,33 @@ def _keyword_stars(column: Column) -> Column:
     return scoring.star_prediction(F.concat(stars, F.lit(" stars")), F.lit(0.9))
 
 
-@query
-def analyze_posts(spark, folder):
-    analyzed = analyze(
-        _texts(spark, folder),
-        {"bert": _keyword_stars, "lstm": scoring.keyword_prediction},
-    )
-    return analyzed.select(
-        "doc_id", "original_text", "cleaned_text", "label", "confidence", "score",
+def _positive_share(column: Column) -> Column:
+    """A stand-in for a trained forest: sure of what the keywords say."""
+    lean = scoring.keyword_lean(column)
+    label = F.when(lean > 0, "positive").when(lean < 0, "negative").otherwise("neutral")
+    return F.struct(label.alias("label"), F.lit(0.7).alias("confidence"))
+
+
+def _analyzed(frame: DataFrame) -> DataFrame:
+    return frame.select(
+        "doc_id", "original_text", "cleaned_text", "label", "confidence", "score", "error",
         F.array_join("warnings", "; ").alias("warnings"),
     )
 
 
+@query
+def analyze_posts(spark, folder):
+    """All three models; every text comes back."""
+    models = {"bert": _keyword_stars, "lstm": scoring.keyword_prediction, "rf": _positive_share}
+    return _analyzed(analyze(_texts(spark, folder), models))
+
+
+@query
+def analyze_default(spark, folder):
+    """The one model that needs nothing, without a bound on the length."""
+    return _analyzed(analyze(_texts(spark, folder), longest=None))
+
+
 def _keyword_model(positive: list[str], negative: list[str]):
     """A stand-in for a user's star model, loaded inside the Python worker."""
 
@@ -355,7 +381,7 @@ def trend_merge(spark, folder):
 
 @query
 def trends_period(spark, folder):
-    chosen = trends.in_period(_hourly(spark, folder), "1w", AFTER_LAST_EVENT)
+    chosen = trends.trend_in_period(t.scored_events(spark, folder), "1w", AFTER_LAST_EVENT, "hour")
     return _rounded(chosen, "avg_score")
 
 
@@ -389,8 +415,8 @@ def trend_rolling(spark, folder):
 
 @query
 def trend_summary(spark, folder):
-    week = trends.in_period(_hourly(spark, folder), "1w", AFTER_LAST_EVENT)
-    return _rounded(trends.summary(week), "latest_avg", "min_avg", "max_avg")
+    week = trends.trend_in_period(t.scored_events(spark, folder), "1w", AFTER_LAST_EVENT, "hour")
+    return _rounded(trends.summary(written(week, "week")), "latest_avg", "min_avg", "max_avg")
 
 
 # Posts
@@ -487,24 +513,27 @@ def tfidf_keywords(spark, folder):
 # Streaming
 
 
-def _two_arrivals(spark, folder):
-    """Posts that arrive as JSON files in two steps, with a function that delivers each step."""
-    path = scratch(spark, "arrivals")
-    arriving = t.posts(spark, folder)
-    late = F.pmod(F.hash("id"), F.lit(2)) == 1
+BAD_LINES = ['{"id": "7", "text": "cut', "", '{"did": "u1", "timestamp": 5.0, "text": "no id"}',
+             '{"id": "8", "did": "u1", "text": "no time"}', "not json at all"]
 
-    def deliver(step: int) -> None:
-        lake.append_json(arriving.where(late if step else ~late), path)
 
-    return path, deliver
-
-
-def _kept_state(spark, folder):
-    path, deliver = _two_arrivals(spark, folder)
-    root, checkpoint = scratch(spark, "state"), scratch(spark, "checkpoint")
-    for step in (0, 1):
-        deliver(step)
-        jobs.keep_state(events.post_stream(spark, path), root, checkpoint, once=True).awaitTermination()
+def _kept_state(spark, folder, **scoring_options):
+    """A run over three arrivals of JSON files: half of the posts, only bad lines, then the rest."""
+    path, root, checkpoint = (scratch(spark, name) for name in ("arrivals", "state", "checkpoint"))
+    arriving = t.posts(spark, folder)
+    late = F.pmod(F.hash("id"), F.lit(2)) == 1
+    bad = spark.createDataFrame([(line,) for line in BAD_LINES], "value string")
+
+    def work_off() -> None:
+        stream = events.parsed_post_stream(spark, path)
+        jobs.keep_state(stream, root, checkpoint, once=True, **scoring_options).awaitTermination()
+
+    lake.append_json(arriving.where(~late), path)
+    work_off()
+    bad.coalesce(1).write.mode("append").text(path)
+    work_off()
+    lake.append_json(arriving.where(late), path)
+    work_off()
     return root
 
 
@@ -528,6 +557,53 @@ def stream_trend(spark, folder):
     return _rounded(state.trends(spark, _kept_state(spark, folder)), "avg_score")
 
 
+@query
+def stream_quarantine(spark, folder):
+    """Lines set aside by reason, and the posts kept."""
+    root = _kept_state(spark, folder)
+    bad = spark.read.schema("reason string, line string").parquet(f"{root}/quarantine")
+    counted = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+    kept = serve.stats(spark, root).select(F.lit("kept").alias("reason"), F.col("total").alias("lines"))
+    return counted.unionByName(kept)
+
+
+@query
+def stream_lexicon_totals(spark, folder):
+    """Labels by text polarity, as the stream's own scorer."""
+    learned = written(t.lexicon_of_labels(spark, folder), "lexicon")
+    return serve.stats(spark, _kept_state(spark, folder, frame_scorer=lexicon.lexicon_sentiment(learned)))
+
+
+@query
+def served_posts(spark, folder):
+    served = serve.latest_posts(spark, _kept_state(spark, folder))
+    return served.select("id", "title", "subreddit", "sentiment.*")
+
+
+@query
+def served_topics(spark, folder):
+    return serve.topics(spark, _kept_state(spark, folder))
+
+
+@query
+def served_stats(spark, folder):
+    """The stored totals, read as SQL; their stamp is set."""
+    state.register_views(spark, _kept_state(spark, folder))
+    return spark.sql("""SELECT total_count, round(positive_pct, 6) AS positive_pct, round(negative_pct, 6) AS negative_pct,
+        round(neutral_pct, 6) AS neutral_pct, updated_at <= now() AS stamped FROM sentiment_stats""")
+
+
+@query
+def served_trends(spark, folder):
+    return _rounded(serve.trends(spark, _kept_state(spark, folder), "1w", AFTER_LAST_EVENT), "avg_score")
+
+
+@query
+def served_summary(spark, folder):
+    overview = serve.trend_overview(spark, _kept_state(spark, folder), "1w", AFTER_LAST_EVENT)
+    return _rounded(overview, "latest_avg", "min_avg", "max_avg")
+
+
 @query
 def stream_windows(spark, folder):
     """The same series from Spark's windowed state, in update mode: the newest row of a window wins."""
@@ -553,7 +629,7 @@ def stream_dedup(spark, folder):
     arriving = t.posts(spark, folder)
     lake.append_json(arriving, path)
     lake.append_json(arriving, path)
-    distinct = jobs.without_copies(events.post_stream(spark, path), salts=4)
+    distinct = jobs.without_copies(events.post_stream(spark, path))
     writer = distinct.select("did", "id", "source").writeStream.format("parquet").option("path", out)
     jobs.start(writer, scratch(spark, "checkpoint"), once=True).awaitTermination()
     return spark.read.parquet(out)
@@ -593,17 +669,54 @@ def _training(spark, folder):
 
 @query
 def rf_train_metrics(spark, folder):
+    """Samples, vocabulary size, and whether the forest does at least as well as the commonest label."""
     rows = _training(spark, folder)
-    return learn.training_metrics(learn.train(rows), rows)
+    metrics = learn.training_metrics(learn.train(rows), rows)
+    commonest = rows.groupBy("label").count().agg(F.max("count").alias("n"))
+    better = F.col("training_accuracy") >= F.round(F.col("n") / F.col("samples"), 4)
+    return metrics.crossJoin(F.broadcast(commonest)).select("samples", "features", better.alias("beats_commonest"))
+
+
+def _forest_predictions(spark, folder):
+    texts = _texts(spark, folder)
+    said = texts.withColumn("text", F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("text")))
+    return learn.probability_scores(learn.predict(learn.train(_training(spark, folder)), said))
 
 
 @query
 def rf_predict(spark, folder):
-    model = learn.train(_training(spark, folder))
-    predicted = learn.predict(model, _texts(spark, folder))
-    return learn.probability_scores(predicted).select("doc_id", "rf.label", "rf.confidence", "score")
+    """What holds of every prediction: label known, shares add up, the surest label wins, blank rule."""
+    shares = F.map_values("rf.probabilities")
+    total = F.aggregate(shares, F.lit(0.0), lambda sum_, p: sum_ + p)
+    blank = F.col("doc_id") % 13 == 0
+    return _forest_predictions(spark, folder).select(
+        "doc_id",
+        F.col("rf.label").isin(*scoring.LABELS).alias("label_known"),
+        (F.abs(total - 1) < 0.001).alias("adds_up"),
+        F.when(blank, F.col("rf.confidence") == 0)
+        .otherwise(F.abs(F.array_max(shares) - F.col("rf.confidence")) < 1e-9).alias("surest"),
+        (F.col("score").between(-1, 1)).alias("score_in_range"),
+        F.col("rf.error").alias("error"),
+        F.when(blank, F.col("rf.label")).alias("blank_label"),
+    )
+
+
+@query
+def tfidf_features(spark, folder):
+    """Per term of the vocabulary: rows that hold it, and its weight over all rows."""
+    return _rounded(learn.term_weights(_training(spark, folder)), "idf")
 
 
 @query
 def lda_topics(spark, folder):
-    return explore.lda_topics(_texts(spark, folder))
+    """Per topic: terms listed, terms that are words of the texts, falling weights."""
+    listed = explore.lda_topics(_texts(spark, folder))
+    listed = written(listed, "topics")
+    counted = F.explode(text.histogram(text.topic_tokens("text", stop_words()))).alias("c")
+    words = _texts(spark, folder).select(counted).groupBy(F.col("c.word").alias("term")).count()
+    known = listed.join(words.where("count >= 2"), "term", "left")
+    order = Window.partitionBy("topic").orderBy("rank")
+    falls = F.coalesce(F.lag("weight").over(order) >= F.col("weight"), F.lit(True))
+    return known.withColumn("falls", falls).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("terms"), F.count("count").alias("known"), F.bool_and("falls").alias("ordered")
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+LINE = "_line"
 
 EVENT = T.StructType([
     T.StructField("kind", T.StringType()),
@@ -45,32 +46,34 @@ COLD = T.StructType(SCORED.fields + [T.StructField("batch_id", T.LongType())])
 
 # Partials kept by the streaming state: sums and counts, never averages or percentages.
 LABEL_PARTS = T.StructType([
-    T.StructField("batch_id", T.LongType()),
     T.StructField("label", T.StringType()),
     T.StructField("n", T.LongType()),
+    T.StructField("updated_at", T.TimestampType()),
+    T.StructField("batch_id", T.LongType()),
 ])
 
 TREND_PARTS = T.StructType([
-    T.StructField("batch_id", T.LongType()),
     T.StructField("bucket", T.LongType()),
     T.StructField("sum_score", T.DoubleType()),
     T.StructField("n", T.LongType()),
+    T.StructField("date", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
 ])
 
-RECENT = T.StructType([
+TOPIC_PARTS = T.StructType([
+    T.StructField("word", T.StringType()),
+    T.StructField("label", T.StringType()),
+    T.StructField("count", T.LongType()),
     T.StructField("batch_id", T.LongType()),
+])
+
+POST_PARTS = T.StructType([
+    T.StructField("did", T.StringType()),
     T.StructField("id", T.StringType()),
     T.StructField("source", T.StringType()),
     T.StructField("timestamp", T.DoubleType()),
     T.StructField("text", T.StringType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("score", T.DoubleType()),
+    T.StructField("sentiment", SENTIMENT),
     T.StructField("created_at", T.StringType()),
-])
-
-TOPICS = T.StructType([
     T.StructField("batch_id", T.LongType()),
-    T.StructField("word", T.StringType()),
-    T.StructField("count", T.LongType()),
-    T.StructField("sentiment_association", T.StringType()),
 ])

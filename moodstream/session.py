@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGE_LOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def build_session(app: str = "moodstream", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,6 +22,7 @@ def build_session(app: str = "moodstream", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        CHANGE_LOG: "true",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     builder = SparkSession.builder.appName(app)
@@ -40,6 +42,7 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def use_streaming_state(spark: SparkSession) -> SparkSession:
     """Keep streaming state on local disk with change logs instead of on the executor heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set(CHANGE_LOG, "true")
     return spark
 
 

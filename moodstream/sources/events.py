@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.operators.ingest import corrupt_lines, decode_events, good_events
-from moodstream.schemas import CORRUPT, POST, POST_OR_CORRUPT
+from moodstream.operators.ingest import corrupt_lines, decode_events, good_events, split_parsed_posts
+from moodstream.schemas import CORRUPT, LINE, POST_OR_CORRUPT
 
 
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -41,17 +41,30 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good_events(decoded), corrupt_lines(decoded)
 
 
+def _parsed_posts(lines: DataFrame) -> DataFrame:
+    """Post columns of JSON lines, with the line itself and what could not be read of it."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("value", POST_OR_CORRUPT, options)
+    return lines.select(parsed.alias("post"), F.col("value").alias(LINE)).select("post.*", LINE)
+
+
 def read_posts(spark: SparkSession, path: str, pattern: str = "*.json*") -> tuple[DataFrame, DataFrame]:
-    """Flat posts of all JSON-lines files below ``path``, and the quarantine of bad lines."""
+    """Flat posts of all JSON-lines files below ``path``, and the quarantine ``(reason, line)``."""
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.select(F.from_json("value", POST_OR_CORRUPT, options).alias("post")).select("post.*")
-    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), corrupt_lines(parsed)
+    return split_parsed_posts(_parsed_posts(lines))
 
 
-def post_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """Flat posts of JSON-lines files as they appear."""
-    reader = spark.readStream.schema(POST).option("recursiveFileLookup", "true")
+def parsed_post_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
+    """Lines of JSON-lines files as they appear, parsed; bad ones are marked, not dropped.
+
+    ``streaming.jobs.keep_state`` splits them off batch by batch and keeps them.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return _parsed_posts(reader.text(path))
+
+
+def post_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
+    """The good posts of JSON-lines files as they appear."""
+    return split_parsed_posts(parsed_post_stream(spark, path, files_per_trigger=files_per_trigger))[0]

@@ -11,37 +11,19 @@ from pyspark.sql import functions as F
 
 from moodstream.functions.scoring import Scorer, keyword_sentiment
 from moodstream.functions.text import tokens
-from moodstream.session import use_utc
 
 CREATED_AT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{folder}/{name}.parquet")
+    """A given table; its times are read as UTC if the session zone is UTC (``session.use_utc``)."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
-# A table of at most this size may be dealt out again to use all cores.
-SPREAD_BYTES = 1 << 30
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Share the rows of a small table kept in fewer files than there are cores.
-
-    A Parquet row group is read by one task, so heavy text work on a small one-file table would
-    leave the other cores idle.  A large table, or one of many files, is left as it is: no shuffle.
-    """
-    spark = frame.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, frame.inputFiles()
-    if len(files) >= cores:
-        return frame
-    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    return frame.repartition(cores) if size <= SPREAD_BYTES else frame
-
-
 def _event_micros() -> Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
@@ -80,7 +62,7 @@ def scored_documents(
     spark: SparkSession, folder: str, scorer: Scorer = keyword_sentiment
 ) -> DataFrame:
     texts = documents(spark, folder).select("doc_id", "lang", "source", "text")
-    return spread(texts).withColumn("sentiment", scorer(F.col("text")))
+    return texts.withColumn("sentiment", scorer(F.col("text")))
 
 
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +118,7 @@ def true_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def lexicon_of_labels(spark: SparkSession, folder: str) -> DataFrame:
     """A lexicon learned from the labelled documents; it grows with them."""
-    labelled = spread(documents(spark, folder).select("doc_id", "text")).join(table(spark, folder, "labels"), "doc_id")
+    labelled = documents(spark, folder).select("doc_id", "text").join(table(spark, folder, "labels"), "doc_id")
     words = labelled.select("quality", "toxic", F.explode(tokens("text")).alias("word"))
     lean = F.col("quality") - F.col("toxic")
     return (
@@ -148,8 +130,8 @@ def lexicon_of_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, and web pages with their address in front: texts with links, signs and numbers."""
-    plain = spread(documents(spark, folder).select("doc_id", "text"))
-    pages = spread(table(spark, folder, "pages"))
+    plain = documents(spark, folder).select("doc_id", "text")
+    pages = table(spark, folder, "pages")
     return plain.select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(
         pages.select(F.concat(F.lit("p"), "page_id").alias("id"), F.concat_ws(" ", "url", "html").alias("text"))
     )
@@ -159,7 +141,7 @@ def predictions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Outputs of three models over the documents; the third one skipped some of them."""
     kinds = F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive"))
     events = table(spark, folder, "events")
-    texts = spread(documents(spark, folder).select("doc_id", "text"))
+    texts = documents(spark, folder).select("doc_id", "text")
 
     def outcome(step: int) -> list[Column]:
         return [

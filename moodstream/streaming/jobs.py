@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from moodstream.functions.scoring import Scorer, keyword_sentiment
 from moodstream.functions.timebuckets import SHIFT_SECONDS, bucket_label
 from moodstream.operators.ingest import decode_events, good_events, new_posts, random_sample
-from moodstream.streaming.state import update_state
+from moodstream.streaming.state import FrameScorer, update_state
 
 # Fixed value: time between two micro-batches.
 PERIOD = "60 seconds"
@@ -41,16 +41,18 @@ def keep_state(
     checkpoint: str,
     *,
     scorer: Scorer = keyword_sentiment,
+    frame_scorer: FrameScorer | None = None,
     unit: str = "minute",
     once: bool = False,
 ) -> StreamingQuery:
     """Score each micro-batch and merge it into the cold store and the hot tables below ``root``.
 
-    Late posts always reach their old bucket: its partials are summed when they are read.
+    ``posts`` are flat posts, or parsed lines whose bad ones go to the quarantine of the run.  Late
+    posts always reach their old bucket: its partials are summed when they are read.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        update_state(batch, root, batch_id, scorer=scorer, unit=unit)
+        update_state(batch, root, batch_id, scorer=scorer, frame_scorer=frame_scorer, unit=unit)
 
     return start(posts.writeStream.foreachBatch(merge), checkpoint, once=once)
 
@@ -92,7 +94,8 @@ def without_copies(
     time is missing (0).
 
     With ``salts`` above 1 the copies of one very hot post are first thinned out in that many
-    groups, so no single task receives all of them.
+    groups, so no single task receives all of them; every post then goes through two shuffles and
+    is held in two states, so leave it at 1 without such posts.
     """
     timed = _event_time(posts).withWatermark("event_time", delay)
     if salts > 1:

@@ -1,111 +1,141 @@
-"""Hot tables: mergeable partials per batch, and short lists replaced by each batch.
+"""Hot tables: mergeable partials per batch.
 
 Layout below the root of one run (use a new root when a checkpoint is lost, since batch ids then
 start again at 0)::
 
-    cold/batch_id=N/date=D/       scored posts
-    label_parts/batch_id=N/       (label, n)
-    trend_parts/batch_id=N/       (bucket, sum_score, n)
-    posts_recent/slot=0|1/        newest posts, with their batch id
-    trending_topics/slot=0|1/     top words, with their batch id
+    cold/date=D/batch_id=N/           scored posts
+    trend_parts/date=D/batch_id=N/    (bucket, sum_score, n); D is the bucket's day
+    topic_parts/batch_id=N/           (word, label, count)
+    post_parts/batch_id=N/            the batch's newest distinct posts
+    label_parts/batch_id=N/           (label, n, updated_at); written last, it marks a whole batch
+    quarantine/batch_id=N/            (reason, line) of lines that are no posts
 
-Every folder is written with ``overwrite``, so a batch that runs twice replaces itself.  The short
-lists alternate between two slots: the list in use is never the one being written.
+A folder belongs to one batch and only a repetition of that batch writes it again, so a reader's
+list is never replaced by a later batch.  Run-wide answers add up or rank the partials.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from moodstream.functions.scoring import Scorer, keyword_sentiment
+from moodstream.functions.timebuckets import utc_day
+from moodstream.operators import posts as post_ops
+from moodstream.operators import topics as topic_ops
+from moodstream.operators.ingest import split_parsed_posts
 from moodstream.operators.labels import (
     distribution_of_counts,
     label_counts,
     with_percentages,
 )
-from moodstream.operators.posts import recent_posts
-from moodstream.operators.topics import trending_topics
-from moodstream.operators.trends import merge_trends, trend_partials
-from moodstream.schemas import LABEL_PARTS, RECENT, TOPICS, TREND_PARTS
-from moodstream.sources.lake import read_cold_batch, write_cold_batch
+from moodstream.operators.trends import merge_trends, period_start, trend_partials
+from moodstream.schemas import CORRUPT, LABEL_PARTS, POST_PARTS, TOPIC_PARTS, TREND_PARTS
+from moodstream.sources.lake import read_cold, read_cold_folders, write_cold_batch
+
+PARTS: dict[str, StructType] = {
+    "label_parts": LABEL_PARTS, "trend_parts": TREND_PARTS, "topic_parts": TOPIC_PARTS, "post_parts": POST_PARTS,
+}
 
-LISTS = {"posts_recent": RECENT, "trending_topics": TOPICS}
-PARTS = {"label_parts": LABEL_PARTS, "trend_parts": TREND_PARTS}
+#: Adds the ``sentiment`` struct to posts: a lexicon, a model, a forest or a vote.
+FrameScorer = Callable[[DataFrame], DataFrame]
 
 
 def write_parts(parts: DataFrame, root: str, name: str, batch_id: int) -> None:
-    """Partials of one batch: one row per label or per touched bucket."""
-    parts.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+    """Partials of one batch: few rows, in one file."""
+    parts.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
 
 
-def write_list(rows: DataFrame, root: str, name: str, batch_id: int) -> None:
-    """A short list (its length is bounded by the caller's limit) into the slot not in use."""
-    stamped = rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    stamped.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/slot={batch_id % 2}")
+def write_trend_parts(parts: DataFrame, root: str, batch_id: int) -> None:
+    """Partials of the touched buckets below their days; only those folders are replaced."""
+    dated = with_bucket_day(parts).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    writer = dated.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date", "batch_id").parquet(f"{root}/trend_parts")
 
 
-def _read(spark: SparkSession, path: str, schema: StructType, partition: str) -> DataFrame:
-    full = schema
-    if partition not in schema.names:
-        full = StructType([*schema.fields, StructField(partition, IntegerType())])
-    try:
-        return (
-            spark.read.schema(full).option("basePath", path).option("ignoreMissingFiles", "true").parquet(path)
-        )
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], full)
+def with_bucket_day(parts: DataFrame) -> DataFrame:
+    return parts.withColumn("date", F.coalesce(utc_day("bucket"), F.lit("unknown")))
 
 
 def read_parts(spark: SparkSession, root: str, name: str) -> DataFrame:
     """All partials kept, or an empty frame before the first batch."""
-    return _read(spark, f"{root}/{name}", PARTS[name], "batch_id")
+    path = f"{root}/{name}"
+    try:
+        return spark.read.schema(PARTS[name]).option("basePath", path).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PARTS[name])
 
 
-def read_list(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest version of a short list."""
-    both = _read(spark, f"{root}/{name}", LISTS[name], "slot").drop("slot")
-    newest = both.agg(F.max("batch_id")).scalar()
-    return both.where(F.col("batch_id") == newest).drop("batch_id")
+def newest_batch(spark: SparkSession, root: str) -> int | None:
+    """The last batch that is wholly written."""
+    return read_parts(spark, root, "label_parts").agg(F.max("batch_id")).first()[0]
 
 
 def update_state(
-    posts: DataFrame, root: str, batch_id: int, *, scorer: Scorer = keyword_sentiment, unit: str = "minute"
+    posts: DataFrame,
+    root: str,
+    batch_id: int,
+    *,
+    scorer: Scorer = keyword_sentiment,
+    frame_scorer: FrameScorer | None = None,
+    unit: str = "minute",
 ) -> None:
-    """Score one batch, write it to the cold store and refresh the hot tables.
+    """Score one batch, write it to the cold store and add its partials.
 
-    The hot tables are computed from the batch as written: it is scored once, and the partials read
-    only the columns they need.  An empty batch changes nothing.  Posts without an id count in the
-    totals but not in the series; see ``ingest.with_id`` to set them apart first.
+    ``scorer`` works on the text column; a ``frame_scorer`` takes the posts and adds ``sentiment``
+    itself, by joins or in Arrow batches.  Parsed lines (``events.parsed_post_stream``) are split
+    first and the bad ones kept in the quarantine.  The partials are computed from the batch as
+    written: it is scored once.  A batch without posts adds nothing.
     """
     spark = posts.sparkSession
-    if posts.isEmpty():
+    if CORRUPT in posts.columns:
+        posts, bad = split_parsed_posts(posts)
+        if not bad.isEmpty():
+            bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
+    scored = posts.withColumn("sentiment", scorer(F.col("text"))) if frame_scorer is None else frame_scorer(posts)
+    folders = write_cold_batch(scored, f"{root}/cold", batch_id)
+    if not folders:
         return
-    write_cold_batch(posts.withColumn("sentiment", scorer(F.col("text"))), f"{root}/cold", batch_id)
-    batch = read_cold_batch(spark, f"{root}/cold", batch_id)
-    write_parts(label_counts(batch), root, "label_parts", batch_id)
-    write_parts(trend_partials(batch, unit), root, "trend_parts", batch_id)
-    write_list(recent_posts(batch), root, "posts_recent", batch_id)
-    write_list(trending_topics(batch), root, "trending_topics", batch_id)
+    batch = read_cold_folders(spark, f"{root}/cold", folders)
+    write_trend_parts(trend_partials(batch, unit), root, batch_id)
+    write_parts(topic_ops.topic_counts(batch), root, "topic_parts", batch_id)
+    newest = post_ops.latest_distinct(batch, post_ops.STORED)
+    write_parts(newest.select(*POST_PARTS.names[:-1]), root, "post_parts", batch_id)
+    counts = label_counts(batch).withColumn("updated_at", F.current_timestamp())
+    write_parts(counts, root, "label_parts", batch_id)
 
 
 def compact(spark: SparkSession, root: str, into: str, up_to: int) -> None:
-    """Copy the partials to a new root, with all batches up to ``up_to`` folded into that one.
+    """Copy a run to a new root, with all batches up to ``up_to`` folded into that one.
 
-    The old root stays as it is, so readers can move over when the copy is complete.
+    Every table is carried over, so the new root answers all that the old one does.  To hand over:
+    stop the query, compact up to its last batch, and start it again with the same checkpoint and
+    the new root; later batches then land there.  The old root stays as it is.
     """
-    def fold(name: str, key: str, *sums: str) -> None:
-        parts = read_parts(spark, root, name)
-        batch = F.greatest("batch_id", F.lit(up_to)).alias("batch_id")
-        folded = parts.groupBy(batch, key).agg(*[F.sum(value).alias(value) for value in sums])
-        folded.write.mode("overwrite").partitionBy("batch_id").parquet(f"{into}/{name}")
+    batch = F.greatest("batch_id", F.lit(up_to).cast("long")).alias("batch_id")
+
+    def folded(name: str, keys: list[str], *sums) -> DataFrame:
+        return read_parts(spark, root, name).groupBy(batch, *keys).agg(*sums)
+
+    def save(frame: DataFrame, name: str, *by: str) -> None:
+        frame.write.mode("overwrite").partitionBy(*by, "batch_id").parquet(f"{into}/{name}")
 
-    fold("label_parts", "label", "n")
-    fold("trend_parts", "bucket", "sum_score", "n")
+    save(folded("trend_parts", ["date", "bucket"], F.sum("sum_score").alias("sum_score"), F.sum("n").alias("n")),
+         "trend_parts", "date")
+    save(folded("topic_parts", ["word", "label"], F.sum("count").alias("count")), "topic_parts")
+    posts = read_parts(spark, root, "post_parts")
+    old = post_ops.latest_distinct(posts.where(F.col("batch_id") <= up_to), post_ops.STORED)
+    later = posts.where(F.col("batch_id") > up_to)
+    save(old.withColumn("batch_id", F.lit(up_to).cast("long")).unionByName(later), "post_parts")
+    cold = read_cold(spark, f"{root}/cold").withColumn("batch_id", batch)
+    save(cold.hint("rebalance", "date"), "cold", "date")
+    save(folded("label_parts", ["label"], F.sum("n").alias("n"), F.max("updated_at").alias("updated_at")), "label_parts")
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
@@ -113,18 +143,40 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
     return distribution_of_counts(read_parts(spark, root, "label_parts"))
 
 
-def trends(spark: SparkSession, root: str) -> DataFrame:
-    """The all-time series."""
-    return merge_trends(read_parts(spark, root, "trend_parts"))
+def trends(spark: SparkSession, root: str, period: str | None = None, as_of: float | None = None) -> DataFrame:
+    """The series of the run, or of a period: days before it are not opened."""
+    parts = read_parts(spark, root, "trend_parts")
+    if period is not None:
+        start = period_start(period, as_of)
+        day = F.date_format(F.timestamp_seconds(F.lit(start)), "yyyy-MM-dd")
+        parts = parts.where((F.col("date") >= day) & (F.col("bucket") >= start))
+    return merge_trends(parts)
+
+
+def topics(spark: SparkSession, root: str, batch_id: int | None = None) -> DataFrame:
+    """The stored topic list of the run, or of one batch."""
+    parts = read_parts(spark, root, "topic_parts")
+    if batch_id is not None:
+        parts = parts.where(F.col("batch_id") == batch_id)
+    summed = parts.groupBy("word", "label").agg(F.sum("count").alias("count"))
+    return topic_ops.one_label_per_word(topic_ops.top_topics(summed))
+
+
+def latest_posts(spark: SparkSession, root: str, batch_id: int | None = None) -> DataFrame:
+    """Stored form of the newest distinct posts of the run, or of one batch."""
+    parts = read_parts(spark, root, "post_parts")
+    if batch_id is not None:
+        parts = parts.where(F.col("batch_id") == batch_id)
+    return post_ops.recent_posts(parts)
 
 
 def register_views(spark: SparkSession, root: str) -> None:
     """The four hot tables as temporary views, for ``spark.sql(query, args=…)``."""
-    read_list(spark, root, "posts_recent").createOrReplaceTempView("posts_recent")
-    read_list(spark, root, "trending_topics").createOrReplaceTempView("trending_topics")
+    latest_posts(spark, root).createOrReplaceTempView("posts_recent")
+    topics(spark, root).createOrReplaceTempView("trending_topics")
     trends(spark, root).createOrReplaceTempView("hourly_trends")
-    stats = with_percentages(totals(spark, root)).where(F.col("total") > 0)
-    stats.select(
-        F.col("total").alias("total_count"), "positive_pct", "negative_pct", "neutral_pct",
-        F.current_timestamp().alias("updated_at"),
+    parts = read_parts(spark, root, "label_parts")
+    stats = with_percentages(distribution_of_counts(parts, F.max("updated_at").alias("updated_at")))
+    stats.where(F.col("total") > 0).select(
+        F.col("total").alias("total_count"), "positive_pct", "negative_pct", "neutral_pct", "updated_at",
     ).createOrReplaceTempView("sentiment_stats")

@@ -92,7 +92,31 @@ def test_keywords_against_plain_python(spark):
     assert got == want
 
 
-def test_bounds_leave_long_texts_out(spark):
-    frame = spark.createDataFrame([(1, "x" * 5001), (2, "good")], "id int, text string")
-    assert [r.id for r in analyze(frame).collect()] == [2]
-    assert analyze(frame).select(F.size("warnings")).first()[0] == 2
+def test_every_text_comes_back(spark):
+    rows = [(1, "x" * 5001), (2, "good great happy"), (3, ""), (4, None), (5, "  "), (6, "terrible")]
+    frame = spark.createDataFrame(rows, "id int, text string")
+    got = {r.id: (r.label, r.error) for r in analyze(frame).collect()}
+    assert got == {
+        1: ("neutral", "Text out of bounds"), 2: ("positive", None), 3: ("neutral", "Text out of bounds"),
+        4: ("neutral", "Text out of bounds"), 5: ("neutral", "Empty text"), 6: ("negative", None)}
+    unbounded = {r.id: r.error for r in analyze(frame, longest=None).collect()}
+    assert unbounded[1] is None and unbounded[3] == "Text out of bounds"
+    given = analyze(frame, weights={"bert": 0.5, "lstm": 0.3, "rf": 0.2}).where("id = 2").first()
+    assert given.label == "neutral" and len(given.warnings) == 2  # silent models keep a stated weight
+    with pytest.raises(ValueError):
+        analyze(frame, {})
+
+
+def test_forest_is_bootstrapped_when_there_is_none(spark):
+    rows = [(i, ["good great day", "terrible awful day", "plain day"][i % 3]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "id int, text string")
+    got = {r.text: r.rf.label for r in learn.predict_or_bootstrap(frame).collect()}
+    assert got == {"good great day": "positive", "terrible awful day": "negative", "plain day": "neutral"}
+
+
+def test_model_giving_too_few_ratings_spoils_no_row(spark):
+    def load():
+        return lambda texts: [("5 stars", 0.9)] * (1 if len(texts) == 1 else len(texts) - 1)
+
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "id int, text string")
+    assert {r.bert.label for r in models.score_with_model(frame, load).collect()} == {"positive"}

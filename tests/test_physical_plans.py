@@ -1,15 +1,19 @@
 """The plans stay in the JVM, prune columns, push filters and broadcast only what is bounded."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from moodstream.operators import topics, trends
 from moodstream.plans.table_queries import QUERIES
-from moodstream.sources import testtables as t
+from moodstream.schemas import POST
+from moodstream.sources import lake, testtables as t
+from moodstream.streaming import state
 
 FOLDER = "/root/testdata/sf0.001"
 PYTHON = {"model_scorer"}
-RUNS_JOBS = {"rf_train_metrics", "rf_predict", "lda_topics"}
+RUNS_JOBS = {"rf_train_metrics", "rf_predict", "lda_topics", "tfidf_features"}
 
 
 def plan(frame):
@@ -17,7 +21,7 @@ def plan(frame):
 
 
 @pytest.mark.parametrize(
-    "name", sorted(n for n in QUERIES if n not in PYTHON | RUNS_JOBS and not n.startswith(("stream_", "hot_")))
+    "name", sorted(n for n in QUERIES if n not in PYTHON | RUNS_JOBS and not n.startswith(("stream_", "hot_", "served_")))
 )
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
@@ -61,14 +65,36 @@ def test_period_cutoff_reaches_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(time," in plan(trends.in_period(series, "6h", 1704067200))
 
 
-def test_only_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
-    few = t.documents(spark, FOLDER)
-    assert "RoundRobinPartitioning" in plan(t.spread(few))
-    monkeypatch.setattr(t, "SPREAD_BYTES", 1000)
-    assert "Exchange" not in plan(t.spread(few))
+def test_one_plan_for_tables_of_any_size(spark):
+    """Texts are worked on where they are scanned: nothing deals them out first."""
+    for name in ("keyword_sentiment", "word_tokens", "clean_text", "analyze_posts"):
+        text = plan(QUERIES[name](spark, FOLDER))
+        assert "Exchange" not in text and text.count("Scan parquet") <= 2
+
+
+def _period_plan(spark, root):
+    return state.trends(spark, root, "1d", as_of=86400.0 * 9)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_many_files_are_not_shuffled(spark, tmp_path):
-    path = str(tmp_path / "many")
-    spark.range(64).repartition(16).select(F.col("id").cast("string").alias("text")).write.parquet(path)
-    assert "Exchange" not in plan(t.spread(spark.read.parquet(path)))
+def test_period_prunes_the_state_by_day_and_bucket(spark, tmp_path):
+    root = str(tmp_path)
+    for day in range(10):
+        rows = [(str(day), "u", "s", 86400.0 * day + 50, "good day", "c")]
+        state.update_state(spark.createDataFrame(rows, POST), root, day)
+    text = _period_plan(spark, root)
+    filters = re.search(r"PartitionFilters: \[[^\]]*\]", text)[0]
+    assert "date" in filters and ">=" in filters and "GreaterThanOrEqual(bucket," in text
+    found = state.trends(spark, root, "1d", as_of=86400.0 * 9)
+    assert {r.time[:10] for r in found.collect()} == {"1970-01-09", "1970-01-10"}
+    day = lake.read_cold(spark, f"{root}/cold", "1970-01-03", "1970-01-03")
+    assert [r.id for r in day.collect()] == ["2"] and len(day.inputFiles()) >= 1
+    assert "PartitionFilters: [isnotnull(date" in plan(day)
+
+
+@pytest.mark.parametrize("name, scans", [
+    ("stats_cumulative", 0), ("stats_latest", 0), ("trends_period_fallback", 0), ("word_tokens", 1), ("tfidf_keywords", 3),
+])
+def test_how_often_tables_are_read(spark, name, scans):
+    """What feeds two branches is written first, so the given tables are not read again."""
+    text = plan(QUERIES[name](spark, FOLDER))
+    assert len(re.findall(r"Scan parquet .*testdata|Location: InMemoryFileIndex.*testdata", text)) <= scans

@@ -54,7 +54,17 @@ def test_own_word_lists(one):
 
 def test_confidence_is_capped(one):
     got = one(scoring.polarity_prediction("p", "s"), "p double, s double", (-1.0, 1.0))
-    assert got.asDict() == {"label": "negative", "confidence": 1.0, "polarity": -1.0, "subjectivity": 1.0}
+    assert got.asDict() == {
+        "label": "negative", "confidence": 1.0, "polarity": -1.0, "subjectivity": 1.0, "error": None}
+
+
+@pytest.mark.parametrize("row, error", [
+    ((None, 1.0, "x"), "No polarity"), ((0.5, None, "x"), "No polarity"), ((0.9, 1.0, "  "), "Empty text"),
+    ((0.9, 1.0, None), "Empty text"),
+])
+def test_no_confidence_without_a_polarity(one, row, error):
+    got = one(scoring.polarity_prediction("p", "s", "t"), "p double, s double, t string", row)
+    assert (got.label, got.confidence, got.polarity, got.error) == ("neutral", 0.0, 0.0, error)
 
 
 @pytest.mark.parametrize(

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from moodstream.operators import explore, lexicon, lookup, posts, topics
+from moodstream.operators import explore, lexicon, posts, topics
 
 TEXTS = [
     ("1", "Planets planets MOON about! don't-stop", "positive"),
@@ -37,33 +37,32 @@ def test_ties_are_ordered_and_one_label_stays(spark):
     assert [r.width for r in topics.topic_bars(topics.served_topics(stored)).collect()] == [100, 100]
 
 
-def test_long_stop_list_gives_the_same_words_as_a_short_one(spark):
+def test_shuffled_word_list_gives_the_same_words_as_a_broadcast_one(spark):
     stops = spark.createDataFrame([("planets",), ("rising",)], "word string")
-    broadcast = topics.word_rows(scored(spark), stops=stops)
-    salted = lookup.join_word_list(
-        topics.word_rows(scored(spark), stops=stops.limit(0)), stops, "left_anti", rows=1, salts=3
-    )
-    assert Counter(r.word for r in broadcast.collect()) == Counter(r.word for r in salted.collect())
-    assert "planets" not in {r.word for r in broadcast.collect()}
+
+    def found():
+        return Counter(r.word for r in topics.word_rows(scored(spark), stops=stops).collect())
+
+    broadcast = found()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found() == broadcast and "planets" not in broadcast
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_stop_list_too_long_to_broadcast_is_applied_to_the_counts(spark, monkeypatch):
+def test_stop_list_passed_in_is_applied_to_the_counts(spark):
     stops = spark.createDataFrame([("planets",), ("rising",)], "word string")
-    short = topics.topic_counts(scored(spark), stops=stops)
-    monkeypatch.setattr(topics, "is_small", lambda frame: False)
-    long = topics.topic_counts(scored(spark), stops=stops)
-    assert short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty()
-    assert {r.word for r in long.collect()} == {"about", "dontstop", "within", "galaxies"}
+    counts = topics.topic_counts(scored(spark), stops=stops)
+    assert {r.word for r in counts.collect()} == {"about", "dontstop", "within", "galaxies"}
 
 
-def test_lexicon_average_and_salted_join_agree(spark):
+def test_lexicon_average(spark):
     words = spark.createDataFrame(
         [("planets", 0.5, 1.0), ("galaxies", -1.0, 0.5)], "word string, polarity double, subjectivity double"
     )
     got = {r.id: (r.polarity, r.subjectivity) for r in lexicon.with_lexicon_scores(scored(spark), words).collect()}
     assert got == {"1": (0.5, 1.0), "2": (-0.25, 0.75), "3": (-1.0, 0.5), "4": (0.0, 0.0)}
-    rows = spark.createDataFrame([("x", "planets")] * 50, "id string, word string")
-    assert lookup.join_word_list(rows, words, "inner", rows=1, salts=4).count() == 50
 
 
 def test_ngrams_do_not_cross_posts(spark):
@@ -91,3 +90,9 @@ def test_feed_defaults(spark):
         {"id": "1", "source": "bluesky", "label": "neutral", "content": "No content"},
         {"id": "2", "source": "src", "label": "positive", "content": "hi"},
     ]
+
+
+def test_copies_of_one_time_with_different_texts_are_ordered(spark):
+    rows = [("u", "1", "s", 5.0, text, "c") for text in ("b", "a", "c")] * 20
+    frame = spark.createDataFrame(rows, "did string, id string, source string, timestamp double, text string, created_at string")
+    assert [r.text for r in posts.latest_distinct(frame.repartition(4), 3).collect()] == ["a"]
