@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodstream.llm import html_text, language_id, mixing, packing, secret_scan, sharding, simhash, topk, toxicity, vector_dedup
+from moodstream.llm.oracle_sql import ORACLES  # noqa: F401
 from moodstream.llm.shared import table
 
 
@@ -18,7 +19,6 @@ def word_tokenizer() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function):
