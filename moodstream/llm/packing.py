@@ -7,8 +7,10 @@ ids form one long run that is cut every ``length`` ids, so only the last sequenc
 
 from __future__ import annotations
 
-import re
+import string
+import struct
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +24,29 @@ from moodstream.llm.shared import in_order, portions, remembered
 from moodstream.session import written
 
 BUCKETS, DIMENSIONS, BITS = 256, 3, 16
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, and as many again that it has met less lately.
+REMEMBERED = 200_000
 SPREAD = 12.0
 
-_LETTERS = re.compile(rb"[a-z]+")
+#: Letters that lower-case and normalise one by one, whatever stands beside them.
+_PLAIN = frozenset(
+    c for c in map(chr, range(0x61, 0x180))
+    if c.isalpha() and (c < "{" or c >= "\xc0") and len(c.lower()) == 1 and normalize("NFC", c) == c
+)
+_MARKS = string.punctuation
+# The characters that stand for bytes in byte-level vocabularies.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_TO_SHOWN = {b: c for b, c in _BYTES.items() if ord(c) != b}
 
 
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins across ASCII white space.
 
     The tokenizer lower-cases and looks at each word alone, so a word's ids are the same wherever it
-    stands and are looked up once.  A text that may hold a special token is encoded as a whole.
+    stands and are looked up once.  Plain letters with marks behind them go straight to the
+    vocabulary's merges, letters and marks apart, as the tokenizer's own rules cut them; other words
+    are encoded in full, and a text that may hold a special token as a whole.
     """
 
     def __init__(self, path: str):
@@ -41,6 +54,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def text(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
@@ -48,31 +62,37 @@ class WordIds:
             return b""
         if "<|" in text:
             return self._encoded(text)
-        parts = text.encode("utf-8", "replace").lower().split()
-        known = self.known
-        missing = {p for p in parts if p not in known}
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = set(parts)
-            for part in missing:
-                known[part] = self._part(part)
-        return b"".join([known[p] for p in parts])
+        parts, out = text.encode("utf-8", "replace").lower().split(), []
+        for low in range(0, len(parts), REMEMBERED):
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+            some = parts[low : low + REMEMBERED]
+            ids = list(map(self.known.get, some))
+            if None in ids:
+                ids = [self._word(part) if found is None else found for part, found in zip(some, ids)]
+            out += ids
+        return b"".join(out)
+
+    def _word(self, part: bytes) -> bytes:
+        found = self.known.get(part) or self.older.get(part) or self._part(part)
+        self.known[part] = found
+        return found
 
     def _part(self, part: bytes) -> bytes:
-        if _LETTERS.fullmatch(part):
-            return _packed([t.id for t in self.tokenizer.model.tokenize(part.decode())])
-        if part[-1:] in b".," and _LETTERS.fullmatch(part[:-1]):  # one mark after a word stands alone
-            word = self.known.get(part[:-1]) or self._part(part[:-1])
-            return word + self._encoded(part[-1:].decode())
-        return self._encoded(part.decode("utf-8", "replace"))
+        word = part.decode("utf-8", "replace")
+        core = word.rstrip(_MARKS)
+        if not core or not _PLAIN.issuperset(core.lower()):
+            return self._encoded(word)
+        shown = core.lower().encode().decode("latin-1").translate(_TO_SHOWN)
+        ids = _packed([t.id for t in self.tokenizer.model.tokenize(shown)])
+        return ids + self._word(part[len(core.encode()) :]) if len(core) < len(word) else ids
 
     def _encoded(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def projection(seed: int = 7) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word, as every contract on words counts it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task handles at once.
-PORTION = 1 << 22
+PORTION = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
