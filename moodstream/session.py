@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -47,16 +49,29 @@ def use_streaming_state(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder for intermediate tables, below the shared folder the cluster names.
+    """A fresh folder for intermediate tables, below the shared folder the cluster names."""
+    return f"{_scratch_base(spark)}/{label}-{uuid.uuid4().hex}"
 
-    Only a local session may fall back to a machine-local temporary folder.
-    """
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables; frames that read them are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch_base(spark: SparkSession) -> str:
+    """Only a local session may fall back to a machine-local folder; it goes when the process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="moodstream-")
-    return f"{base.rstrip('/')}/moodstream/{label}-{uuid.uuid4().hex}"
+        base = _local_folder().name
+    return f"{base.rstrip('/')}/moodstream"
+
+
+@functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="moodstream-", ignore_cleanup_errors=True)
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:

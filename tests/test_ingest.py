@@ -1,7 +1,9 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from moodstream import session
 from moodstream.operators import ingest
 
 
@@ -67,3 +69,11 @@ def test_bounds(spark):
     frame = spark.createDataFrame([("",), ("x",), ("x" * 5000,), ("x" * 5001,), (None,)], "text string")
     fits, rest = ingest.split_by_bounds(frame)
     assert (fits.count(), rest.count()) == (2, 3)
+
+
+def test_scratch_tables_are_removed_on_request(spark):
+    frame = session.written(spark.range(3), "numbers")
+    assert frame.count() == 3 and session.scratch(spark, "a") != session.scratch(spark, "a")
+    files = frame.inputFiles()
+    session.clear_scratch(spark)
+    assert files and not any(Path(name.removeprefix("file://")).exists() for name in files)
