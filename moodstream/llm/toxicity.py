@@ -12,8 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -46,9 +45,9 @@ def words(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """The word and its beginnings as bucket numbers; a short word has fewer beginnings."""
+    """Checksums of the word and its beginnings; a short word has fewer beginnings."""
     parts = [f"={word}", *[word[:n] for n in BEGINNINGS if len(word) > n]]
-    return [zlib.crc32(p.encode("utf-8", "replace")) & (BUCKETS - 1) for p in parts]
+    return [zlib.crc32(p.encode("utf-8", "replace")) for p in parts]
 
 
 class ToxicSpans:
@@ -61,7 +60,7 @@ class ToxicSpans:
         self.curve = np.array([-3.0, 0.0, 0.0, 0.0])
 
     def emission(self, word: str) -> float:
-        return float(np.clip(self.bias + self.weights[features(word)].sum(), -30, 30))
+        return float(np.clip(self.bias + self.weights[[f % BUCKETS for f in features(word)]].sum(), -30, 30))
 
     def marginals(self, emissions: np.ndarray, filled: np.ndarray, moves: bool = False):
         """Probability of the toxic state at each place of each window (rows), by forward-backward.
@@ -99,17 +98,18 @@ class ToxicSpans:
             bo, bt = np.where(here, 2 * bo / total, 1.0), np.where(here, 2 * bt / total, 1.0)
         return (out * filled, pairs) if moves else out * filled
 
-    def fit(self, texts: list[list[str]], toxic: np.ndarray, prior: float) -> ToxicSpans:
-        """Learn from word lists and labels of documents; ``prior`` is the toxic share of all."""
+    def fit(self, texts: Iterable[str | None], toxic: np.ndarray, prior: float) -> ToxicSpans:
+        """Learn from texts and labels of documents; ``prior`` is the toxic share of all."""
         if not toxic.any() or toxic.all():
             return self
         vocabulary: dict[str, int] = {}
-        index = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
+        index = [
+            np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words(t)), np.int32) for t in texts
+        ]
         rows = [features(w) for w in vocabulary]
-        flat = np.fromiter(chain.from_iterable(rows), np.int64)
+        parts = np.fromiter(chain.from_iterable(rows), np.int64)
         of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        marks = _signs(texts, toxic)
-        sign = np.array([any(p in marks for p in _beginnings(w)) for w in vocabulary], bool)
+        sign, flat = _signs(index, parts, of, toxic), parts % BUCKETS
         windows, filled, starts = _windows(index)
         labels = sign[windows] & np.repeat(toxic, np.diff(starts))[:, None] & filled
         seen = np.bincount(windows[filled], minlength=len(rows))
@@ -142,30 +142,27 @@ class ToxicSpans:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _beginnings(word: str) -> list[str]:
-    return [f"={word}", *[word[:n] for n in BEGINNINGS if len(word) > n]]
-
-
-def _signs(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Words (marked ``=``) and beginnings that tell toxic documents from clean ones."""
-    inside, outside, spread = Counter(), Counter(), Counter()
-    for text, bad in zip(texts, toxic):
-        counts = Counter(text)
-        found: Counter = Counter()
-        for word, n in counts.items():
-            for part in _beginnings(word):
-                found[part] += n
-        (inside if bad else outside).update(found)
-        if bad:
-            spread.update(found.keys())
-    size = {True: 1, False: 1}
-    for text, bad in zip(texts, toxic):
-        size[bool(bad)] += len(text)
-    least = max(3, SHARE * toxic.sum())
-    return {
-        part for part, n in spread.items()
-        if n >= least and (inside[part] + 0.5) / size[True] >= RATIO * (outside[part] + 0.5) / size[False]
-    }
+def _signs(index: list[np.ndarray], parts: np.ndarray, of: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which words tell toxic documents from clean ones, by themselves or a beginning.
+
+    ``index`` holds each document's word numbers; ``parts`` the checksums of words and beginnings,
+    ``of`` the word each belongs to.
+    """
+    n = of[-1] + 1 if len(of) else 0
+    counts = [
+        np.bincount(np.concatenate([np.zeros(0, np.int32), *[d for d, bad in zip(index, toxic) if bad == kind]]), minlength=n)
+        for kind in (True, False)
+    ]
+    names, part = np.unique(parts, return_inverse=True)
+    begin = np.searchsorted(of, np.arange(n + 1))
+    inside, outside = (np.bincount(part, own[of], len(names)) for own in counts)
+    spread = np.zeros(len(names))
+    for words_, bad in zip(index, toxic):
+        if bad and len(words_):
+            spread[np.unique(np.concatenate([part[begin[w] : begin[w + 1]] for w in np.unique(words_)]))] += 1
+    rate = (inside + 0.5) / max(1, counts[0].sum()), (outside + 0.5) / max(1, counts[1].sum())
+    marks = (spread >= max(3, SHARE * toxic.sum())) & (rate[0] >= RATIO * rate[1])
+    return np.bincount(of, marks[part], n) > 0
 
 
 def _windows(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +170,7 @@ def _windows(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     sizes = np.array([len(t) for t in index], np.int64)
     rows = -(-sizes // WINDOW)
     starts = np.concatenate([[0], np.cumsum(rows)])
-    words = np.concatenate([*index, np.zeros(0, np.int64)])
+    words = np.concatenate([*index, np.zeros(0, np.int64)]).astype(np.int64, copy=False)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[:-1], sizes) * WINDOW
     out, filled = np.zeros(starts[-1] * WINDOW, np.int64), np.zeros(starts[-1] * WINDOW, bool)
     out[place], filled[place] = words, True
@@ -235,8 +232,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows
     # 2 * rows ids at most
     sample = documents.select(id_column, "text").join(F.broadcast(chosen), id_column)
     got = sample.orderBy(id_column, "text").toPandas()
-    texts = [words(t) for t in got["text"]]
-    return ToxicSpans().fit(texts, got["toxic"].to_numpy() == 1, sizes[1] / (sizes[0] + sizes[1]))
+    return ToxicSpans().fit(got["text"], got["toxic"].to_numpy() == 1, sizes[1] / (sizes[0] + sizes[1]))
 
 
 def tag(frame: DataFrame, model: ToxicSpans, text: str = "text") -> DataFrame:
