@@ -22,6 +22,8 @@ from moodstream.llm.shared import dealt_out, held_out
 ORDER = 3
 #: Labelled texts per language that the trees are grown from, about.
 FIT_ROWS = 2000
+#: Languages that are learned: the most frequent ones, should the labels hold more.
+MAX_LANGS = 1000
 #: Nodes of all trees together; the most frequent ones stay.
 MAX_NODES = 1_000_000
 WINDOW = 1 << 19
@@ -171,7 +173,8 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", rows: int = FIT_ROWS, no
     Spark job, and the ``nodes`` most frequent nodes reach the driver.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    often = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS)
+    sizes = {r["lang"]: r["count"] for r in often.collect()}
     if not sizes:
         return ContextTrees(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     steps = 1 << 20
