@@ -38,6 +38,8 @@ NAMES = set(
     "overlay subscribe subscription newsletter signup login comment comments disqus respond replies share sharing "
     "social related recommended recommendations pagination pager toolbar skip".split()
 )
+#: With one of these a class speaks of the page around the element ("has-sidebar").
+AROUND = set("has with no without layout".split())
 #: A start tag on the left ends an open element on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
@@ -212,8 +214,11 @@ def _outside(name: str, attributes: str) -> bool:
             return True
         if kind == "role" and value.strip() in ROLES:
             return True
-        if kind in ("class", "id") and not NAMES.isdisjoint(_PARTS.findall(value)):
-            return True
+        if kind in ("class", "id"):
+            for word in value.split():
+                parts = _PARTS.findall(word)
+                if not NAMES.isdisjoint(parts) and AROUND.isdisjoint(parts):
+                    return True
     return False
 
 

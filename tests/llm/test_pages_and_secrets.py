@@ -22,6 +22,7 @@ LONG = "This is a sentence of the article that goes on for a while. " * 4
     (f"<script>var x = '<p>no</p>';</script><style>p {{}}</style><!-- <p>no</p> --><p>{LONG}</p>", LONG.strip()),
     (f"<form><p>{LONG}</p></form><aside>{LONG}</aside><div role=alert>{LONG}</div><header>h</header><p>yes</p>", "yes"),
     (f"<main><p>{LONG}<table><tr><td>a<td>b</table>tail</main>", f"{LONG.strip()} a b tail"),
+    (f"<div class='layout has-sidebar'><div class='side sidebar-left'>no</div><p>{LONG}</p></div>", LONG.strip()),
     ("<p>a<em>b</em>c <i> d</i></p><p hidden>no</p>", "abc d"), ("<<<<>>>", "<<<<>>>"),
     ("<ul>" + "<li><a href=x>link</a>" * 3 + "</ul>" + f"<div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}{LONG}".strip()),
 ])
