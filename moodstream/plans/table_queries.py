@@ -671,7 +671,7 @@ def _training(spark, folder):
 def rf_train_metrics(spark, folder):
     """Samples, vocabulary size, and whether the forest does at least as well as the commonest label."""
     rows = _training(spark, folder)
-    metrics = learn.training_metrics(learn.train(rows), rows)
+    metrics = learn.training_metrics(learn.train(rows, stop=stop_words()), rows)
     commonest = rows.groupBy("label").count().agg(F.max("count").alias("n"))
     better = F.col("training_accuracy") >= F.round(F.col("n") / F.col("samples"), 4)
     return metrics.crossJoin(F.broadcast(commonest)).select("samples", "features", better.alias("beats_commonest"))
