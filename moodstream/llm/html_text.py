@@ -52,7 +52,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute: its whole name, and its value if it has one.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+)))?|"[^"]*+"?|'[^']*+'?""")
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
@@ -208,8 +209,12 @@ def _outside(name: str, attributes: str) -> bool:
         return True
     if not attributes or name in ("html", "body", "main", "article"):
         return False
-    for match in _NAMED.finditer(attributes):
-        kind, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
+    seen = set()
+    for match in _ATTRIBUTE.finditer(attributes):
+        kind, value = (match[1] or "").lower(), (match[2] or match[3] or match[4] or "").lower()
+        if kind in seen:  # of a repeated attribute the first counts
+            continue
+        seen.add(kind)
         if kind == "hidden" or kind == "aria-hidden" and value == "true":
             return True
         if kind == "role" and value.strip() in ROLES:

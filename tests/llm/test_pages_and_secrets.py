@@ -30,6 +30,28 @@ def test_articles(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'title="a hidden gem"', "title='the id=nav of it'", 'data-id="nav"', 'data-role="banner"',
+    'data-class=ad', 'x-hidden', 'data-hidden="true"', 'aria-hidden="false"', 'class=post title="class=\'ad\'"', 'alt=hidden',
+    'href="a"hiddenish', 'class="post" class="ad"',
+])
+def test_other_attributes_hide_nothing(attributes):
+    assert main_text(f"<div {attributes}><p>{LONG}</p></div>") == LONG.strip()
+
+
+@pytest.mark.parametrize("attributes", [
+    "hidden", 'title="x" hidden', "HIDDEN=''", "id = nav", "data-id=x role='banner'", "aria-hidden=true", 'style="a:b"class="ad"',
+    "class=ad/", 'title="x"hidden',
+])
+def test_named_attributes_hide(attributes):
+    assert main_text(f"<div {attributes}><p>{LONG}</p></div><p>yes</p>") == "yes"
+
+
+def test_odd_attributes_end():
+    for attributes in ("a=" * 10**5, "a" * 10**6, '"' * 10**5, "a= " * 10**5, "='" * 10**5, " " * 10**6, "/=" * 10**5):
+        main_text(f"<div {attributes}><p>x</p></div>")
+
+
 def test_odd_pages_end():
     for page in ("<div>" * 5000 + "x", "<a title=\"" * 3000, "<" * 50_000, "<p>" * 20_000 + "x", "<!--" + "x" * 10**6):
         main_text(page)
