@@ -21,13 +21,19 @@ DICTIONARY = 3000
 CUT = 0.5
 MASK = "[SECRET]"
 
-#: A key block, a quoted value, or a run of key characters with a digit in it.
+NAMES = r"secret|token|passw|pwd|api.?key|access.?key|auth|credential|private|bearer"
+#: Ends a value only where the text goes on without it: at a space, the end, another mark or the next name.
+_MARK = r"[.,;&)\]}](?=[\s.,;&)\]}\"'`]|$|[A-Za-z_][\w-]{0,64}\s{0,4}[=:])"
+#: A key block, a value given to something named a secret, a quoted value, or a run of key characters with a digit in
+#: it and at most padding behind.  None has a longest length; the possessive loops don't recurse on long texts.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{3,40}-----[^-]{1,10000}-----END [A-Z ]{3,40}-----"
-    r"|(?<=[\"'])[^\s\"']{8,512}(?=[\"'])"
-    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,512}"
+    r"-----BEGIN [A-Z0-9 ]{3,40}-----(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{3,40}-----"
+    r"|(?<=[=:>][\s\"'`]{0,5})(?=[^\s\"'`=:<>-])"
+    rf"(?<=(?i:{NAMES})[\w-]{{0,24}}[\"'`]?\s{{0,4}}(?:=>|[=:]{{1,2}})\s{{0,4}}[\"'`]?)(?:(?!{_MARK})[^\s\"'`<>]){{4,}}+"
+    r"|(?<=[\"'])[^\s\"']{8,}+(?=[\"'])"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?+"
 )
-KEY_WORD = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|auth|credential|private|bearer)[^\n]{0,24}$"
+KEY_WORD = rf"(?i)({NAMES})[^\n]{{0,24}}$"
 DUMMY = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|test|1234567890"
 
 FEATURES = [
@@ -47,21 +53,27 @@ def dictionary(frame: DataFrame, text: str = "text", size: int = DICTIONARY) ->
 def candidates(text: str, path: str, words: list[str]) -> Column:
     """Candidates of a text: start (code points from 0), value and features.
 
-    The gaps before each candidate are captured with it, so that starts are running sums.
+    The gaps before each candidate are captured with it, so that starts are running sums.  The 60
+    characters before a candidate reach into the candidates before it, as a value's name may be one.
     """
     split = rf"(?s)\G(.*?)({CANDIDATE})"  # \G: behind the last candidate the search ends at once
     pairs = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(split), F.lit(1)).alias("gap"),
         F.regexp_extract_all(text, F.lit(split), F.lit(2)).alias("value"),
     )
-    begin = F.expr("struct(0L as upto, cast(array() as array<struct<start:bigint,value:string,gap:string>>) as found)")
+
+    def before(done: Column, pair: Column) -> Column:
+        return F.right(F.concat(done["tail"], F.right(pair["gap"], F.lit(60))), F.lit(60))
+
+    begin = F.expr("struct(0L as upto, '' as tail, cast(array() as array<struct<start:bigint,value:string,gap:string>>) as found)")
     located = F.aggregate(
         pairs, begin,
         lambda done, pair: F.struct(
             (done["upto"] + F.length(pair["gap"]) + F.length(pair["value"])).alias("upto"),
+            F.right(F.concat(before(done, pair), F.right(pair["value"], F.lit(60))), F.lit(60)).alias("tail"),
             F.concat(done["found"], F.array(F.struct(
                 (done["upto"] + F.length(pair["gap"])).alias("start"), pair["value"].alias("value"),
-                F.right(pair["gap"], F.lit(60)).alias("gap"),
+                before(done, pair).alias("gap"),
             ))).alias("found"),
         ),
         lambda done: done["found"],

@@ -111,6 +111,36 @@ def test_secrets_of_odd_rows(spark):
     assert secret_scan.dictionary(docs.limit(0)) == []
 
 
+BODY = "MIIEpAIBAAKCAQEA" * 2000
+DEK = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,9F8A\n\n{BODY}\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("text, values", [
+    (f"export API_KEY={KEY}", [KEY]), (f"MY_SERVICE_2_SECRET_TOKEN={KEY}", ["MY_SERVICE_2_SECRET_TOKEN", KEY]),
+    (f"é key_{KEY} x", [f"key_{KEY}"]), (f"see {KEY[:23]}== x", [f"{KEY[:23]}=="]), (f"a {KEY * 50} b", [KEY * 50]),
+    (f'token = "{KEY * 50}"', [KEY * 50]), (f"x {'a' * 900}1 y", [f"{'a' * 900}1"]), (f"k {DEK} e", [DEK]),
+    ("password=hunter2\nuser=bob", ["hunter2"]), ("password: p@ss,w0rd!, user: x", ["p@ss,w0rd!"]),
+    ('{"pwd": "abc12"}', ["abc12"]), ("http://x/?token=ab12&user=bob", ["ab12"]), ("f(auth_token='q1w2')", ["q1w2"]),
+    ("the token is here: nothing", []), (f"{DEK[:40]} {DEK}", [DEK]),
+])
+def test_candidates_are_whole(spark, text, values):
+    frame = spark.createDataFrame([(text, "x")], "text string, path string")
+    found = frame.select(secret_scan.candidates("text", "path", []).alias("c")).first().c or []
+    assert [c.value for c in found] == values
+    assert all(text[c.start : c.start + c.length] == c.value for c in found)
+    if "=" in text and values[-1:] == [KEY]:
+        assert found[-1].features.key_word == 1 and found[-1].features.assigned == 1
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN RSA PRIVATE KEY-----" * 20_000, "-" * 200_000, "a-" * 200_000, "=" * 200_000, '"' * 200_000,
+    "token=" * 40_000, "password=" + "a,b" * 200_000, f"-----BEGIN A KEY-----{'x-' * 300_000}-----END A KEY-----",
+])
+def test_candidates_of_odd_texts_end(spark, text):
+    frame = spark.createDataFrame([(text, "x")], "text string, path string")
+    frame.select(secret_scan.candidates("text", "path", []).alias("c")).collect()
+
+
 def test_forest_in_sql_is_the_forest(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {(r.doc_id, r.start) for r in QUERIES["op10_secret_forest"](spark, "/root/testdata/sf0.01").collect()}
