@@ -34,11 +34,27 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?+"
 )
 KEY_WORD = rf"(?i)({NAMES})[^\n]{{0,24}}$"
-DUMMY = r"(?i)example|sample|dummy|placeholder|changeme|your|xxxx|test|1234567890"
+_DUMMY = r"(?:example|sample|dummy|placeholder|changeme|your|x{4,}|test)"
+#: A stand-in word, whole, in the value, or in the name right before it.
+DUMMY_VALUE = rf"(?i)(?<!\p{{L}}){_DUMMY}(?!\p{{L}})|^1234567890"
+DUMMY_NAME = rf"(?i)(?<!\p{{L}}){_DUMMY}(?!\p{{L}})[\w-]{{0,40}}[\"'`]?\s{{0,4}}(?:=>|[=:]{{0,2}})\s{{0,4}}[\"'`]?$"
+#: Values that are secrets by their own form: private key blocks and tokens with a known beginning.
+SURE = (
+    r"^-----BEGIN [A-Z0-9 ]*PRIVATE KEY|^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$"
+    r"|^github_pat_[A-Za-z0-9_]{22,}$|^glpat-[A-Za-z0-9_-]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$"
+    r"|^[sr]k_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^npm_[A-Za-z0-9]{36}$"
+)
+#: Such tokens need no digit to be candidates.
+_TOKENS = (
+    r"(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|npm_[A-Za-z0-9]{36}"
+    r"|[sr]k_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}+|glpat-[A-Za-z0-9_-]{20,}+)"
+    r"(?![A-Za-z0-9_+/-])"
+)
+CANDIDATE = f"{_TOKENS}|{CANDIDATE}"
 
 FEATURES = [
     "length", "digits", "capitals", "turns", "case_turns", "distinct", "hex", "cover", "path_depth", "path_test",
-    "key_word", "assigned", "quoted", "dummy", "before", "after",
+    "key_word", "assigned", "quoted", "dummy", "before", "after", "sure", "mixed",
 ]
 
 
@@ -109,9 +125,11 @@ def _features(c: Column, text: Column, path: Column, words: list[str]) -> Column
         "key_word": gap.rlike(KEY_WORD),
         "assigned": gap.rlike("[=:]\\s*[\"'`]?$"),
         "quoted": gap.rlike("[\"'`]$"),
-        "dummy": F.concat(gap, F.lit(" "), value).rlike(DUMMY),
+        "dummy": value.rlike(DUMMY_VALUE) | gap.rlike(DUMMY_NAME),
         "before": F.length(F.regexp_extract(gap, r"(\p{L}+)[^\p{L}]*$", 1)),
         "after": F.length(F.regexp_extract(follows, r"^[^\p{L}]*(\p{L}+)", 1)),
+        "sure": value.rlike(SURE) & ~value.rlike(DUMMY_VALUE),
+        "mixed": value.rlike("[^A-Za-z]|[a-z][A-Z]"),
     }
     return F.struct(*[values[name].cast("double").alias(name) for name in FEATURES])
 
@@ -123,11 +141,15 @@ def findings(frame: DataFrame, id_column: str, text: str, path: str, words: list
 
 
 def likely(features: Column) -> Column:
-    """A label for findings nobody has looked at: a varied value given to something named a secret."""
-    return (
+    """A label for findings nobody has looked at: a secret by its form, or a varied value given to something
+    named a secret; a short one is quoted or holds more than a word.
+    """
+    named = (
         (features["key_word"] == 1) & (features["assigned"] == 1) & (features["dummy"] == 0)
-        & (features["distinct"] >= 0.15) & (features["length"] >= 12)
-    ).cast("double")
+        & (features["distinct"] >= 0.15)
+        & ((features["length"] >= 12) | (features["quoted"] == 1) | (features["mixed"] == 1))
+    )
+    return (named | (features["sure"] == 1)).cast("double")
 
 
 def grow(labelled: DataFrame, rows: int = FIT_ROWS, seed: int = 7) -> str | None:
@@ -173,9 +195,11 @@ def scan(
     """``frame`` with ``secrets``: start, length, value and score of every finding above the cut.
 
     Whole texts are searched, row by row, without a shuffle.  Null and empty texts have no secrets
-    (an empty list); a null path counts as empty.  Without a forest the label rule decides.
+    (an empty list); a null path counts as empty.  A secret by its own form needs no forest, which may
+    have seen none of its kind.  Without a forest the label rule decides.
     """
     score = "if(f.key_word = 1 and f.assigned = 1 and f.dummy = 0, 1D, 0D)" if forest is None else forest
+    score = f"if(f.sure = 1, 1D, {score})"
     found = frame.drop("secrets").withColumn("_found", candidates(text, path, words))
     scored = F.expr(
         "transform(_found, c -> struct(c.start as start, c.length as length, c.value as value, "
