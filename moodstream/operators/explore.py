@@ -60,25 +60,28 @@ def lda_topics(
     topics: int = 5,
     terms: int = 10,
     *,
-    vocabulary: int = 1 << 18,
+    vocabulary: int | None = None,
     iterations: int = 20,
     seed: int = 42,
     text: str = "text",
 ) -> DataFrame:
     """``topic, rank, term, weight`` of a latent topic model over topic words.
 
-    Every step of the fit sees all posts.  ``vocabulary`` bounds what the driver holds; words of
-    fewer than two posts are left out.
+    Every step of the fit sees all posts and every word of at least two posts, as counted first; the
+    driver holds these words and their weights.  ``vocabulary`` keeps the most frequent ones only.
     """
     words = posts.select(topic_tokens(text, stop_words()).alias("_words"))
+    if vocabulary is None:
+        held = words.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").count()
+        vocabulary = max(1, held.where("count >= 2").count())
     counter = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary, minDF=2)
     lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0)
     model = Pipeline(stages=[counter, lda]).fit(words)
     names = model.stages[0].vocabulary
-    listed = posts.sparkSession.createDataFrame(list(enumerate(names)), "index int, term string")
-    described = model.stages[1].describeTopics(terms).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights"))
-    )
+    topic_rows = model.stages[1].describeTopics(terms)
+    shown = sorted({i for row in topic_rows.select("termIndices").collect() for i in row[0]})  # terms of each topic
+    listed = posts.sparkSession.createDataFrame([(i, names[i]) for i in shown], "index int, term string")
+    described = topic_rows.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")))
     return (
         described.select(
             "topic", (F.col("pos") + 1).alias("rank"),

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,27 @@ def test_model_giving_too_few_ratings_spoils_no_row(spark):
 
     frame = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "id int, text string")
     assert {r.bert.label for r in models.score_with_model(frame, load).collect()} == {"positive"}
+
+
+def test_term_weights_need_no_vocabulary(texts, monkeypatch):
+    def fail(*_):
+        raise AssertionError("a vocabulary is fitted")
+
+    monkeypatch.setattr(learn.CountVectorizer, "_fit", fail)
+    got = {r.term: (r.df, round(r.idf, 9)) for r in learn.term_weights(texts, stop=["number"]).collect()}
+    assert got["sunshine holiday"] == got["good"] == (12, round(math.log(37 / 13), 9))
+    assert not any("number" in term for term in got) and len(got) == 21
+
+
+def test_topic_vocabulary_is_counted(texts, monkeypatch):
+    sizes = []
+
+    class Counter(explore.CountVectorizer):
+        def __init__(self, **options):
+            sizes.append(options["vocabSize"])
+            super().__init__(**options)
+
+    monkeypatch.setattr(explore, "CountVectorizer", Counter)
+    assert explore.lda_topics(texts, topics=2, terms=3, iterations=2).count() == 6
+    words = texts.select(F.explode(F.array_distinct(explore.topic_tokens("text", explore.stop_words()))).alias("w"))
+    assert sizes == [words.groupBy("w").count().where("count >= 2").count()]
