@@ -18,9 +18,11 @@ from moodstream.session import written
 FIT_ROWS = 32_768
 CELL_ROWS = 1024
 MAX_CELLS = 1024
-#: Cells that a vector is compared in: its own and the next nearest.
-PROBES = 6
-BLOCK = 4096
+#: Added to the reach of a vector, against rounding.
+SLACK = 1e-9
+BLOCK = 16_384
+#: Sampled vectors by which the cells' rows are estimated.
+TRIED = 4096
 AT_ONCE = 512
 #: Centroids nearer to each other than this are one cell, so that a hot group is not cut apart.
 APART = 0.7
@@ -54,13 +56,12 @@ def _apart(vectors: np.ndarray, most: int) -> np.ndarray:
 
 def near_groups(
     frame: DataFrame, id_column: str = "vec_id", vector: str = "embedding", threshold: float = 0.9,
-    probes: int = PROBES,
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` of every id: links are pairs of cosine >= threshold.
 
     Cells are fitted on a bounded sample; every vector is placed.  A vector is compared in full
-    double precision with all vectors of its own cell and of the ``probes - 1`` next cells, so a
-    pair is found when either's own cell is among the other's; recall is measured in the tests.
+    double precision with all vectors of its own cell and of every earlier cell that can hold a
+    neighbour of it (``_reached``), so no pair is missed, however many cells there are.
     Each pair counts once.  A cell above the block size is compared block against block in tasks of
     their own.  ``component_id`` is the smallest id reachable, ``kept`` marks it.  Vectors that are
     null, zero, or hold null or non-finite components link with nothing; shorter vectors are filled
@@ -68,7 +69,7 @@ def near_groups(
     """
     vectors = written(usable(frame, id_column, vector), "vectors")
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    found = written(_compare(_placed(vectors, n, width, probes), threshold), "links")
+    found = written(_compare(_placed(vectors, n, width, threshold), threshold), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("n_links")).withColumnRenamed("id", "_id")
     groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     ids = frame.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id")).distinct()
@@ -82,15 +83,19 @@ def near_groups(
     )
 
 
-def _placed(vectors: DataFrame, n: int, width: int, probes: int) -> DataFrame:
-    """``(id, unit, cells)``: unit vectors as bytes and their nearest cells, own cell first."""
+def _placed(vectors: DataFrame, n: int, width: int, threshold: float) -> DataFrame:
+    """``(id, unit, cells)``: unit vectors as bytes and the cells they are compared in, own cell first."""
     sample = vectors.where(hash_share(FIT_ROWS / max(n, 1), "id")).orderBy("id").toPandas()
     rows = matrix(sample["vector"], width)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     rows = (rows / np.where(length > 0, length, 1))[length[:, 0] > 0]
     cells = max(1, min(MAX_CELLS, n // CELL_ROWS))
     centres = fit_cells(rows, cells) if len(rows) else np.eye(1, width)
-    near = min(probes, len(centres))
+    tried = rows[:TRIED]
+    if len(tried):  # one cell finds the same pairs: where the cells save nothing, it moves fewer rows
+        members = np.bincount(np.concatenate(_reached(tried, centres, threshold))) * (n / len(tried))
+        if (members * np.ceil(members / BLOCK)).sum() >= n * np.ceil(n / BLOCK):
+            centres = centres[:1]
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
@@ -102,16 +107,35 @@ def _placed(vectors: DataFrame, n: int, width: int, probes: int) -> DataFrame:
             if not fine.any():
                 continue
             x, ids = x[fine] / length[fine, None], rows["id"].to_numpy()[fine]
-            likeness = x @ centres.T
-            order = np.argsort(-likeness, axis=1, kind="stable")[:, :near].astype(np.int32)
-            yield pd.DataFrame({"id": ids, "unit": [v.tobytes() for v in x], "cells": list(order)})
+            yield pd.DataFrame({"id": ids, "unit": [v.tobytes() for v in x], "cells": _reached(x, centres, threshold)})
 
     return written(vectors.mapInPandas(place, "id long, unit binary, cells array<int>"), "placed")
 
 
+def _reached(unit: np.ndarray, centres: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Each vector's own cell and the earlier cells that a vector of cosine >= ``threshold`` may have for its own.
+
+    A vector of cell h is no nearer to centre c than to h, so it lies on h's side of the plane between
+    them.  From x in cell c that plane is (x.c - x.h) / |c - h| away, and a unit vector within the
+    angle of the threshold gets at most the sine of that angle closer to it.
+    """
+    likeness = unit @ centres.T
+    home = likeness.argmax(axis=1)
+    reach = np.sqrt(1 - threshold * threshold) + SLACK if threshold > 0 else np.inf
+    numbers = np.arange(len(centres), dtype=np.int32)
+    found: list[np.ndarray] = [numbers[:1]] * len(unit)
+    for c in np.unique(home):
+        rows = np.flatnonzero(home == c)
+        between = np.linalg.norm(centres[:c] - centres[c], axis=1)
+        near = likeness[rows, c, None] - likeness[rows, :c] <= (reach * between if reach < np.inf else reach)
+        for row, hit in zip(rows, near):
+            found[row] = np.concatenate([numbers[c : c + 1], numbers[:c][hit]])
+    return found
+
+
 def _compare(placed: DataFrame, threshold: float) -> DataFrame:
     """``(id, links, root)`` from each block pair of each cell: links found, smallest id connected."""
-    members = placed.withColumn("cell", F.explode("cells"))
+    members = placed.select("id", "unit", F.col("cells")[0].alias("home"), F.explode("cells").alias("cell"))
     # a row for each cell, of which there are at most MAX_CELLS
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     blocks = sizes.select("cell", F.ceil(F.col("size") / BLOCK).alias("blocks"))
@@ -123,8 +147,7 @@ def _compare(placed: DataFrame, threshold: float) -> DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
         cell, low, high = (int(rows[c].iloc[0]) for c in ("cell", "low", "high"))
         unit = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
-        cells, block = np.stack(rows["cells"].to_numpy()), rows["block"].to_numpy()
-        own = cells[:, 0] == cell
+        own, block = rows["home"].to_numpy() == cell, rows["block"].to_numpy()
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
         if low == high:
             sides = [(np.flatnonzero(own), np.arange(len(rows)))]
@@ -139,24 +162,16 @@ def _compare(placed: DataFrame, threshold: float) -> DataFrame:
                 if low == high:
                     keep = (i < j) | ((i > j) & ~own[j])  # pairs inside the cell come twice
                     i, j = i[keep], j[keep]
-                keep = ~(_elsewhere(cells, cell, i, j) | _elsewhere(cells, cell, j, i))
-                i, j = i[keep], j[keep]
                 links += np.bincount(i, minlength=len(rows)) + np.bincount(j, minlength=len(rows))
                 _hook(root, i, j)
         some = links > 0
         ids = rows["id"].to_numpy()
         return pd.DataFrame({"id": ids[some], "links": links[some], "root": ids[root[some]]})
 
-    columns = dealt.select("cell", "low", "high", "block", "id", "unit", "cells")
+    columns = dealt.select("cell", "low", "high", "block", "id", "unit", "home")
     return columns.groupBy("cell", "low", "high").applyInPandas(compare, "id long, links long, root long")
 
 
-def _elsewhere(cells: np.ndarray, cell: int, own: np.ndarray, visitor: np.ndarray) -> np.ndarray:
-    """Pairs that the visitor's own, smaller cell has too, since the other visits it."""
-    home = cells[visitor, 0]
-    return (cells[own, 0] == cell) & (home < cell) & (cells[own] == home[:, None]).any(axis=1)
-
-
 def _hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the groups of linked rows; ``root`` holds the smallest row of each group."""
     while len(i):

@@ -54,6 +54,24 @@ def test_vector_groups(spark, monkeypatch, cell_rows, block):
         assert got[vec_id] == (0, vec_id, True)
 
 
+def test_links_over_hundreds_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "CELL_ROWS", 8)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2400, 24))
+    x[1200:] = x[:1200] + 0.42 * rng.standard_normal((1200, 24))  # cosines around 0.92
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x.astype(np.float32))]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert len(vector_dedup.fit_cells(unit, 300)) > 200
+    reached = vector_dedup._reached(unit, vector_dedup.fit_cells(unit, 300), 0.9)
+    home = np.array([r[0] for r in reached])
+    near = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1))
+    assert all(home[j] in reached[i] or home[i] in reached[j] for i, j in near)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    expected, links = _brute_groups(rows)
+    assert links > 1000 and got == expected
+
+
 def test_vector_groups_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert vector_dedup.near_groups(empty).count() == 0
