@@ -49,4 +49,39 @@ placed AS (SELECT k.doc_id, k.source, size, source_size, target,
 SELECT doc_id, source, size, source_size, target, (epochs * size
     + least(greatest(floor(target) - epochs * source_size - before, 0), size))::BIGINT AS taken FROM placed"""
 
-ORACLES = {"op2_impact_top5": TOP5, "op4_vector_groups": VECTOR_GROUPS, "op9_mix_sources": MIX}
+_ITEM_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+RANKED = f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_ITEM_TERM}')) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY 1),
+every AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tfs, every GROUP BY 1),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_ITEM_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf
+        + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+    FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), every GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10"""
+
+_WINDOW = 35
+
+REPEATS = f"""WITH cut AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS words FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(words) - {_WINDOW} + 2)) AS i, words FROM cut),
+windows AS (SELECT doc_id, i, sha256(array_to_string(words[i : i + {_WINDOW} - 1], ' ')) AS h FROM starts),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, list(i) AS places FROM windows JOIN twice USING (h) GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {_WINDOW})) AS i FROM (SELECT doc_id, unnest(places) AS i FROM hits)),
+gaps AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY 1),
+kept AS (SELECT doc_id, list(word ORDER BY i) AS words FROM (
+        SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM cut SEMI JOIN gaps USING (doc_id))
+    ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT cut.doc_id, len(cut.words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN gone IS NULL THEN cut.words ELSE coalesce(kept.words, []) END, ' ')) AS kept_sha256
+FROM cut LEFT JOIN gaps USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {"op2_impact_top5": TOP5, "op4_vector_groups": VECTOR_GROUPS, "op9_mix_sources": MIX,
+           "op12_repeated_passages": REPEATS, "op13_ranked_items": RANKED}

@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import html_text, language_id, mixing, packing, secret_scan, sharding, simhash, topk, toxicity, vector_dedup
+from moodstream.llm import (
+    html_text, language_id, mixing, packing, ranked_search, secret_scan, sharding, simhash, substring_dedup,
+    token_alignment, topk, toxicity, vector_dedup,
+)
 from moodstream.llm.oracle_sql import ORACLES  # noqa: F401
 from moodstream.llm.shared import table
 
 
-def word_tokenizer() -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_tokenizer() -> str:
+    return tokenizer_file("word_bpe_49k.json")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +82,20 @@ def op8_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, folder, "documents"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return token_alignment.align(documents, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op12_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, folder, "documents"), form="sha256")
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
+@query
+def op13_ranked_items(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
