@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -51,6 +52,12 @@ def in_order(frame: DataFrame, *keys: str) -> DataFrame:
     return placed.select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at"))
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does once the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dealt_out(spark: SparkSession, value: object) -> Callable[[], object]:
     """A function for tasks that gives ``value``; the value, classes included, is broadcast once."""
     box = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -7,10 +7,9 @@ same name to the same run or pair without asking each other.  What a round does
 on its neighbours only: inside a passage the symbols are the same wherever the passage stands, but
 for the outermost one on either side, which may join something outside.
 
-A window is judged by the longest symbol that lies inside it in any round (its *anchor*): equal
+A window is judged by one long symbol that lies inside it in some round (its *anchor*): equal
 windows have equal anchors.  Spark counts the anchors of the whole corpus; those seen once are done
-with.  Windows around the others are verified, as whole classes first and one by one where a class
-stands alone.
+with.  The windows around the others are named too, and compared with all windows of the same anchor.
 """
 
 from __future__ import annotations
@@ -25,12 +24,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodstream.llm.shared import portions
+from moodstream.llm.shared import portions, settle
 from moodstream.session import written
 
 WIDTH = 35
-#: Runs are named in every third round; pairs in each.
-RUN_EVERY = 3
+#: Symbols of this many words are long enough for an anchor: the one with the least hash counts, so
+#: neighbouring windows mostly share theirs.
+LONG = 8
+#: Anchors seen more often than this are compared class by class, others row by row.
+COMMON = 64
 #: Windows of one anchor that share a row; their verdicts are bits of a long.
 MOST = 60
 #: Words renamed at once; a longer text is cut into pieces that overlap by a window less a word.
@@ -71,36 +73,34 @@ def _powers(base: int, n: int) -> np.ndarray:
 def anchors(names: np.ndarray, text: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(start, key, at)`` of every window of ``width`` words inside one text (``text``: its number, sorted).
 
-    ``key`` is the name of the longest symbol inside the window in any round, ``at`` the word it
-    begins with.  Whether a symbol counts as inside is read from the window alone: at each round the
-    first and last run are left out where runs are named, and an outermost symbol that could pair
-    with a neighbour outside.  A window without such a symbol is its own anchor.
+    ``key`` names the symbol chosen inside the window: of those of ``LONG`` words the one with the
+    greatest hash, else the longest.  ``at`` is the word it begins with.  Whether a symbol counts as
+    inside is read from the window alone: the first and last run of words are left out, and at each
+    round an outermost symbol that could pair with a neighbour outside.  Runs of words are named
+    first; what repeats in later rounds stays a row of equal symbols.  A window without a pair inside
+    is its own anchor.
     """
     n = len(names)
     ends = np.searchsorted(text, text, side="right")
     start = np.flatnonzero(np.arange(n) + width <= ends)
-    rank, key, at = np.zeros(len(start), _U), window_names(names, start, width), start.copy()
+    rank, key, at = np.zeros(len(start), _U), np.zeros(len(start), _U), start.copy()
     symbol, owner, first = names, text, np.arange(n)
     open_, low, high = np.arange(len(start)), start.copy(), start + width
+    if len(open_):
+        fresh = np.append(True, (symbol[1:] != symbol[:-1]) | (owner[1:] != owner[:-1]))
+        run, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        times = np.diff(np.append(begin, n)).astype(_U)
+        named = mixed(symbol[begin] + times * _U(_STEP))
+        symbol, owner, first = np.where(times > 1, named, symbol[begin]), owner[begin], first[begin]
+        low, high = run[low] + 1, run[high - 1]
     round_ = 0
-    while len(open_):
-        if round_:
-            length = np.minimum(np.diff(np.append(first, n)), 255).astype(_U)
-            value = (length << _U(56)) | (symbol >> _U(8))
-            best = _best(value, low, high)
-            longer = value[best] > rank[open_]
-            rank[open_[longer]] = value[best[longer]]
-            key[open_[longer]], at[open_[longer]] = symbol[best[longer]], first[best[longer]]
-        if round_ % RUN_EVERY == 0:
-            fresh = np.append(True, (symbol[1:] != symbol[:-1]) | (owner[1:] != owner[:-1]))
-            run, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-            times = np.diff(np.append(begin, len(symbol))).astype(_U)
-            named = mixed(symbol[begin] + times * _U(_STEP) + _U(round_))
-            symbol, owner, first = np.where(times > 1, named, symbol[begin]), owner[begin], first[begin]
-            low, high = run[low] + 1, run[high - 1]
-        right = (mixed(symbol + _U(round_ + 1)) >> _U(63)).astype(np.int64)
+    while True:
+        round_ += 1
         inside = low < high
         open_, low, high = open_[inside], low[inside], high[inside]
+        if not len(open_):
+            break
+        right = (mixed(symbol + _U(round_)) >> _U(63)).astype(np.int64)
         low, high = low + right[low], high - 1 + right[high - 1]
         inside = low < high
         open_, low, high = open_[inside], low[inside], high[inside]
@@ -110,7 +110,15 @@ def anchors(names: np.ndarray, text: np.ndarray, width: int = WIDTH) -> tuple[np
         place = np.cumsum(kept) - 1
         symbol, owner, first = np.where(pair, named, symbol)[kept], owner[kept], first[kept]
         low, high = place[low], place[high - 1] + 1
-        round_ += 1
+        if len(open_):
+            length = np.minimum(np.diff(np.append(first, n)), LONG).astype(_U)
+            value = (length << _U(56)) | (mixed(symbol) >> _U(8))
+            best = _best(value, low, high)
+            better = value[best] > rank[open_]
+            rank[open_[better]] = value[best[better]]
+            key[open_[better]], at[open_[better]] = symbol[best[better]], first[best[better]]
+    alone = rank == 0
+    key[alone] = window_names(names, start[alone], width)
     return start, key, at
 
 
@@ -178,36 +186,72 @@ def anchor_rows(frame: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def window_rows(found: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(who, what, key, first, names)``: 64-bit names of the windows that ``found`` lists, from its texts."""
+    """``(who, what, key, common, first, names)``: 64-bit names of the windows that ``found`` lists, from its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for part in portions(batch, 2):
-                who, what, key, first, sizes = [], [], [], [], []
-                names = [np.zeros(0, _U)]
-                for a, b, packed, listed in zip(*(part.column(k).to_pylist() for k in range(4))):
+                lists = part.column(3)
+                listed = lists.flatten()
+                first, n = (listed.field(k).to_numpy() for k in ("first", "n"))
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                every = []
+                for packed in part.column(2).to_pylist():
                     words = unpack.decompress(packed).split()
-                    last = len(words) - width
-                    listed = [x for x in listed if x["first"] + x["n"] - 1 <= last]
-                    if not listed:
-                        continue
-                    every = window_names(word_names(words), np.arange(last + 1), width)
-                    who += [a] * len(listed)
-                    what += [b] * len(listed)
-                    key += [x["key"] for x in listed]
-                    first += [x["first"] for x in listed]
-                    sizes += [x["n"] for x in listed]
-                    names += [every[x["first"] : x["first"] + x["n"]] for x in listed]
-                offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, np.concatenate(names).view(np.int64))
-                columns = [pa.array(c, pa.int64()) for c in (who, what, key)]
+                    every.append(window_names(word_names(words), np.arange(len(words) - width + 1), width))
+                room = np.array([len(x) for x in every], np.int64)
+                begin = np.cumsum(room) - room
+                good = first + n <= room[row]  # two rows may share a hash
+                row, first, n = row[good], first[good].astype(np.int64), n[good].astype(np.int64)
+                at = np.repeat(begin[row] + first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                names = pa.ListArray.from_arrays(
+                    np.append(0, np.cumsum(n)).astype(np.int32), np.concatenate(every)[at].view(np.int64)
+                )
+                chosen, kept = pa.array(row), listed.filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(first, pa.int32()), lists], names=["who", "what", "key", "first", "names"]
+                    [part.column(0).take(chosen), part.column(1).take(chosen), kept.field("key"), kept.field("common"),
+                     kept.field("first"), names],
+                    names=["who", "what", "key", "common", "first", "names"],
                 )
 
     narrow = found.select("who", "what", "packed", "listed")
-    return narrow.mapInArrow(run, "who long, what long, key long, first int, names array<long>")
+    return narrow.mapInArrow(run, "who long, what long, key long, common boolean, first int, names array<long>")
+
+
+def compared(windows: DataFrame) -> DataFrame:
+    """``(who, what, first, mask)`` of rows with a window that stands at least twice; a bit of ``mask`` for each.
+
+    For anchors with a bounded number of rows, which a task sees together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            key = rows[0].column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last anchor may go on in the next batch
+            yield agreed(rows[0].slice(0, cut))
+            kept = rows[0].slice(cut)
+        if kept is not None:
+            yield agreed(kept)
+
+    def agreed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lists = rows.column(4)
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        name = lists.flatten().to_numpy()
+        _, place, times = np.unique(name, return_inverse=True, return_counts=True)
+        begin = np.cumsum(size) - size
+        bit = (times[place] > 1).astype(np.int64) << (np.arange(len(name)) - np.repeat(begin, size))
+        mask = np.add.reduceat(bit, begin) if len(size) else bit
+        some = pa.array(mask != 0)
+        columns = [c.filter(some) for c in (rows.column(1), rows.column(2), rows.column(3), pa.array(mask))]
+        return pa.RecordBatch.from_arrays(columns, names=["who", "what", "first", "mask"])
+
+    together = windows.select("key", "who", "what", "first", "names").repartition("key").sortWithinPartitions("key")
+    return together.mapInArrow(run, "who long, what long, first int, mask long")
 
 
 def verdicts(windows: DataFrame) -> DataFrame:
@@ -316,19 +360,27 @@ def without_repeats(
     two hashes of id and text, so an id may be null or stand at several texts, and equal rows get
     equal results.  An empty frame gives no rows; other columns are not read.
     """
+    spark = frame.sparkSession
     rows = frame.select(
         F.col(id_column).alias("id"), F.col(text).alias("text"),
         F.xxhash64(id_column, text).alias("who"), F.xxhash64(text, F.lit(7), id_column).alias("what"),
     )
     marked = anchor_rows(rows, width)
-    counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    shared = written(counts.where("times > 1").select("key"), "shared")
-    listed = marked.join(shared, "key").groupBy("who").agg(F.collect_set(F.struct("first", "n", "key")).alias("listed"))
+    counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = written(counts.select("key", (F.col("times") > COMMON).alias("common")), "shared")
+    settle(spark)
+    listed = F.collect_set(F.struct("first", "n", "key", "common")).alias("listed")
+    listed = written(marked.join(shared, "key").groupBy("who").agg(listed), "listed")
+    settle(spark)
     found = written(_packed(rows).join(listed, "who"), "found")
+    settle(spark)
     windows = written(window_rows(found, width), "windows")
-    placed = windows.select("who", "what", "key", "first", F.xxhash64("names").alias("span"))
-    proven = placed.join(verdicts(windows), ["key", "span"])
-    proven = proven.groupBy("who", "what").agg(F.collect_set(F.struct("first", "mask")).alias("proven"))
+    common = windows.where("common")
+    placed = common.select("who", "what", "key", "first", F.xxhash64("names").alias("span"))
+    proven = placed.join(verdicts(common), ["key", "span"]).select("who", "what", "first", "mask")
+    proven = proven.unionByName(compared(windows.where("not common")))
+    proven = written(proven.groupBy("who", "what").agg(F.collect_set(F.struct("first", "mask")).alias("proven")), "proven")
+    settle(spark)
     cut = written(_cut(found.join(proven, ["who", "what"]), form, width).distinct(), "cut")
     return _whole(rows, form).join(cut, ["who", "what"], "left").select(
         F.col("id").alias(id_column), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
