@@ -365,7 +365,7 @@ def without_repeats(
         F.col(id_column).alias("id"), F.col(text).alias("text"),
         F.xxhash64(id_column, text).alias("who"), F.xxhash64(text, F.lit(7), id_column).alias("what"),
     )
-    marked = anchor_rows(rows, width)
+    marked = written(anchor_rows(rows, width), "anchors")
     counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = written(counts.select("key", (F.col("times") > COMMON).alias("common")), "shared")
     settle(spark)

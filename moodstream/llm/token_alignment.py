@@ -9,6 +9,8 @@ leads each to the last token of its group, which names the group.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +35,21 @@ _BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + k): b for k, b in enumerate(
 _PIECE_SPACE = "▁"
 
 
+_ENDLESS = re.compile(r"\s{10000}")
+
+
 class ByteLevel:
-    """A byte-level vocabulary of the ``tokenizers`` library; special tokens in texts are plain text."""
+    """A byte-level vocabulary of the ``tokenizers`` library; special tokens in texts are plain text.
+
+    Where an entry's id tells its rank among the merges, ``tiktoken`` does the merging by the same
+    vocabulary: three times as fast, with the same ids.
+    """
 
     prefix = " "
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,11 +58,26 @@ class ByteLevel:
         for entry, k in self.tokenizer.get_vocab().items():
             known = all(c in _BYTE_OF for c in entry)
             self.bytes[k] = bytes(_BYTE_OF[c] for c in entry) if known else entry.encode()
+        special = self.tokenizer.get_added_tokens_decoder()
+        ranks = {entry: k for k, entry in enumerate(self.bytes) if k not in special}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [model["vocab"][m] for m in merged]
+        self.fast = None
+        if ids == list(range(256, 256 + len(ids))) and len(ranks) == 256 + len(ids):
+            self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [
-            self.tokenizer.encode_batch_fast([self.prefix + text], add_special_tokens=False)[0].ids for text in texts
-        ]
+        return [self._fast(self.prefix + text) or self._slow(self.prefix + text) for text in texts]
+
+    def _fast(self, text: str) -> list[int] | None:
+        """None where the pattern gives up on a text, as on white space without end."""
+        if self.fast is None or _ENDLESS.search(text):
+            return None
+        return self.fast.encode_ordinary(text)
+
+    def _slow(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class Pieces:

@@ -220,6 +220,16 @@ def test_tokens_give_back_their_bytes():
         assert 50256 not in ids if tokenizer is a else not {1, 2} & set(ids)
 
 
+def test_both_ways_of_merging_give_the_same_ids():
+    a = token_alignment.tokenizer_of(A)
+    assert a.fast is not None
+    every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}a 1{c}1 !{c}! {c}{c}  {c}  '{c}\n{c}\n\n{c}" for c in every]
+    texts += ["we'll they've I'd", "x" * 5000, " " * 9000 + "a", "tab\t\tend \n", "日本語 " * 50]
+    assert [a._fast(t) for t in texts] == [a._slow(t) for t in texts]
+    assert a.encode([" " * 20_000]) == [a._slow(" " * 20_001)]
+
+
 def test_counts_in_blocks_add_up(spark):
     draw = random.Random(4)
     words = "alignment tokens überlappen groups 12 naïve of the".split()
