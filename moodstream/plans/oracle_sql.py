@@ -7,7 +7,7 @@ import string
 from moodstream.functions import text as tx
 from moodstream.functions.wordlists import NEGATIVE_WORDS, POSITIVE_WORDS, stop_words
 from moodstream.operators.ingest import MAX_TEXT, SAMPLE_FRACTION
-from moodstream.plans.table_queries import AFTER_LAST_EVENT, BATCHES, MONTH_LATER
+from moodstream.plans.table_queries import AFTER_LAST_EVENT, BATCHES, MONTH_LATER, SKETCH
 
 STOPS = ", ".join(f"'{word}'" for word in stop_words())
 
@@ -206,6 +206,31 @@ def _run(n: int) -> str:
 SELECT w, unnest(range(1, len(w) - {n} + 2)) AS i FROM kept)"""
 
 
+_BATCHED = f"SELECT *, id::INTEGER % {BATCHES} AS batch, {LABEL} AS label FROM ({POSTS})"
+_WHOLE = f"SELECT v.version, p.* FROM ({_BATCHED}) p JOIN (VALUES ({BATCHES - 2}), (0)) AS v(version) ON p.batch <= v.version"
+_WORDS_OF = f"""SELECT * EXCLUDE (word), word FROM (
+    SELECT * EXCLUDE (text), unnest({_words("text")}) AS word FROM posts) WHERE {_kept()}"""
+
+SNAPSHOT = f"""WITH posts AS ({_WHOLE}), words AS ({_WORDS_OF})
+SELECT 'posts' AS "table", label, count(*)::BIGINT AS n, version::INTEGER AS version FROM posts GROUP BY ALL
+UNION ALL SELECT 'trend', '', count(*)::BIGINT, version FROM posts GROUP BY version
+UNION ALL SELECT 'words', label, count(*)::BIGINT, version FROM words GROUP BY ALL
+UNION ALL SELECT 'cold', '', count(*)::BIGINT, version FROM posts GROUP BY version
+UNION ALL SELECT 'latest', '', least(count(*), 50)::BIGINT, version FROM posts GROUP BY version"""
+
+SKETCHED = f"""WITH posts AS (SELECT * FROM ({_BATCHED}) WHERE batch < {BATCHES - 1}), words AS ({_WORDS_OF}),
+counts AS (SELECT batch, word, label, count(*) AS n FROM words GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY n DESC, word, label) AS r FROM counts),
+cuts AS (SELECT batch, coalesce(max(n) FILTER (r = {SKETCH + 1}), 0) AS cut FROM ranked GROUP BY 1),
+held AS (SELECT word, label, sum(n - cut) AS low FROM ranked JOIN cuts USING (batch)
+    WHERE r <= {SKETCH} AND n > cut GROUP BY ALL),
+again AS (SELECT *, row_number() OVER (ORDER BY low DESC, word, label) AS r FROM held),
+last_cut AS (SELECT coalesce(max(low) FILTER (r = {SKETCH + 1}), 0) AS cut FROM again),
+exact AS (SELECT word, label, sum(n)::BIGINT AS exact FROM counts GROUP BY ALL)
+SELECT word, label, (low - cut)::BIGINT AS low, (low + (SELECT sum(cut) FROM cuts))::BIGINT AS high,
+    (SELECT sum(n) FROM counts)::BIGINT AS total, exact, true AS inside
+FROM again JOIN exact USING (word, label), last_cut WHERE r <= {SKETCH} AND low > cut"""
+
 ORACLES: dict[str, str] = {
     "ingest_events": NEW_POSTS,
     "quarantine": f"""SELECT count(*) FILTER (operation = 'delete')::BIGINT AS corrupt,
@@ -362,6 +387,11 @@ ORACLES: dict[str, str] = {
         coalesce(max_by(avg_score, time), 0.0) AS latest_avg, min(avg_score) AS min_avg, max(avg_score) AS max_avg,
         count(*)::BIGINT AS buckets, coalesce(sum(count), 0)::BIGINT AS posts FROM week""",
     "stream_dedup": f"SELECT did, id, source FROM ({POSTS})",
+    "stream_dedup_run": f"SELECT DISTINCT did, id, source, text FROM ({POSTS})",
+    "snapshot_state": SNAPSHOT,
+    "topic_sketch": SKETCHED,
+    "empty_batches": f"SELECT 1::BIGINT AS batch, total AS posts, * FROM ({DOC_COUNTS})",
+    "rf_reload": "SELECT doc_id, true AS same FROM documents",
     "hot_sql": f"SELECT * FROM ({MINUTELY}) WHERE count >= 2",
     "weak_labels": f"SELECT doc_id, {LABEL} AS label FROM documents",
     "labelled_texts": """SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive'

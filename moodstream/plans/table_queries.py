@@ -31,11 +31,12 @@ from moodstream.plans.analyze import analyze
 from moodstream.schemas import CORRUPT
 from moodstream.session import scratch, use_streaming_state, use_utc, written
 from moodstream.sources import events, lake, testtables as t
-from moodstream.streaming import jobs, state
+from moodstream.streaming import copies, jobs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 BATCHES = 4
+SKETCH = 200
 # Fixed points in time for the period queries: just after the last event, and a month later.
 AFTER_LAST_EVENT = 1706659200
 MONTH_LATER = 1709251200
@@ -646,9 +647,90 @@ def hot_sql(spark, folder):
     )
 
 
+def _stopped_run(spark, folder):
+    """Three whole batches, and a fourth that was stopped after some of its tables."""
+    root = scratch(spark, "state")
+    arriving = written(t.posts(spark, folder).withColumn("batch", _batch_of("id")), "posts")
+    for number in range(BATCHES - 1):
+        state.update_state(arriving.where(F.col("batch") == number).drop("batch"), root, number, sketch=SKETCH)
+    last = arriving.where(F.col("batch") == BATCHES - 1).drop("batch")
+    last = last.withColumn("sentiment", scoring.keyword_sentiment("text"))
+    lake.write_cold_batch(last, f"{root}/cold", BATCHES - 1)
+    state.write_trend_parts(trends.trend_partials(last, "minute"), root, BATCHES - 1)
+    state.write_parts(topics.topic_counts(last), root, "topic_parts", BATCHES - 1)
+    return root
+
+
+def _batch_of(key: str) -> Column:
+    return F.pmod(F.col(key).cast("int"), F.lit(BATCHES))
+
+
+@query
+def snapshot_state(spark, folder):
+    """All tables of one version tell of the same posts: the newest one, and the first batch alone."""
+    root = _stopped_run(spark, folder)
+    found = None
+    for version in (None, 0):
+        at = state.snapshot(spark, root, version)
+        parts = [
+            at.parts("label_parts").groupBy("label").agg(F.sum("n").alias("n")).select(F.lit("posts").alias("table"), "label", "n"),
+            at.trends().agg(F.sum("count").alias("n")).select(F.lit("trend"), F.lit(""), "n"),
+            at.parts("topic_parts").groupBy("label").agg(F.sum("count").alias("n")).select(F.lit("words"), "label", "n"),
+            at.cold().agg(F.count(F.lit(1)).alias("n")).select(F.lit("cold"), F.lit(""), "n"),
+            at.latest_posts().agg(F.count(F.lit(1)).alias("n")).select(F.lit("latest"), F.lit(""), "n"),
+        ]
+        rows = functools.reduce(DataFrame.union, parts).withColumn("version", F.lit(at.version))
+        found = rows if found is None else found.union(rows)
+    return found
+
+
+@query
+def topic_sketch(spark, folder):
+    """Heavy words of a run from the sketches of its batches, beside the exact counts."""
+    at = state.snapshot(spark, _stopped_run(spark, folder))
+    exact = at.parts("topic_parts").groupBy("word", "label").agg(F.sum("count").alias("exact"))
+    found = state.topic_bounds(spark, at.root, SKETCH, version=at.version)
+    return found.join(exact, ["word", "label"]).withColumn("inside", F.col("exact").between(F.col("low"), F.col("high")))
+
+
+@query
+def stream_dedup_run(spark, folder):
+    """Posts that come again in later runs, days after the first copy and under another time."""
+    path, root, out, checkpoint = (scratch(spark, name) for name in ("arrivals", "seen", "distinct", "checkpoint"))
+    arriving = t.posts(spark, folder)
+    late = F.pmod(F.hash("id"), F.lit(2)) == 1
+    again = arriving.withColumn("timestamp", F.col("timestamp") + 3 * 86400)
+    for delivery in (arriving.where(~late).union(again.where(~late)), again, arriving):
+        lake.append_json(delivery, path)
+        copies.keep_first_copies(events.post_stream(spark, path), root, out, checkpoint, once=True).awaitTermination()
+    return spark.read.parquet(out).select("did", "id", "source", "text")
+
+
+@query
+def empty_batches(spark, folder):
+    """Batches without posts, or with bad lines alone, commit nothing and move no answer."""
+    root = scratch(spark, "state")
+    arriving = t.posts(spark, folder)
+    for number, batch in enumerate((arriving.limit(0), arriving, arriving.limit(0))):
+        state.update_state(batch, root, number)
+    whole = state.committed(spark, root).select(F.col("batch_id").alias("batch"), "posts")
+    return whole.join(state.totals(spark, root), F.col("posts") == F.col("total"))
+
+
 # Learning
 
 
+@query
+def rf_reload(spark, folder):
+    """A forest read back from disk predicts what it predicted before."""
+    model, path = learn.train(_training(spark, folder), stop=stop_words()), scratch(spark, "forest")
+    learn.save(model, path)
+    texts = _texts(spark, folder)
+    said = [learn.predict(m, texts).select("doc_id", "rf") for m in (model, learn.load(path))]
+    both = said[0].join(said[1].withColumnRenamed("rf", "again"), "doc_id")
+    return both.select("doc_id", (F.to_json("rf") == F.to_json("again")).alias("same"))
+
+
 @query
 def weak_labels(spark, folder):
     return learn.weak_labels(_texts(spark, folder)).select("doc_id", "label")

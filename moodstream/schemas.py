@@ -77,3 +77,38 @@ POST_PARTS = T.StructType([
     T.StructField("created_at", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ])
+
+TOPIC_SKETCH = T.StructType([
+    T.StructField("word", T.StringType()),
+    T.StructField("label", T.StringType()),
+    T.StructField("low", T.LongType()),
+    T.StructField("error", T.LongType()),
+    T.StructField("total", T.LongType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
+QUARANTINE = T.StructType([
+    T.StructField("reason", T.StringType()),
+    T.StructField("line", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
+MANIFEST = T.StructType([
+    T.StructField("posts", T.LongType()),
+    T.StructField("committed_at", T.TimestampType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
+SEEN = T.StructType([
+    T.StructField("did", T.StringType()),
+    T.StructField("id", T.StringType()),
+    T.StructField("date", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
+SEEN_BITS = T.StructType([
+    T.StructField("date", T.StringType()),
+    T.StructField("bucket", T.LongType()),
+    T.StructField("bits", T.BinaryType()),
+    T.StructField("batch_id", T.LongType()),
+])

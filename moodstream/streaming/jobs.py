@@ -43,6 +43,7 @@ def keep_state(
     scorer: Scorer = keyword_sentiment,
     frame_scorer: FrameScorer | None = None,
     unit: str = "minute",
+    sketch: int | None = None,
     once: bool = False,
 ) -> StreamingQuery:
     """Score each micro-batch and merge it into the cold store and the hot tables below ``root``.
@@ -52,7 +53,7 @@ def keep_state(
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        update_state(batch, root, batch_id, scorer=scorer, frame_scorer=frame_scorer, unit=unit)
+        update_state(batch, root, batch_id, scorer=scorer, frame_scorer=frame_scorer, unit=unit, sketch=sketch)
 
     return start(posts.writeStream.foreachBatch(merge), checkpoint, once=once)
 
