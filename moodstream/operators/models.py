@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from moodstream.functions.scoring import star_prediction, star_value
+from moodstream.functions.text import SPACES
 
 RATING = "label string, score double, error string"
 
@@ -85,3 +89,50 @@ def model_sentiment(make_model: Callable[[], Model], *, text: str = "text", batc
         return rated.withColumn("sentiment", sentiment).drop("_stars")
 
     return score
+
+
+def windows(words: str, size: int, step: int) -> Column:
+    """Overlapping runs of up to ``size`` words that begin every ``step`` words and reach the last one."""
+    n = F.size(words)
+    last = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
+    return F.transform(starts, lambda i: F.slice(words, i + 1, size))
+
+
+def score_long_texts(
+    frame: DataFrame, make_scores: Callable[[], Callable[[list[str]], list[float]]], *, key: str = "id",
+    text: str = "text", size: int = 256, step: int = 192, batch_size: int = 64,
+) -> DataFrame:
+    """``(key, score, lowest, highest, windows)``: a model with a bounded input over texts of any length.
+
+    Each text is cut into overlapping windows of ``size`` words, so no part of it is unseen, and the
+    model rates window by window in batches over all texts; a long text is many rows for many tasks.
+    The windows' scores are averaged by their words.  A text without words has no score and no
+    windows; of rows that share a key all windows count.  ``make_scores`` is called in each worker
+    and gives a function from texts to scores.
+    """
+    if not 0 < step <= size:
+        raise ValueError("step must lie between 1 and size")
+
+    def load():
+        rate = make_scores()
+
+        def predict(texts):
+            scores = np.asarray(rate([str(t) for t in np.asarray(texts).ravel()]), dtype=np.float64)
+            if len(scores) != len(texts):
+                raise ValueError(f"{len(scores)} scores for {len(texts)} texts")
+            return scores
+
+        return predict
+
+    rated = predict_batch_udf(load, return_type=DoubleType(), batch_size=batch_size)
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), lambda w: w != "")
+    cut = frame.select(key, words.alias("_words"))
+    parts = cut.where(F.size("_words") > 0).select(key, F.explode(windows("_words", size, step)).alias("_part"))
+    parts = parts.select(key, F.size("_part").alias("_n"), F.array_join("_part", " ").alias("_part"))
+    scored = parts.withColumn("_score", rated("_part"))
+    merged = scored.groupBy(key).agg(
+        (F.sum(F.col("_score") * F.col("_n")) / F.sum("_n")).alias("score"), F.min("_score").alias("lowest"),
+        F.max("_score").alias("highest"), F.count(F.lit(1)).alias("windows"),
+    )
+    return frame.select(key).distinct().join(merged, key, "left").fillna(0, ["windows"])

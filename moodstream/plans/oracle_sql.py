@@ -7,7 +7,9 @@ import string
 from moodstream.functions import text as tx
 from moodstream.functions.wordlists import NEGATIVE_WORDS, POSITIVE_WORDS, stop_words
 from moodstream.operators.ingest import MAX_TEXT, SAMPLE_FRACTION
-from moodstream.plans.table_queries import AFTER_LAST_EVENT, BATCHES, MONTH_LATER, SKETCH
+from moodstream.plans.table_queries import (
+    AFTER_LAST_EVENT, BATCHES, LATE_DELAY, MONTH_LATER, RULES, SKETCH, WINDOW_STEP, WINDOW_WORDS,
+)
 
 STOPS = ", ".join(f"'{word}'" for word in stop_words())
 
@@ -231,6 +233,79 @@ SELECT word, label, (low - cut)::BIGINT AS low, (low + (SELECT sum(cut) FROM cut
     (SELECT sum(n) FROM counts)::BIGINT AS total, exact, true AS inside
 FROM again JOIN exact USING (word, label), last_cut WHERE r <= {SKETCH} AND low > cut"""
 
+CHANGES = f"""WITH RECURSIVE series AS (SELECT row_number() OVER (ORDER BY time) AS i, time, avg_score FROM ({HOURLY})),
+sums AS (SELECT i, time, avg_score, greatest(0, avg_score - 0.02)::DOUBLE AS upper, greatest(0, -avg_score - 0.02)::DOUBLE AS lower,
+    0.0::DOUBLE AS before_upper, 0.0::DOUBLE AS before_lower,
+    CASE WHEN avg_score <= 0.02 THEN time END AS zero_upper, CASE WHEN avg_score >= -0.02 THEN time END AS zero_lower
+    FROM series WHERE i = 1
+  UNION ALL SELECT s.i, s.time, s.avg_score, greatest(0, p.upper + s.avg_score - 0.02), greatest(0, p.lower - s.avg_score - 0.02),
+    p.upper, p.lower,
+    CASE WHEN p.upper + s.avg_score - 0.02 <= 0 THEN s.time ELSE p.zero_upper END,
+    CASE WHEN p.lower - s.avg_score - 0.02 <= 0 THEN s.time ELSE p.zero_lower END
+    FROM sums p JOIN series s ON s.i = p.i + 1)
+SELECT time, {_r6("avg_score")} AS avg_score, {_r6("upper")} AS upper, {_r6("lower")} AS lower,
+    CASE WHEN upper > 0.15 AND before_upper <= 0.15 THEN 'up' WHEN lower > 0.15 AND before_lower <= 0.15 THEN 'down' END AS alarm,
+    CASE WHEN upper > 0.15 AND before_upper <= 0.15 THEN zero_upper
+        WHEN lower > 0.15 AND before_lower <= 0.15 THEN zero_lower END AS since FROM sums"""
+
+_RULES = ", ".join(
+    [f"('{w}', 'negation', -0.5)" for w in RULES[0]] + [f"('{w}', 'intensifier', {x})" for w, x in RULES[1].items()])
+
+RULED = f"""WITH rules AS (SELECT * FROM (VALUES {_RULES}) AS v(word, kind, weight)),
+listed AS (SELECT word, kind, weight::DOUBLE AS weight FROM rules UNION ALL
+    SELECT word, 'word', polarity FROM ({LEXICON}) ANTI JOIN rules USING (word)),
+cut AS (SELECT doc_id, {_words("text")} AS words FROM documents),
+hits AS (SELECT doc_id, pos, kind, weight FROM (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM cut) JOIN listed USING (word)),
+seen AS (SELECT *, lag(pos) OVER w AS p, lag(kind) OVER w AS k, lag(weight) OVER w AS x,
+    max(pos) FILTER (kind = 'negation') OVER b AS negation, max(pos) FILTER (kind = 'word') OVER b AS earlier FROM hits
+    WINDOW w AS (PARTITION BY doc_id ORDER BY pos),
+        b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+valued AS (SELECT doc_id, negation > coalesce(earlier, 0) AND pos - negation <= 3 AS flip,
+    weight * CASE WHEN k = 'intensifier' AND p = pos - 1 THEN x ELSE 1.0 END AS value FROM seen WHERE kind = 'word'),
+means AS (SELECT doc_id, count(*)::BIGINT AS hits, count(*) FILTER (flip)::BIGINT AS negated,
+    avg(greatest(-1.0, least(1.0, value * CASE WHEN flip THEN -0.5 ELSE 1.0 END))) AS polarity FROM valued GROUP BY 1)
+SELECT doc_id, {_r6("coalesce(polarity, 0.0)")} AS polarity, coalesce(hits, 0) AS hits, coalesce(negated, 0) AS negated
+FROM documents LEFT JOIN means USING (doc_id)"""
+
+LATE = f"""WITH posts AS ({POSTS}), mark AS (
+    SELECT max(timestamp) - {LATE_DELAY} AS w FROM posts WHERE id::BIGINT % 2 = 0)
+SELECT id, id::BIGINT % 2 = 1 AND timestamp < w AS late,
+    CASE WHEN id::BIGINT % 2 = 1 AND timestamp < w THEN round(w - timestamp, 3) END AS seconds_late FROM posts, mark"""
+
+WINDOWS = rf"""WITH cut AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{tx.SPACES}'), lambda w: w <> '') AS words
+    FROM documents),
+parts AS (SELECT doc_id, words[i * {WINDOW_STEP} + 1 : i * {WINDOW_STEP} + {WINDOW_WORDS}] AS part FROM (
+    SELECT doc_id, words, unnest(range(0, greatest(ceil((len(words) - {WINDOW_WORDS}) / {WINDOW_STEP}), 0)::BIGINT + 1)) AS i
+    FROM cut WHERE len(words) > 0)),
+scored AS (SELECT doc_id, len(part) AS n, len(list_filter(part, lambda w: contains(w, 'e')))::DOUBLE / len(part) AS score FROM parts),
+merged AS (SELECT doc_id, sum(score * n) / sum(n) AS score, min(score) AS lowest, max(score) AS highest, count(*)::BIGINT AS windows
+    FROM scored GROUP BY 1)
+SELECT doc_id, round(score, 12) + 0.0 AS score, round(lowest, 12) + 0.0 AS lowest, round(highest, 12) + 0.0 AS highest, coalesce(windows, 0) AS windows
+FROM documents LEFT JOIN merged USING (doc_id)"""
+
+
+def _em_round(k: int) -> str:
+    """Shares and confusion from the probabilities ``p{k}``, and from them ``p{k + 1}``."""
+    return f"""
+share{k} AS (SELECT c, (sum(p) + 1) / (sum(sum(p)) OVER () + 3) AS share FROM p{k} GROUP BY c),
+cell{k} AS (SELECT j, l, c, coalesce(sum(p), 0) AS s FROM (SELECT DISTINCT j FROM votes) CROSS JOIN kinds AS a(l) CROSS JOIN kinds AS b(c)
+    LEFT JOIN votes USING (j, l) LEFT JOIN p{k} USING (doc_id, c) GROUP BY ALL),
+conf{k} AS (SELECT j, l, c, (s + 1) / (sum(s) OVER (PARTITION BY j, c) + 3) AS q FROM cell{k}),
+log{k} AS (SELECT doc_id, c, ln(any_value(share)) + sum(ln(q)) AS x FROM votes JOIN conf{k} USING (j, l) JOIN share{k} USING (c) GROUP BY ALL),
+p{k + 1} AS (SELECT doc_id, c, exp(x) / sum(exp(x)) OVER (PARTITION BY doc_id) AS p FROM log{k})"""
+
+
+PREDICTED = f"""SELECT event_id AS doc_id, 'bert' AS j, {_outcome(1)} AS l FROM events
+    UNION ALL SELECT event_id, 'rf', {_outcome(2)} FROM events WHERE event_type <> 'error'
+    UNION ALL SELECT doc_id, 'lstm', {LABEL} FROM documents"""
+
+LABEL_MODEL = f"""WITH kinds AS (SELECT unnest({KINDS}) AS c), raw AS ({PREDICTED}),
+votes AS (SELECT DISTINCT doc_id, j, l FROM raw WHERE l IN (SELECT c FROM kinds)),
+p0 AS (SELECT doc_id, c, (count(*) FILTER (l = c))::DOUBLE / count(*) AS p FROM votes CROSS JOIN kinds GROUP BY ALL),
+{_em_round(0)}, {_em_round(1)}
+SELECT doc_id, arg_max(c, p) AS label, {_r6("max(p)")} AS confidence FROM p2 GROUP BY 1"""
+
 ORACLES: dict[str, str] = {
     "ingest_events": NEW_POSTS,
     "quarantine": f"""SELECT count(*) FILTER (operation = 'delete')::BIGINT AS corrupt,
@@ -389,6 +464,11 @@ ORACLES: dict[str, str] = {
     "stream_dedup": f"SELECT did, id, source FROM ({POSTS})",
     "stream_dedup_run": f"SELECT DISTINCT did, id, source, text FROM ({POSTS})",
     "snapshot_state": SNAPSHOT,
+    "trend_changes": CHANGES,
+    "polarity_rules": RULED,
+    "stream_late": LATE,
+    "model_windows": WINDOWS,
+    "label_model": LABEL_MODEL,
     "topic_sketch": SKETCHED,
     "empty_batches": f"SELECT 1::BIGINT AS batch, total AS posts, * FROM ({DOC_COUNTS})",
     "rf_reload": "SELECT doc_id, true AS same FROM documents",

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from moodstream.functions import scoring, text
 from moodstream.functions.wordlists import NEGATIVE_WORDS, POSITIVE_WORDS, stop_words
 from moodstream.operators import (
+    changes,
     explore,
     ingest,
+    labellers,
     labels,
     learn,
     lexicon,
     models,
+    polarity,
     posts,
     topics,
     trends,
@@ -31,7 +34,7 @@ from moodstream.plans.analyze import analyze
 from moodstream.schemas import CORRUPT
 from moodstream.session import scratch, use_streaming_state, use_utc, written
 from moodstream.sources import events, lake, testtables as t
-from moodstream.streaming import copies, jobs, state
+from moodstream.streaming import copies, jobs, late as late_posts, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,6 +205,17 @@ def polarity_lexicon(spark, folder):
     return _rounded(named, "polarity", "subjectivity")
 
 
+RULES = (["that", "les", "und"], {"the": 1.3, "and": 0.5, "est": 1.5})
+
+
+@query
+def polarity_rules(spark, folder):
+    """Polarity with negation and intensifiers; common words of the texts stand for them."""
+    learned = written(t.lexicon_of_labels(spark, folder), "lexicon")
+    rules = polarity.rule_frame(spark, *RULES)
+    return _rounded(polarity.ruled_scores(_texts(spark, folder), learned, rules, key="doc_id"), "polarity")
+
+
 @query
 def star_sentiment(spark, folder):
     rating = F.when(F.col("event_type") == "error", "n/a").otherwise(
@@ -311,6 +325,22 @@ def model_scorer(spark, folder):
     return scored.select("doc_id", "bert.*")
 
 
+WINDOW_WORDS, WINDOW_STEP = 64, 48
+
+
+def _window_model():
+    return lambda texts: [sum("e" in word for word in part.split()) / len(part.split()) for part in texts]
+
+
+@query
+def model_windows(spark, folder):
+    """A model that takes 64 words at a time, over whole texts in overlapping windows."""
+    scored = models.score_long_texts(
+        _texts(spark, folder), _window_model, key="doc_id", size=WINDOW_WORDS, step=WINDOW_STEP
+    )
+    return scored.withColumns({name: F.round(name, 12) for name in ("score", "lowest", "highest")})
+
+
 # Labels and totals
 
 
@@ -420,6 +450,14 @@ def trend_summary(spark, folder):
     return _rounded(trends.summary(written(week, "week")), "latest_avg", "min_avg", "max_avg")
 
 
+@query
+def trend_changes(spark, folder):
+    """Cumulative sums of the hourly series and where they pass the limit, in chunks of four days."""
+    parts = trends.trend_partials(t.scored_events(spark, folder), "hour")
+    found = changes.change_points(parts, "hour", target=0.0, slack=0.02, limit=0.15, chunk=96)
+    return _rounded(found, "avg_score", "upper", "lower")
+
+
 # Posts
 
 
@@ -706,6 +744,22 @@ def stream_dedup_run(spark, folder):
     return spark.read.parquet(out).select("did", "id", "source", "text")
 
 
+LATE_DELAY = 5 * 86400
+
+
+@query
+def stream_late(spark, folder):
+    """Every post, on time or late: the second run brings old posts."""
+    path, root, checkpoint = (scratch(spark, name) for name in ("arrivals", "split", "checkpoint"))
+    arriving = written(t.posts(spark, folder), "posts")
+    for rest in (0, 1):
+        lake.append_json(arriving.where(F.col("id").cast("long") % 2 == rest), path)
+        late_posts.keep_late(events.post_stream(spark, path), root, checkpoint, delay=LATE_DELAY, once=True).awaitTermination()
+    on_time = spark.read.parquet(f"{root}/on_time").select("id", F.lit(False).alias("late"), F.lit(None).cast("double").alias("seconds_late"))
+    late = spark.read.parquet(f"{root}/late").select("id", F.lit(True).alias("late"), F.round("seconds_late", 3).alias("seconds_late"))
+    return on_time.unionByName(late)
+
+
 @query
 def empty_batches(spark, folder):
     """Batches without posts, or with bad lines alone, commit nothing and move no answer."""
@@ -736,6 +790,21 @@ def weak_labels(spark, folder):
     return learn.weak_labels(_texts(spark, folder)).select("doc_id", "label")
 
 
+LABEL_ROUNDS = 2
+
+
+@query
+def label_model(spark, folder):
+    """One label from three models' labels, their reliability learned without true labels."""
+    said = [
+        frame.select("doc_id", F.lit(name).alias("labeller"), "label") for name, frame in t.predictions(spark, folder).items()
+    ]
+    items = written(labellers.gathered(functools.reduce(DataFrame.unionByName, said), "doc_id"), "votes")
+    model = labellers.fit(items, rounds=LABEL_ROUNDS)
+    found = labellers.combined(items, model).select("doc_id", "label", "confidence")
+    return _rounded(found, "confidence")
+
+
 @query
 def labelled_texts(spark, folder):
     labelled = learn.attach_labels(
