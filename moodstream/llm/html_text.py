@@ -19,16 +19,16 @@ from pyspark.sql import types as T
 
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-#: Never part of an article, by element, role, or a word of class or id.
+#: Never part of an article, by element, role, or a whole name in class or id.
 OUTSIDE = set(
     "head nav header footer aside form menu dialog button select option datalist label fieldset object audio video "
-    "canvas".split()
+    "canvas annotation annotation-xml".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = set(
@@ -36,10 +36,15 @@ NAMES = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar "
     "sidenav rail aside widget widgets cookie cookies consent gdpr notice notices notification alert popup modal "
     "overlay subscribe subscription newsletter signup login comment comments disqus respond replies share sharing "
-    "social related recommended recommendations pagination pager toolbar skip".split()
+    "social related recommended recommendations pagination pager toolbar skip discussion discussions".split()
 )
-#: With one of these a class speaks of the page around the element ("has-sidebar").
-AROUND = set("has with no without layout".split())
+#: What may stand beside such a name without changing what it names ("sidebar-left", "main-nav").
+BESIDE = set(
+    "left right top bottom main site page global primary secondary sub box area bar block container wrapper wrap inner "
+    "outer list item items links link section form button buttons icons text message panel unit slot zone".split()
+)
+#: Classes and ids don't drop what is a piece of text by its element.
+TEXT = set("html body main article h1 h2 h3 h4 h5 h6 p pre blockquote table".split())
 #: A start tag on the left ends an open element on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
@@ -54,6 +59,7 @@ _TOKEN = re.compile(
 )
 #: One attribute: its whole name, and its value if it has one.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+)))?|"[^"]*+"?|'[^']*+'?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*+(?:display\s*+:\s*+none|visibility\s*+:\s*+hidden)")
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
@@ -62,8 +68,19 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.dead = ["html"], [-1], [False]
+        self.named = [False]  # by class or id
         self.pieces: list[tuple[int, str]] = []  # (node, text), or (node, "") where a block begins or ends
         self._build(html)
+        self._drop_named()
+
+    def _drop_named(self) -> None:
+        """Drop what classes and ids name as outside, unless the page would have no other text."""
+        named = list(self.named)
+        for node in range(1, len(named)):
+            named[node] = named[node] or named[self.parents[node]]
+        texts = [node for node, text in self.pieces if not self.dead[node] and text and not text.isspace()]
+        if any(not named[node] for node in texts):
+            self.dead = [a or b for a, b in zip(self.dead, named)]
 
     def _build(self, html: str) -> None:
         stack, at = [0], 0
@@ -100,7 +117,9 @@ class Page:
         node = len(self.tags)
         self.tags.append(name)
         self.parents.append(stack[-1])
-        self.dead.append(self.dead[stack[-1]] or _outside(name, attributes))
+        dead, named = _outside(name, attributes)
+        self.dead.append(self.dead[stack[-1]] or dead)
+        self.named.append(named)
         if name == "br":
             self.pieces.append((stack[-1], " "))
         elif name in BLOCKS:
@@ -166,7 +185,8 @@ class Page:
 
     def article(self) -> set[int]:
         """The nodes whose texts are the article's: from the best subtree, and all of the article or
-        main element around it if the page names one; else what reaches the threshold beside it.
+        main element around it if the page names one; else what reaches the threshold beside it and
+        holds a paragraph or the like.
         """
         density, total = self.densities()
         best = max(range(len(total)), key=total.__getitem__)
@@ -177,6 +197,10 @@ class Page:
             path.append(self.parents[path[-1]])
         threshold = min(density[node] for node in path)
         named = [node for node in path if self.tags[node] in ("article", "main")]
+        written = [tag in TEXT for tag in self.tags]  # loose text beside the best subtree is none of it
+        for node in range(len(self.tags) - 1, 0, -1):
+            if not self.dead[node]:
+                written[self.parents[node]] |= written[node]
         whole = {named[-1] if named else best}
         chosen = set() if named else set(path)
         for node in range(len(self.tags)):
@@ -185,7 +209,7 @@ class Page:
                 continue
             if node in whole or parent in whole:
                 whole.add(node)
-            elif not named and parent in chosen and density[node] >= threshold and node not in path:
+            elif not named and parent in chosen and density[node] >= threshold and written[node] and node not in path:
                 whole.add(node)  # beside the path, and as dense
         return chosen | whole
 
@@ -204,27 +228,31 @@ class Page:
         return out
 
 
-def _outside(name: str, attributes: str) -> bool:
+def _outside(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is outside any article by itself, and whether its class or id says so."""
     if name in OUTSIDE:
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
-    seen = set()
+        return False, False
+    seen, named = set(), False
     for match in _ATTRIBUTE.finditer(attributes):
         kind, value = (match[1] or "").lower(), (match[2] or match[3] or match[4] or "").lower()
         if kind in seen:  # of a repeated attribute the first counts
             continue
         seen.add(kind)
-        if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
+        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and _UNSEEN.search(value):
+            return True, False
         if kind == "role" and value.strip() in ROLES:
-            return True
-        if kind in ("class", "id"):
-            for word in value.split():
-                parts = _PARTS.findall(word)
-                if not NAMES.isdisjoint(parts) and AROUND.isdisjoint(parts):
-                    return True
-    return False
+            return True, False
+        if kind in ("class", "id") and name not in TEXT:
+            named = named or any(_names_outside(word) for word in value.split())
+    return False, named
+
+
+def _names_outside(word: str) -> bool:
+    """A class or id that names a part of the page around the article, as a whole."""
+    parts = _PARTS.findall(word)
+    return not NAMES.isdisjoint(parts) and all(part in NAMES or part in BESIDE for part in parts)
 
 
 def main_text(html: str | None) -> str:

@@ -1,6 +1,8 @@
 """Page articles, secret scans and the pipeline."""
 
 import html
+import math
+import random
 import re
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from moodstream.llm import secret_scan, simhash, toxicity
-from moodstream.llm.html_text import extract, main_text
+from moodstream.llm.html_text import Page, extract, main_text
 from moodstream.llm.queries import QUERIES
 
 LONG = "This is a sentence of the article that goes on for a while. " * 4
@@ -48,6 +50,87 @@ def test_named_attributes_hide(attributes):
     assert main_text(f"<div {attributes}><p>{LONG}</p></div><p>yes</p>") == "yes"
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='comments-enabled post'><p>{LONG}</p></div>", LONG.strip()),
+    (f"<div class='post tag-social category-advertising'><p>{LONG}</p></div>", LONG.strip()),
+    (f"<div><h2 class='section-header'>Head</h2><p>{LONG}</p></div>", f"Head {LONG.strip()}"),
+    (f"<div><div class='post-header'><h1>Head</h1></div><p>{LONG}</p></div>", f"Head {LONG.strip()}"),
+    (f"<div><p>{LONG}</p><p class='social-policy'>{LONG}</p></div>", f"{LONG}{LONG}".strip()),
+    (f"<div><p>{LONG}</p><p class='sidebar'>{LONG}</p></div>", f"{LONG}{LONG}".strip()),
+    (f"<p>{LONG}<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p>", f"{LONG}x=2"),
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG}</p></div>", f"{LONG * 3}".strip()),
+    (f"<article><p>{LONG}</p></article><section class='discussion'><p>{LONG * 3}</p></section>", LONG.strip()),
+    (f"<div><p>{LONG}</p></div><section class='discussion'><p>{LONG * 3}</p></section>", LONG.strip()),
+    (f"<div><p>{LONG}</p><p style='color:red; display : none'>{LONG}</p></div>", LONG.strip()),
+    (f"<div class='sidebar'><p>{LONG}</p></div>", LONG.strip()),  # there is no other text
+    (f"<div class='main-nav'>{LONG}</div><div class='site-footer bottom'>{LONG}</div><div><p>{LONG}</p></div>", LONG.strip()),
+])
+def test_classes_name_parts_as_a_whole(page, text):
+    assert main_text(page) == text
+
+
+def densities_by_hand(page):
+    """The density of every node from its own subtree, node by node."""
+    children = {k: [j for j, up in enumerate(page.parents) if up == k] for k in range(len(page.tags))}
+
+    def below(node):
+        return [node] + [x for child in children[node] if not page.dead[child] for x in below(child)]
+
+    def chars(nodes):
+        return sum(len("".join(t.split(" ")).replace("\n", "")) for n, t in page.pieces if n in nodes)
+
+    everything = below(0)
+
+    def linked(node):
+        links = [n for n in below(node) if page.tags[n] == "a"]
+        return sum(chars(below(n)) for n in links), len(links)
+
+    share = linked(0)[0] / max(chars(everything), 1)
+    out = {}
+    for node in everything:
+        c, (lc, lt), tags = chars(below(node)), linked(node), max(len(below(node)) - 1, 1)
+        if c:
+            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+            out[node] = c / tags * max(math.log(max(c / max(lc, 1) * tags / max(lt, 1), 1.0)) / base, 0.0)
+    return out
+
+
+def test_densities_are_those_of_each_subtree():
+    draw = random.Random(8)
+
+    def tree(depth):
+        if depth == 0 or draw.random() < 0.2:
+            return " ".join("word" * draw.randint(1, 3) for _ in range(draw.randint(0, 8)))
+        inner = "".join(tree(depth - 1) for _ in range(draw.randint(1, 4)))
+        tag = draw.choice(["div", "section", "b", "span", "ul"])
+        return f"<{tag}>{inner}</{tag}>" if draw.random() < 0.8 else f"<div>{inner}<a href=x>link text</a></div>"
+
+    for _ in range(40):
+        page = Page(f"<body>{tree(4)}<div class=ad>x</div></body>")
+        density, total = page.densities()
+        hand = densities_by_hand(page)
+        assert {k: d for k, d in enumerate(density) if d} == pytest.approx({k: d for k, d in hand.items() if d})
+        best = max(range(len(total)), key=total.__getitem__)
+        assert total[best] <= 0 or best in page.article()
+
+
+def test_boilerplate_without_names_stays_out():
+    """The threshold along the body path keeps short loose texts and link lists out."""
+    links = "<div><ul>" + "<li><a href=x>some link</a></li>" * 6 + "</ul></div>"
+    body = f"<div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(f"<body>{links}{body}{links}</body>") == f"Head {LONG * 2}".strip()
+
+
+def test_pages_whose_parts_tell_no_names():
+    """The given pages with their telling elements and classes turned into plain ones."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    plain = [re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", page).replace('class="ad"', 'class="x"') for page in pages]
+    same = [main_text(a) == main_text(b) for a, b in zip(pages, plain)]
+    assert sum(same) >= 0.9 * len(same)
+
+
 def test_odd_attributes_end():
     for attributes in ("a=" * 10**5, "a" * 10**6, '"' * 10**5, "a= " * 10**5, "='" * 10**5, " " * 10**6, "/=" * 10**5):
         main_text(f"<div {attributes}><p>x</p></div>")
