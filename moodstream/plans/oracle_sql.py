@@ -8,7 +8,7 @@ from moodstream.functions import text as tx
 from moodstream.functions.wordlists import NEGATIVE_WORDS, POSITIVE_WORDS, stop_words
 from moodstream.operators.ingest import MAX_TEXT, SAMPLE_FRACTION
 from moodstream.plans.table_queries import (
-    AFTER_LAST_EVENT, BATCHES, LATE_DELAY, MONTH_LATER, RULES, SKETCH, WINDOW_STEP, WINDOW_WORDS,
+    AFTER_LAST_EVENT, BATCHES, KEPT_POSTS, LATE_DELAY, MONTH_LATER, RULES, SKETCH, WINDOW_STEP, WINDOW_WORDS,
 )
 
 STOPS = ", ".join(f"'{word}'" for word in stop_words())
@@ -467,6 +467,11 @@ ORACLES: dict[str, str] = {
     "trend_changes": CHANGES,
     "polarity_rules": RULED,
     "stream_late": LATE,
+    "stream_keyed_state": f"""SELECT source, count(*)::BIGINT AS total, {", ".join(
+        f"count(*) FILTER (label = '{n}')::BIGINT AS {n}" for n in ("positive", "negative", "neutral"))},
+        {_r6("sum(lean * 0.3)::DOUBLE")} AS sum_score,
+        array_to_string(list(id ORDER BY timestamp DESC, id DESC)[1:{KEPT_POSTS}], ',') AS newest
+        FROM (SELECT coalesce(source, '') AS source, id, timestamp, {LEAN} AS lean, {LABEL} AS label FROM ({POSTS})) GROUP BY 1""",
     "model_windows": WINDOWS,
     "label_model": LABEL_MODEL,
     "topic_sketch": SKETCHED,

@@ -34,7 +34,7 @@ from moodstream.plans.analyze import analyze
 from moodstream.schemas import CORRUPT
 from moodstream.session import scratch, use_streaming_state, use_utc, written
 from moodstream.sources import events, lake, testtables as t
-from moodstream.streaming import copies, jobs, late as late_posts, state
+from moodstream.streaming import copies, jobs, keyed, late as late_posts, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -744,6 +744,29 @@ def stream_dedup_run(spark, folder):
     return spark.read.parquet(out).select("did", "id", "source", "text")
 
 
+KEPT_POSTS = 5
+
+
+@query
+def stream_keyed_state(spark, folder):
+    """Totals and newest posts of each source after two runs; the newest row of a source is its state."""
+    path, out, checkpoint = (scratch(spark, name) for name in ("arrivals", "sources", "checkpoint"))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    arriving = written(t.posts(spark, folder), "posts")
+    for rest in (1, 0):
+        lake.append_json(arriving.where(F.col("id").cast("long") % 2 == rest), path)
+        series = keyed.source_state(events.post_stream(spark, path), keep=KEPT_POSTS)
+        writer = series.writeStream.outputMode("update").foreachBatch(keep)
+        jobs.start(writer, checkpoint, once=True).awaitTermination()
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("source").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "source"]), "batch_id").alias("row"))
+    state_now = last.select("source", "row.*").withColumn("newest", F.array_join(F.transform("newest", lambda p: p["id"]), ","))
+    return _rounded(state_now.select("source", "total", *scoring.LABELS, "sum_score", "newest"), "sum_score")
+
+
 LATE_DELAY = 5 * 86400
 
 

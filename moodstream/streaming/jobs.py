@@ -58,7 +58,7 @@ def keep_state(
     return start(posts.writeStream.foreachBatch(merge), checkpoint, once=once)
 
 
-def _event_time(posts: DataFrame) -> DataFrame:
+def event_times(posts: DataFrame) -> DataFrame:
     return posts.withColumn("event_time", F.timestamp_micros(F.round(F.col("timestamp") * 1e6).cast("long")))
 
 
@@ -71,7 +71,7 @@ def windowed_trend(
     shift: int = SHIFT_SECONDS,
 ) -> DataFrame:
     """The series kept in Spark's own state: a post later than ``delay`` is dropped."""
-    scored = _event_time(posts).select(
+    scored = event_times(posts).select(
         "event_time", "id", scorer(F.col("text")).getField("score").alias("score")
     )
     windows = (
@@ -98,7 +98,7 @@ def without_copies(
     groups, so no single task receives all of them; every post then goes through two shuffles and
     is held in two states, so leave it at 1 without such posts.
     """
-    timed = _event_time(posts).withWatermark("event_time", delay)
+    timed = event_times(posts).withWatermark("event_time", delay)
     if salts > 1:
         spread = timed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         timed = spread.dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
