@@ -43,9 +43,17 @@ SURE = (
     r"^-----BEGIN [A-Z0-9 ]*PRIVATE KEY|^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$"
     r"|^github_pat_[A-Za-z0-9_]{22,}$|^glpat-[A-Za-z0-9_-]{20,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$"
     r"|^[sr]k_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$|^npm_[A-Za-z0-9]{36}$"
+    r"|^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+$"
 )
-#: Such tokens need no digit to be candidates.
+#: What stands right before the password of an address.
+IN_ADDRESS = r"://[^\s/:@]{0,64}:$"
+#: A value that names where a secret is kept instead of being one; its last bracket may have been cut off as a mark.
+REFERENCE = r"^(?:\$\{[A-Za-z_][\w.:-]*\}?|\$\([A-Za-z_][\w.: -]*\)?|\{\{.*\}\}|\$[A-Z_][A-Z0-9_]*|%[A-Za-z_][A-Za-z0-9_]*%)$"
+#: Such tokens need no digit to be candidates; a signed token is one candidate with its dots, and so is the password of
+#: an address, up to the last @ before the host.
 _TOKENS = (
+    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?+"
+    r"|(?<=:)(?=[^\s/@:\"'<>]{3,200}@)(?<=://[^\s/:@]{0,64}:)[^\s/@:\"'<>]++(?=@)|"
     r"(?<![A-Za-z0-9_+/-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|npm_[A-Za-z0-9]{36}"
     r"|[sr]k_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}+|glpat-[A-Za-z0-9_-]{20,}+)"
     r"(?![A-Za-z0-9_+/-])"
@@ -94,7 +102,7 @@ def candidates(text: str, path: str, words: list[str]) -> Column:
         ),
         lambda done: done["found"],
     )
-    some = F.when(F.col(text).rlike(CANDIDATE), located)
+    some = F.filter(F.when(F.col(text).rlike(CANDIDATE), located), lambda c: ~c["value"].rlike(REFERENCE))
     return F.transform(some, lambda c: F.struct(
         c["start"].alias("start"), F.length(c["value"]).cast("long").alias("length"), c["value"].alias("value"),
         _features(c, F.col(text), F.coalesce(F.col(path).cast("string"), F.lit("")), words).alias("features"),
@@ -128,7 +136,7 @@ def _features(c: Column, text: Column, path: Column, words: list[str]) -> Column
         "dummy": value.rlike(DUMMY_VALUE) | gap.rlike(DUMMY_NAME),
         "before": F.length(F.regexp_extract(gap, r"(\p{L}+)[^\p{L}]*$", 1)),
         "after": F.length(F.regexp_extract(follows, r"^[^\p{L}]*(\p{L}+)", 1)),
-        "sure": value.rlike(SURE) & ~value.rlike(DUMMY_VALUE),
+        "sure": (value.rlike(SURE) | gap.rlike(IN_ADDRESS)) & ~value.rlike(DUMMY_VALUE),
         "mixed": value.rlike("[^A-Za-z]|[a-z][A-Z]"),
     }
     return F.struct(*[values[name].cast("double").alias(name) for name in FEATURES])

@@ -217,8 +217,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1.0) ->
 def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows: int = FIT_ROWS) -> ToxicSpans:
     """A model from ``documents`` (id, text) and ``labels`` (id, ``toxic`` 0 or 1).
 
-    At most ``rows`` labelled documents of each kind are used, chosen by a hash of their ids; other
-    label values and nulls are left out.  An id with several labels counts as toxic if one is.
+    At most ``rows`` labelled rows of each kind are used, chosen by a hash of their ids, also where an
+    id stands at many rows; other label values and nulls are left out.  An id with several labels counts as toxic if one is.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_column).isNotNull())
     known = known.groupBy(id_column).agg(F.max("toxic").alias("toxic"))
@@ -231,7 +231,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows
     )
     # 2 * rows ids at most
     sample = documents.select(id_column, "text").join(F.broadcast(chosen), id_column)
-    got = sample.orderBy(id_column, "text").toPandas()
+    parts = [sample.where(F.col("toxic") == kind).orderBy(*order, "text").limit(rows) for kind in (0, 1)]
+    got = parts[0].unionByName(parts[1]).orderBy(id_column, "text").toPandas()
     return ToxicSpans().fit(got["text"], got["toxic"].to_numpy() == 1, sizes[1] / (sizes[0] + sizes[1]))
 
 

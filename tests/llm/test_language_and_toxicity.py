@@ -123,6 +123,16 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.tag(docs, untaught).where("score >= 0.7").count() == 0
 
 
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.ToxicSpans, "fit", lambda self, texts, toxic, prior: seen.append(list(toxic)) or self)
+    rows = [(i, f"text {i} {copy}") for i in range(40) for copy in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, rows=15)
+    assert [sum(seen[0]), len(seen[0])] == [15, 30]
+
+
 def test_toxicity_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     got = QUERIES["op8_toxic_spans"](spark, FOLDER).join(labels, "doc_id").where("held_out").toPandas()
