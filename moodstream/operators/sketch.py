@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 def summary(counts: DataFrame, k: int, *keys: str, count: str = "count") -> DataFrame:
     """``(keys, low, error, total)`` of exact counts, each key once.
 
-    A row without keys stands for a summary whose counters are all cut away, so that its error and
-    total are not lost; so it does for counts of nothing.
+    One more row, without keys and with a count of 0, holds error and total where all counters are cut
+    away or nothing was counted.
     """
     facts = counts.agg(F.coalesce(F.sum(count), F.lit(0)).alias("total"), F.lit(0).cast("long").alias("before"))
     return _cut(counts.select(*keys, F.col(count).alias("low")), facts, k, keys)
@@ -36,12 +36,14 @@ def merged(summaries: DataFrame, k: int, *keys: str, part: str) -> DataFrame:
 def _cut(held: DataFrame, facts: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
     """Keep ``k`` counters, less the next largest one; ``facts`` is one row."""
     largest = held.orderBy(F.desc("low"), *keys).limit(k + 1)  # each task sends k + 1 rows at most
-    cut = largest.agg(F.when(F.count(F.lit(1)) > k, F.min("low")).otherwise(F.lit(0)).alias("cut"))
-    facts = facts.crossJoin(F.broadcast(cut)).select(  # one row and one row
-        "total", "cut", (F.col("before") + F.col("cut")).cast("long").alias("error")
+    cut = largest.agg(F.when(F.count(F.lit(1)) > k, F.min("low")).otherwise(F.lit(0)).alias("cut")).scalar()
+    facts = facts.select("total", cut.alias("cut"), (F.col("before") + cut).cast("long").alias("error"))
+    known = facts.select(F.struct("total", "cut", "error")).scalar()
+    kept = largest.where(F.col("low") > known["cut"]).select(
+        *keys, (F.col("low") - known["cut"]).cast("long").alias("low"), known["error"].alias("error"), known["total"].alias("total")
     )
-    kept = largest.join(F.broadcast(facts), F.col("low") > F.col("cut"), "right")
-    return kept.select(*keys, F.coalesce(F.col("low") - F.col("cut"), F.lit(0)).cast("long").alias("low"), "error", "total")
+    none = [F.lit(None).cast(held.schema[key].dataType).alias(key) for key in keys]
+    return kept.unionByName(facts.select(*none, F.lit(0).cast("long").alias("low"), "error", "total"))
 
 
 def bounds(summary_rows: DataFrame) -> DataFrame:

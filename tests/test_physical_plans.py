@@ -12,7 +12,7 @@ from moodstream.sources import lake, testtables as t
 from moodstream.streaming import state
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON = {"model_scorer"}
+PYTHON = {"model_scorer", "model_windows"}
 RUNS_JOBS = {"rf_train_metrics", "rf_predict", "lda_topics", "tfidf_features"}
 
 
