@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodstream.llm import mixing, packing, secret_scan, simhash, toxicity
+from moodstream.llm import edited_copies, mixing, packing, secret_scan, toxicity
 from moodstream.llm.queries import word_tokenizer
 from moodstream.llm.shared import held_out, table
 from moodstream.session import written
@@ -20,8 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return edited_copies.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
