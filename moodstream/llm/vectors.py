@@ -15,15 +15,15 @@ def whole(vector: str) -> Column:
 
 
 def usable(frame: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """``(id, vector)`` in doubles, one row for each id that has a whole vector.
+    """``(id, vector)`` in doubles, one row for each different whole vector of an id.
 
     Rows without an id, and vectors that are null, empty or hold null or non-finite components, are
-    left out.  Of several vectors with one id the smallest (by its components in turn) counts.
+    left out; a row that stands there again counts once.
     """
     rows = frame.where(F.col(id_column).isNotNull() & whole(vector)).select(
         F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")
     )
-    return rows.groupBy("id").agg(F.min("vector").alias("vector"))
+    return rows.distinct()
 
 
 def matrix(vectors, width: int) -> np.ndarray:

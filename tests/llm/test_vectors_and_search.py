@@ -100,3 +100,42 @@ def test_top_k_of_few_rows(spark):
     two = spark.createDataFrame([(50, [0.5], 0), (7, [0.25, 1.0], 0)], SCHEMA)
     assert [tuple(r) for r in topk.search_embeddings(two).collect()] == [(50, 1, 7, 128 * 64)]
     assert topk.search_embeddings(two.where("vec_id = 50")).count() == 0
+
+
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "RESCORED", 4)
+    two = spark.createDataFrame([(50, [1.0, 0.0], 0), (7, [0.5, 0.0], 0), (7, [1.0, 0.0], 0)], SCHEMA)
+    assert [tuple(r) for r in topk.search_embeddings(two).collect()] == [(50, 1, 7, 65_536)]
+    rng = np.random.default_rng(3)
+    ids = np.where(rng.random(400) < 0.4, 7, rng.integers(0, 150, 400))  # one id holds many rows
+    x = rng.standard_normal((400, 12)).astype(np.float32)
+    got = topk.search_embeddings(spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], SCHEMA)).collect()
+    v = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    expected = set()
+    for q in {int(i) for i in ids if i % 50 == 0}:
+        best = {}
+        for a in np.flatnonzero(ids == q):
+            for b in np.flatnonzero(ids != q):
+                best[int(ids[b])] = max(best.get(int(ids[b]), -(1 << 60)), int(v[a] @ v[b]))
+        order = sorted(best, key=lambda i: (-best[i], i))[:5]
+        expected |= {(q, k + 1, i, best[i]) for k, i in enumerate(order)}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_search_stops_on_proof():
+    """Equal to all products, though a good part of the postings is never read."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 64))
+    x = centres[rng.integers(0, 40, 8000)] + 0.4 * rng.standard_normal((8000, 64))
+    values = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    ids = rng.permutation(8000)
+    index = topk.ImpactIndex(ids, values)
+    assert index.postings == np.count_nonzero(values)
+    got = list(index.search(ids[:100], values[:100], 5))
+    for q in range(100):
+        scores = values @ values[q]
+        order = [j for j in np.lexsort((ids, -scores)) if j != q][:5]
+        mine = [(i, s) for query, i, s in got if query == ids[q]]
+        assert mine == [(int(ids[j]), int(scores[j])) for j in order]
+    assert index.touched < 0.6 * index.postings * 100
