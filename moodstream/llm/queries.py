@@ -71,7 +71,7 @@ def op3_page_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_vector_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_dedup.near_groups(table(spark, folder, "embeddings"))
+    return vector_dedup.near_groups(table(spark, folder, "embeddings"), margin=vector_dedup.PROBED)
 
 
 @query

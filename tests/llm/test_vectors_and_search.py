@@ -139,3 +139,36 @@ def test_search_stops_on_proof():
         mine = [(i, s) for query, i, s in got if query == ids[q]]
         assert mine == [(int(ids[j]), int(scores[j])) for j in order]
     assert index.touched < 0.6 * index.postings * 100
+
+
+def test_planted_pairs_by_margin(spark, monkeypatch):
+    """With the query's margin over hundreds of cells: nearly all pairs just above the threshold, little compared."""
+    monkeypatch.setattr(vector_dedup, "CELL_ROWS", 100)
+    rng = np.random.default_rng(4)
+    n, dims = 20_000, 64
+    x = rng.standard_normal((n // 2, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.standard_normal((n // 2, dims))
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cosine = rng.uniform(0.901, 0.95, (n // 2, 1))
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * turn]).astype(np.float32)
+    unit = vector_dedup._unit(x)[0]
+    centres = vector_dedup.fit_cells(unit, n // 100)
+    reached = vector_dedup._reached(unit, centres, 0.9, vector_dedup.PROBED)
+    home = np.bincount([r[0] for r in reached])
+    members = np.bincount(np.concatenate(reached))
+    assert len(centres) > 150 and (home * members[: len(home)]).sum() < 0.15 * n * n
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_groups(frame, margin=vector_dedup.PROBED).collect()}
+    expected = np.zeros(n, np.int64)
+    for at in range(0, n, 1000):
+        expected[at : at + 1000] = (unit[at : at + 1000] @ unit.T >= 0.9).sum(axis=1) - 1
+    assert all(got[i] <= expected[i] for i in range(n)) and len(got) == n
+    assert expected.sum() >= n and sum(got.values()) >= 0.99 * expected.sum()
+
+
+def test_several_vectors_of_one_id(spark):
+    rows = [(3, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 0), (5, [2.0, 0.1], 0), (9, [0.1, 2.0], 0)]
+    got = sorted(map(tuple, vector_dedup.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == [(3, 2, 3, True), (5, 1, 3, False), (9, 1, 3, False)]
