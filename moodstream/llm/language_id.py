@@ -15,16 +15,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from moodstream.llm.shared import dealt_out, held_out
+from moodstream.session import written
 
 ORDER = 3
 #: Labelled texts per language that the trees are grown from, about.
 FIT_ROWS = 2000
 #: Languages that are learned: the most frequent ones, should the labels hold more.
 MAX_LANGS = 1000
-#: Nodes of all trees together; the most frequent ones stay.
+#: Nodes of all trees together.  Small trees stay whole; the others get equal shares of the rest.
 MAX_NODES = 1_000_000
 WINDOW = 1 << 19
 #: The largest table of byte pairs by byte pairs; beyond it nodes are found by binary search.
@@ -170,7 +172,8 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", rows: int = FIT_ROWS, no
     """Trees of every language among ``labelled`` (id, ``lang``, ``text``), nulls left out.
 
     Each language gives about ``rows`` texts, chosen by a hash of their ids; the counting is a
-    Spark job, and the ``nodes`` most frequent nodes reach the driver.
+    Spark job.  At most ``nodes`` nodes reach the driver, of each language its most frequent ones up
+    to a common bound, so that frequent languages take nothing from the tree of a rare one.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     often = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS)
@@ -180,8 +183,22 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", rows: int = FIT_ROWS, no
     steps = 1 << 20
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(steps * min(1, rows / n)) + 1)])
     chosen = known.where(F.pmod(F.xxhash64(id_column), F.lit(steps)) < share[F.col("lang")])
-    counts = count_nodes(chosen).orderBy(F.col("n").desc(), "lang", "gram").limit(nodes)
-    return ContextTrees(counts.toPandas())
+    counts = written(count_nodes(chosen), "nodes")
+    bound = _common_bound([r["count"] for r in counts.groupBy("lang").count().collect()], nodes)
+    frequent = W.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
+    kept = counts.withColumn("_rank", F.row_number().over(frequent)).where(F.col("_rank") <= bound)
+    return ContextTrees(kept.select("lang", "gram", "n").toPandas())
+
+
+def _common_bound(sizes: list[int], total: int) -> int:
+    """The largest bound that leaves at most ``total`` of all, should each size be cut at it."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
 
 
 def identify(frame: DataFrame, trees: ContextTrees, text: str = "text") -> DataFrame:

@@ -140,3 +140,23 @@ def test_toxicity_of_held_out_documents(spark):
     # some labels mark texts without any toxic word
     assert hits >= 0.7 * got.toxic.sum() and hits >= 0.95 * got.predicted.sum()
     assert got.score.between(0, 1).all()
+
+
+def test_a_rare_language_keeps_its_tree(spark):
+    """The bound on nodes is shared out by language, not taken by the frequent ones."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    many = [(i, lang, " ".join(rng.choice(words, 40))) for i in range(60) for lang in ("aa", "bb")]
+    rows = many + [(1000, "zz", "qu xyqu wyx quw")]
+    labelled = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    trees = language_id.fit(labelled, nodes=300)
+    assert "zz" in trees.langs
+    asked = spark.createDataFrame([(1, "quw xyqu"), (2, words[0] + " " + words[1])], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(asked, trees).collect()}
+    assert got[1] == "zz" and got[2] in ("aa", "bb")
+
+
+@pytest.mark.parametrize("sizes, total, bound", [([], 9, 0), ([3, 5], 9, 5), ([1, 10, 10], 9, 4), ([10, 10], 7, 3)])
+def test_common_bound(sizes, total, bound):
+    assert language_id._common_bound(sizes, total) == bound
+    assert sum(min(s, bound) for s in sizes) <= total
