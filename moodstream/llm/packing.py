@@ -34,6 +34,8 @@ _PLAIN = frozenset(
     if c.isalpha() and (c < "{" or c >= "\xc0") and len(c.lower()) == 1 and normalize("NFC", c) == c
 )
 _MARKS = string.punctuation
+#: Encoded both ways when a tokenizer is loaded.
+_PROBE = "Hello World again,  it's 3.14 N\xe9e\tDON'T\nEND-of x2 (ABC) na\xefve--so "
 # The characters that stand for bytes in byte-level vocabularies.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -41,12 +43,13 @@ _TO_SHOWN = {b: c for b, c in _BYTES.items() if ord(c) != b}
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that never joins across ASCII white space.
+    """Ids of whole texts, word by word where the tokenizer never joins across ASCII white space.
 
-    The tokenizer lower-cases and looks at each word alone, so a word's ids are the same wherever it
-    stands and are looked up once.  Plain letters with marks behind them go straight to the
-    vocabulary's merges, letters and marks apart, as the tokenizer's own rules cut them; other words
-    are encoded in full, and a text that may hold a special token as a whole.
+    If it lower-cases and looks at each word alone, a word's ids are the same wherever it stands and
+    are looked up once.  Plain letters with marks behind them go straight to the vocabulary's
+    merges, letters and marks apart, as the tokenizer's own rules cut them; other words are encoded
+    in full, and a text that may hold a special token as a whole.  Loading encodes a probe both ways;
+    a tokenizer for which they differ encodes every text as a whole.
     """
 
     def __init__(self, path: str):
@@ -55,12 +58,14 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.by_word = True
+        self.by_word = self.text(_PROBE) == self._encoded(_PROBE)
 
     def text(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if "<|" in text:
+        if "<|" in text or not self.by_word:
             return self._encoded(text)
         parts, out = text.encode("utf-8", "replace").lower().split(), []
         for low in range(0, len(parts), REMEMBERED):

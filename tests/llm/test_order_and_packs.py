@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from moodstream.llm import mixing, packing, sharding
-from moodstream.llm.queries import QUERIES, word_tokenizer
+from moodstream.llm.queries import QUERIES, tokenizer_file, word_tokenizer
 
 SCHEMA = "doc_id long, text string, source string, size string, place int"
 ODD = [(3, "one two  three", "b", "x", 1), (1, None, None, None, 2), (None, "", "a", "y", 3), (7, "é" * 9, "b", "z", 4),
@@ -174,3 +174,13 @@ def test_packs_query(spark):
         full[r.sequence_id] += r.length
     assert sorted(full) == list(range(len(full))) and sum(n < 4096 for n in full.values()) <= 1
     assert sum(full.values()) == sum(map(len, ids.values()))
+
+
+def test_a_tokenizer_that_keeps_case_and_spaces():
+    """One whose words depend on the space before them encodes texts as a whole."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    whole, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    assert not ids.by_word and packing.WordIds(word_tokenizer()).by_word
+    for text in ("Hello World again", "  two  spaces\n", "caf\xe9", "", None):
+        expected = whole.encode(text, add_special_tokens=False).ids if text else []
+        assert ids.text(text) == packing._packed(expected)
