@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from moodstream.functions.text import histogram, ngrams, topic_tokens
 from moodstream.functions.wordlists import stop_words
 from moodstream.operators.topics import word_rows
+from moodstream.session import written
+
+#: A word of more than one post in so many is common.
+COMMON = 200
 
 
 def ngram_counts(posts: DataFrame, longest: int = 3, *, text: str = "text") -> DataFrame:
@@ -21,27 +25,26 @@ def ngram_counts(posts: DataFrame, longest: int = 3, *, text: str = "text") -> D
     return counts.select(F.size(F.split("ngram", " ")).alias("n"), "ngram", "count")
 
 
-def tfidf_keywords(
-    posts: DataFrame, k: int = 5, *, key: str = "id", text: str = "text", salts: int | None = None
-) -> DataFrame:
+def tfidf_keywords(posts: DataFrame, k: int = 5, *, key: str = "id", text: str = "text") -> DataFrame:
     """The ``k`` words of each post with the highest ``tf * ln((N + 1) / (df + 1))``.
 
-    Words are counted inside each post's row; only the document frequencies are grouped.  The term
-    counts of one very common word are spread over salts (as many as there are shuffle partitions)
-    before they meet its document frequency, which is repeated once per salt.
+    Words are counted inside each post's row, once; only the document frequencies are grouped.
+    Words of more than one post in ``COMMON`` are few however many posts there are (their number is
+    bounded by the words of a post), so they meet their frequency by a broadcast; only the rows of
+    the others are shuffled by word, and none of those is hot.
     """
-    salts = salts or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = F.explode(histogram(topic_tokens(text, stop_words()))).alias("_c")
-    term_counts = posts.select(key, counted).select(key, "_c.word", F.col("_c.n").alias("tf"))
-    salt = F.coalesce(F.pmod(F.hash(F.col(key)), F.lit(salts)), F.lit(0))
-    spread = term_counts.withColumn("_salt", salt)
-    frequency = term_counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    repeated = frequency.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    term_counts = written(posts.select(key, counted).select(key, "_c.word", F.col("_c.n").alias("tf")), "terms")
     documents = posts.agg(F.count(F.lit(1))).scalar()
+    frequency = term_counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarity = F.log((documents + 1) / (F.col("df") + 1))
+    frequency = frequency.select("word", "df", rarity.alias("rarity"), (F.col("df") * COMMON > documents).alias("common"))
+    frequency = written(frequency, "frequencies")
+    common = frequency.where("common")
+    by_word = term_counts.join(F.broadcast(common.select("word")), "word", "left_anti").join(frequency.where("not common"), "word")
     # Rounding first keeps ties exact, so the order does not hang on the last digit.
-    weighted = spread.join(repeated, ["word", "_salt"]).select(
-        key, "word", "tf", "df", F.round(F.col("tf") * rarity, 6).alias("tfidf")
+    weighted = term_counts.join(F.broadcast(common), "word").unionByName(by_word).select(
+        key, "word", "tf", "df", F.round(F.col("tf") * F.col("rarity"), 6).alias("tfidf")
     )
     best = Window.partitionBy(key).orderBy(F.desc("tfidf"), "word")
     return weighted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
