@@ -735,11 +735,11 @@ def topic_sketch(spark, folder):
 def stream_dedup_run(spark, folder):
     """Posts that come again in later runs, days after the first copy and under another time."""
     path, root, out, checkpoint = (scratch(spark, name) for name in ("arrivals", "seen", "distinct", "checkpoint"))
-    arriving = t.posts(spark, folder)
+    arriving = written(t.posts(spark, folder), "posts")
     late = F.pmod(F.hash("id"), F.lit(2)) == 1
     again = arriving.withColumn("timestamp", F.col("timestamp") + 3 * 86400)
     for delivery in (arriving.where(~late).union(again.where(~late)), again, arriving):
-        lake.append_json(delivery, path)
+        lake.append_json(delivery, path, compression="gzip")
         copies.keep_first_copies(events.post_stream(spark, path), root, out, checkpoint, once=True).awaitTermination()
     return spark.read.parquet(out).select("did", "id", "source", "text")
 

@@ -13,11 +13,11 @@ from moodstream.schemas import COLD
 NO_DAY = "unknown"
 
 
-def append_json(posts: DataFrame, path: str) -> None:
+def append_json(posts: DataFrame, path: str, compression: str | None = None) -> None:
     """Append posts as JSON lines below the UTC day of writing."""
     posts.withColumn("ingest_date", F.current_date()).write.mode("append").partitionBy(
         "ingest_date"
-    ).json(path)
+    ).json(path, compression=compression)
 
 
 def with_date(scored: DataFrame) -> DataFrame:

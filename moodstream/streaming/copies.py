@@ -7,7 +7,8 @@ Layout below the root::
 
 The bitmaps of all batches are merged by OR.  Most new posts hash to a bit that no day has set and are
 let through at once; for the others the days whose bit is set are looked up, and only the ids of
-those days are read for the exact answer.  A bitmap has false alarms but misses nothing.
+those days are read for the exact answer.  A bitmap has false alarms but misses nothing.  All this
+takes keys alone; only the rows of new posts are moved with their texts.
 """
 
 from __future__ import annotations
@@ -55,22 +56,30 @@ def first_copies(batch: DataFrame, root: str, batch_id: int, *, bits: int = BITS
     """
     spark = batch.sparkSession
     rest = [c for c in batch.columns if c not in ("did", "id", *_ORDER)]
-    least = F.min(F.struct(*_ORDER, *rest)).alias("post")  # combined before the shuffle: a hot post costs a row a task
-    once = batch.where(F.col("id").isNotNull()).groupBy("did", "id").agg(least).select("did", "id", "post.*")
-    once = written(_key_bits(once, bits), "batch")
+    named = batch.where(F.col("id").isNotNull())
+    keys = written(_key_bits(named.select("did", "id").distinct(), bits), "keys")  # the texts stay behind
     old = read_table(spark, f"{root}/seen_bits", SEEN_BITS).where(F.col("batch_id") < batch_id)
     days = old.groupBy("date", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
     days = written(days, "bits")
     anywhere = days.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    maybe = once.select("did", "id", "bucket", "place").join(anywhere, "bucket").where(_is_set("bits", "place"))
+    maybe = keys.join(anywhere, "bucket").where(_is_set("bits", "place"))
     hits = maybe.drop("bits").join(days, "bucket").where(_is_set("bits", "place")).select("did", "id", "date")
     hits = written(hits, "hits")
     dates = [row.date for row in hits.select("date").distinct().collect()]  # days, not posts
     seen = read_table(spark, f"{root}/seen", SEEN).where(F.col("date").isin(dates) & (F.col("batch_id") < batch_id))
     same = F.col("h.did").eqNullSafe(F.col("s.did")) & (F.col("h.id") == F.col("s.id")) & (F.col("h.date") == F.col("s.date"))
-    copies = hits.alias("h").join(seen.alias("s"), same, "left_semi")
-    fresh = once.join(copies, _same_key(once, copies), "left_anti")
-    fresh = written(fresh.withColumn("date", F.coalesce(utc_day("timestamp"), F.lit(NO_DAY))), "fresh")
+    copies = written(hits.alias("h").join(seen.alias("s"), same, "left_semi").select("did", "id"), "copies")
+    # A bitmap of the new keys, bounded by its bits, drops the rows of old ones before their text is
+    # moved; those that share a bit with a new key meet the exact list.
+    new = keys.join(copies, _same_key(keys, copies), "left_anti")
+    new = written(new.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits")), "new-bits")
+    rows = _key_bits(named, bits).join(F.broadcast(new), "bucket").where(_is_set("bits", "place"))
+    rows = rows.select("did", "id", F.struct(*_ORDER, *rest).alias("post"), F.lit(False).alias("old"))
+    rows = rows.unionByName(copies.select("did", "id", F.lit(True).alias("old")), allowMissingColumns=True)
+    # combined before the shuffle: a hot post costs a row a task
+    once = rows.groupBy("did", "id").agg(F.min("post").alias("post"), F.max("old").alias("old"))
+    once = _key_bits(once.where(~F.col("old")).select("did", "id", "post.*"), bits)
+    fresh = written(once.withColumn("date", F.coalesce(utc_day("timestamp"), F.lit(NO_DAY))), "fresh")
     _record(fresh, root, batch_id)
     return fresh.select(*batch.columns).unionByName(batch.where(F.col("id").isNull()))
 

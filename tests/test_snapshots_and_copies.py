@@ -166,3 +166,13 @@ def test_sketch_of_nothing_and_of_equal_counts(spark):
     assert [tuple(r) for r in equal.collect()] == [(None, 0, 2, 8)]  # all cut away: error and total stay
     again = sketch.merged(equal.withColumn("p", F.lit(0)), 2, "word", part="p")
     assert [tuple(r) for r in again.collect()] == [(None, 0, 2, 8)]
+
+
+def test_texts_of_old_posts_stay_where_they_are(spark, tmp_path, monkeypatch):
+    held, write = [], copies.written
+    monkeypatch.setattr(copies, "written", lambda frame, label: held.append((label, "text" in frame.columns)) or write(frame, label))
+    root = str(tmp_path)
+    for number, ids in enumerate((range(20), range(10, 30))):
+        got = copies.first_copies(posts(spark, ids, minute=5000 * number), root, number)
+        assert sorted(int(r.id) for r in got.collect()) == list(ids if number == 0 else range(20, 30))
+    assert {label for label, text in held if text} == {"fresh"}
