@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodstream.functions.scoring import polarity_sentiment
-from moodstream.functions.text import tokens
+from moodstream.functions.text import histogram, tokens
 from moodstream.operators.lookup import join_word_list
 
 
@@ -16,16 +16,25 @@ def lexicon_scores(
     """``(key, polarity, subjectivity)`` of every key; 0 where no word is in the lexicon.
 
     ``lexicon`` is ``(word, polarity, subjectivity)``, one row per word.  The result is narrow: the
-    words of a post meet in their own task first, so the shuffle carries one partial per post and
-    never its text.
+    words of a post are counted in its own row, so a word costs a post one row however often it
+    stands there, and neither a text nor a word without an entry goes further than the join.
     """
-    words = posts.select(key, F.explode_outer(tokens(text)).alias("word"))
-    found = join_word_list(words, lexicon, "left")
+    counted = F.explode(histogram(tokens(text))).alias("_c")
+    words = posts.select(key, counted).select(key, "_c.word", F.col("_c.n").alias("n"))
+    found = join_word_list(words, lexicon, "inner")
+    names = ("polarity", "subjectivity")
+
+    def parts(name: str) -> list:
+        n = F.when(F.col(name).isNotNull(), F.col("n"))
+        return [(F.col(name) * n).cast("double").alias(name), n.alias(f"n_{name}")]
+
+    nothing = [F.lit(None).cast(kind).alias(c) for name in names for c, kind in ((name, "double"), (f"n_{name}", "long"))]
+    rows = found.select(key, *[c for name in names for c in parts(name)]).unionByName(posts.select(key, *nothing))
 
     def average(name: str):
-        return F.coalesce(F.avg(name), F.lit(0.0)).alias(name)
+        return F.coalesce(F.sum(name) / F.sum(f"n_{name}"), F.lit(0.0)).alias(name)
 
-    return found.groupBy(key).agg(average("polarity"), average("subjectivity"))
+    return rows.groupBy(key).agg(*[average(name) for name in names])
 
 
 def with_lexicon_scores(

@@ -96,3 +96,13 @@ def test_copies_of_one_time_with_different_texts_are_ordered(spark):
     rows = [("u", "1", "s", 5.0, text, "c") for text in ("b", "a", "c")] * 20
     frame = spark.createDataFrame(rows, "did string, id string, source string, timestamp double, text string, created_at string")
     assert [r.text for r in posts.latest_distinct(frame.repartition(4), 3).collect()] == ["a"]
+
+
+def test_a_word_of_a_post_meets_the_lexicon_once(spark, monkeypatch):
+    seen, join = [], lexicon.join_word_list
+    monkeypatch.setattr(lexicon, "join_word_list", lambda words, *rest: seen.append(words.count()) or join(words, *rest))
+    words = spark.createDataFrame([("the", 0.5, None), ("end", -1.0, 0.25)], "word string, polarity double, subjectivity double")
+    rows = [(1, "the " * 500 + "end"), (2, None), (None, "no entry"), (None, "end end"), (3, "")]
+    got = {r.id: (r.polarity, r.subjectivity) for r in lexicon.lexicon_scores(spark.createDataFrame(rows, "id int, text string"), words).collect()}
+    assert got == {1: (249 / 501, 0.25), 2: (0.0, 0.0), 3: (0.0, 0.0), None: (-1.0, 0.25)}
+    assert seen[0] <= 7  # one row a word of a post, not one an occurrence
