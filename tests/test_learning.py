@@ -146,3 +146,27 @@ def test_topic_vocabulary_is_counted(texts, monkeypatch):
     assert explore.lda_topics(texts, topics=2, terms=3, iterations=2).count() == 6
     words = texts.select(F.explode(F.array_distinct(explore.topic_tokens("text", explore.stop_words()))).alias("w"))
     assert sizes == [words.groupBy("w").count().where("count >= 2").count()]
+
+
+@pytest.mark.parametrize("common", [1, 2, 200])
+def test_keyword_rows_do_not_grow_with_the_partitions(spark, monkeypatch, common):
+    monkeypatch.setattr(explore, "COMMON", common, raising=False)
+    rows = [(i % 9, f"{'planets ' * (i % 3 + 1)}{'galaxies ' * (i % 2)}single{'abcdefghij'[i]}") for i in range(10)]
+    rows += [(None, "planets nobodys"), (20, None)]
+    posts = spark.createDataFrame(rows, "id int, text string")
+    found = explore.tfidf_keywords(posts, 9)
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no frequency is repeated
+    got = {(r.id, r.word, r.tf, r.df, r.tfidf) for r in found.collect()}
+    df = {w: sum(w in (t or "").split() for _, t in rows) for _, text in rows for w in (text or "").split()}
+    want = {(i, w, t.split().count(w), df[w], round(t.split().count(w) * math.log(13 / (df[w] + 1)), 6))
+            for i, t in rows if t for w in t.split()}
+    assert got == want
+    ranks = [r["rank"] for r in found.where("id = 0").orderBy("rank").collect()]
+    assert ranks == list(range(1, len(ranks) + 1)) and len(ranks) > 2
+
+
+def test_node_statistics_leave_room_for_the_other_tasks(texts, monkeypatch):
+    asked, forest = [], learn.RandomForestClassifier
+    monkeypatch.setattr(learn, "RandomForestClassifier", lambda **options: asked.append(options) or forest(**options))
+    learn.bootstrap_train(texts, SMALL)
+    assert asked[0]["maxMemoryInMB"] <= 256  # four tasks of an executor hold a gigabyte at most
