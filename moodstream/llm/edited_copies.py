@@ -16,7 +16,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,15 @@ DISTANCE = 24
 #: Hashes whose bits are counted at once; their counts fit in 16 bits.
 BLOCK = 1 << 15
 SMALL_BUCKET = 32
-#: Rows that a task compares all with all.
+#: Rows of a bucket that a task compares all with all.
 LARGE_BUCKET = 4096
 #: A bucket with more close pairs a row than this is a family, compared through its middle first.
 DENSE = 16
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Rows whose common shingles are the centre of a family.
+FEW = 64
+#: How often a family is split by the differences its rows share; then the rows of a difference meet pair by pair.
+LEVELS = 4
 PAIR = "a long, b long"
 
 
@@ -124,7 +128,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``pairs (a, b)`` of close fingerprints, each once, and ``crowd (sig, key, fp0, fp1)``.
 
     ``classes`` holds ``(key, fp0, fp1)``, each key once.  The crowd are the rows of buckets with more
-    than ``LARGE_BUCKET`` rows or ``DENSE`` close pairs a row; ``crowd_middles`` and ``crowd_pairs``
+    than ``LARGE_BUCKET`` rows or ``DENSE`` close pairs a row; ``crowd_middles`` and ``family_pairs``
     compare those.
     """
     rows = _signatures(classes).select("sig", "key", "fp0", "fp1").repartition("sig").sortWithinPartitions("sig", "key")
@@ -262,37 +266,91 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
             yield low, min(low + LARGE_BUCKET, end)
 
 
-def crowd_pairs(crowd: DataFrame, groups: DataFrame) -> DataFrame:
-    """Close pairs ``(a, b)`` of crowded rows that are not in one group yet, bucket by bucket in blocks.
+def mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(fam, key, grp)``: the rows of all buckets ``(sig, key)`` of several groups, each row once a family.
 
-    ``groups`` is ``(node, component)``.  A bucket within one group is skipped; of another the rows
-    are dealt to blocks of about ``LARGE_BUCKET``, and each pair of blocks is a task's group.
+    ``groups`` is ``(node, component)``; a row in none is its own.  The buckets in which the same
+    group has most rows are one family, named by it.
     """
-    known = crowd.join(groups, F.col("key") == F.col("node"), "left")
-    known = known.select("sig", "key", F.coalesce("component", "key").alias("grp"), "fp0", "fp1")
-    sizes = known.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("grp").alias("g"), F.max("grp").alias("h"))
-    mixed = sizes.where("g != h").select("sig", F.ceil(F.col("size") / LARGE_BUCKET).alias("blocks"))
-    dealt = known.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-
-    def compare(table: pa.Table) -> pa.Table:
-        names = ("block", "grp", "key", "fp0", "fp1")
-        rows = np.stack([table.column(c).to_numpy() for c in names], axis=1)
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        left = rows[rows[:, 0] == low]
-        right = left if low == high else rows[rows[:, 0] == high]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(left), 256):
-            near = _close(left[at : at + 256, None], right[None]) & (left[at : at + 256, 1, None] != right[None, :, 1])
-            i, j = np.nonzero(near)
-            a.append(left[at + i, 2])
-            b.append(right[j, 2])
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    columns = dealt.select("sig", "low", "high", "block", "grp", "key", "fp0", "fp1")
-    return columns.groupBy("sig", "low", "high").applyInArrow(compare, PAIR).distinct()
+    known = buckets.join(groups, F.col("key") == F.col("node"), "left")
+    known = known.select("sig", "key", F.coalesce("component", "key").alias("grp"))
+    sizes = known.groupBy("sig", "grp").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("several"), F.max(F.struct("n", "grp")).alias("m"))
+    most = most.where("several > 1").select("sig", F.col("m.grp").alias("fam"))
+    return known.join(most, "sig").select("fam", "key", "grp").distinct()
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(fam, key, grp, more, less, centre, w)``: how a row's shingles differ from its family's centre.
+
+    The centre holds the shingles of most rows of a few.  It may be any set: it decides how much work
+    is saved, not which links are found.  ``more`` are the row's other shingles, ``less`` those of the
+    centre that it lacks, and ``w`` is nine times their number less the row's size.
+    """
+    chosen = Window.partitionBy("fam").orderBy(F.xxhash64("key"), "key")
+    few = members.withColumn("at", F.row_number().over(chosen)).where(F.col("at") <= FEW).select("fam", "key")
+    rows = few.groupBy("fam").agg(F.count(F.lit(1)).alias("rows"))
+    counted = few.join(sets, "key").select("fam", F.explode("shingles").alias("e")).groupBy("fam", "e").agg(F.count(F.lit(1)).alias("n"))
+    common = counted.join(rows, "fam").where("2 * n > rows").groupBy("fam").agg(F.collect_list("e").alias("c"))
+    met = members.join(sets, "key").join(common, "fam", "left")
+    met = met.withColumn("c", F.coalesce("c", F.array().cast("array<long>")))
+    more, less = F.sort_array(F.array_except("shingles", "c")), F.sort_array(F.array_except("c", "shingles"))
+    met = met.withColumns({"more": more, "less": less, "centre": F.size("c")})
+    met = met.withColumn("w", 9 * (F.size("more") + F.size("less")) - F.size("shingles"))
+    return met.select("fam", "key", "grp", "more", "less", "centre", "w").dropDuplicates(["fam", "key"])
+
+
+def family_pairs(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``links (a, b)``, ``pairs (a, b)`` that may be links, and smaller ``buckets (sig, key)`` to go on with.
+
+    ``rows`` are ``differences``, written.  Two rows are linked if their sets differ in at most a ninth
+    of their summed sizes.  They differ where their differences do, so a link needs 18 times the
+    differences they share to be ``w + w'`` or more.  The row of the smallest ``w`` is linked to all
+    rows with ``w + w' <= 0``.  Any link of another row, a far one, shares a difference, and the
+    first it shares (additions before losses) has enough differences after it in both rows.  So far
+    rows meet others over such differences only.  A difference that many rows share makes a smaller
+    bucket, as long as ``last`` is false: its centre has that difference too.
+    """
+    least = rows.groupBy("fam").agg(F.min(F.struct("w", "key", "grp")).alias("z"))
+    known = rows.join(least, "fam").withColumn("far", F.col("w") + F.col("z.w") > 0)
+    links = known.where("not far and key != z.key").select(F.col("key").alias("a"), F.col("z.key").alias("b"))
+    found = known.select(
+        "fam", "key", "w", "far", "centre", F.col("z.w").alias("zw"), F.size("more").alias("p"), F.size("less").alias("q"),
+        F.when(F.col("far"), F.col("grp")).otherwise(F.col("z.grp")).alias("grp"),
+        F.posexplode(F.concat("more", "less")).alias("at", "e"),
+    ).withColumn("after", F.expr("18 * (p + q - at)"))
+    # A link that shares losses alone has 8p + 8p' + 9|q - q'| + q + q' <= 2 centre; x and y ask it of the best partner.
+    x = F.expr("far and after >= w + zw and (at < p or 4 * p + q <= centre)")
+    y = F.expr("after > w - zw and (at < p or 8 * p + q + greatest(centre + 1 - zw - 9 * q, q) <= 2 * centre)")
+    found = found.withColumns({"x": x, "y": y}).where("x or y")
+    found = written(found.select("fam", "e", "key", "grp", "w", "after", "x", "y"), "postings")
+    lists = found.groupBy("fam", "e").agg(
+        F.count_if("x").alias("nx"), F.count_if("y").alias("ny"), F.min("grp").alias("g"), F.max("grp").alias("h"),
+        F.bit_xor(F.xxhash64("key", "x", "y")).alias("rows"),
+    ).where("nx > 0 and ny > 0 and g != h")
+    busy = F.lit(False) if last else F.col("nx") * F.col("ny") > 2 * DENSE * (F.col("nx") + F.col("ny"))
+    lists = lists.select("fam", "e", busy.alias("busy"), F.xxhash64("fam", "nx", "ny", "rows").alias("sig"))
+    met = written(found.join(lists, ["fam", "e"]), "met")
+    one = met.where("x and not busy").selectExpr("fam", "e", "key a", "grp g", "w v", "after s")
+    two = met.where("y and not busy").selectExpr("fam", "e", "key b", "grp h", "w", "after t")
+    both = one.join(two, ["fam", "e"]).where("g != h and least(s, t) >= v + w")
+    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links, pairs, met.where("busy").select("sig", "key").distinct()
+
+
+def crowd_groups(buckets: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, component)`` over ``links`` and all links within the ``buckets`` of ``(sig, key)``, by exact count."""
+    groups = written(connected_components(links), "groups")
+    for level in range(LEVELS):
+        rows = written(differences(mixed(buckets, groups), sets), "differences")
+        sure, pairs, buckets = family_pairs(rows, last=level == LEVELS - 1)
+        late = written(sure.unionByName(_linked(pairs, sets)), "late-links")
+        if late.limit(1).count():
+            links = links.unionByName(late)
+            groups = written(connected_components(links), "groups")
+        if not buckets.limit(1).count():
+            break
+    return groups
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -318,10 +376,7 @@ def grouped(frame: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     sets = written(_shingle_sets(texts, text), "shingles")
     near = _linked(pairs.unionByName(crowd_middles(crowd).distinct()), sets)
     near = written(near, "links")
-    groups = written(connected_components(near), "groups")
-    late = written(_linked(crowd_pairs(crowd, groups), sets), "late-links")
-    if late.limit(1).count():
-        groups = connected_components(near.unionByName(late))
+    groups = crowd_groups(crowd.select("sig", "key"), near, sets)
     return rows.join(groups, F.col("key") == F.col("node"), "left").select(
         id_column, "_hash", "key", F.coalesce("component", "key").alias("root")
     )

@@ -119,3 +119,58 @@ def test_keep_one(spark):
         (-1, "alone"), (2, "word "), (3, base.upper()[:5]), (4, ""), (11, "quite"), (13, "somet")
     ]
     assert e.keep_one(frame.limit(0)).count() == 0
+
+
+def _brute_sets(sets):
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and root[i] != root[j] and _similar(sets[i], sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("dense, levels, few", [(16, 4, 64), (1, 4, 64), (1, 2, 3), (0, 3, 5)])
+def test_links_within_a_bucket_are_those_of_all_pairs(spark, monkeypatch, dense, levels, few):
+    monkeypatch.setattr(e, "DENSE", dense)
+    monkeypatch.setattr(e, "LEVELS", levels)
+    monkeypatch.setattr(e, "FEW", few)
+    rng = random.Random(10 * dense + few)
+    fresh = iter(range(10_000, 10**9)).__next__
+    sets = [set(), {1, 2}]
+    for size in (90, 90, 40):
+        base = [fresh() for _ in range(size)]
+        for _ in range(60):  # replaced, lost and added; edits partly taken over from an earlier copy
+            copy = list(rng.choice(sets[-5:] if rng.random() < 0.4 and len(sets) > 10 else [base]))
+            for _ in range(rng.randrange(0, 14)):
+                kind = rng.random()
+                if kind < 0.7 and copy:
+                    copy.pop(rng.randrange(len(copy)))
+                if kind > 0.3:
+                    copy.append(fresh() if rng.random() < 0.8 else 5000 + rng.randrange(9))
+            sets.append(set(copy))
+    sets = dict(enumerate(sets))
+    want = _brute_sets(sets)
+    frame = spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "key long, shingles array<long>")
+    buckets = spark.createDataFrame([(k % 2 if k < 90 else 7, k) for k in sets] + [(7, k) for k in range(90)], "sig long, key long")
+    got = {r.node: r.component for r in e.crowd_groups(buckets, spark.createDataFrame([], "a long, b long"), frame).collect()}
+    assert {k: got.get(k, k) for k in sets} == want and 20 < len(set(want.values())) < len(sets) - 20
+
+
+def test_compared_pairs_grow_with_the_family_not_its_square(spark, monkeypatch):
+    rng = random.Random(3)
+    base = list(_family(rng, 1, 0))[0].split()
+    texts = []
+    for k in range(300):  # a third lies close to the first text, the others too far from it and from each other
+        copy = list(base)
+        for at in rng.sample(range(0, 200, 6), 1 if k % 3 == 0 else rng.randrange(5, 7)):
+            copy[at] = f"x{k}y{at}"
+        texts.append(" ".join(copy))
+    compared, linked = [], e._linked
+    monkeypatch.setattr(e, "_linked", lambda pairs, sets: compared.append(pairs.count()) or linked(pairs, sets))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.root for r in e.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    root, _ = _brute_groups(dict(rows))
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in root for j in root)
+    assert sum(compared[1:]) <= 2 * len(texts), compared  # of crowded buckets, beyond their middles
