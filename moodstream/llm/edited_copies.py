@@ -342,7 +342,8 @@ def crowd_groups(buckets: DataFrame, links: DataFrame, sets: DataFrame) -> DataF
     """``(node, component)`` over ``links`` and all links within the ``buckets`` of ``(sig, key)``, by exact count."""
     groups = written(connected_components(links), "groups")
     for level in range(LEVELS):
-        rows = written(differences(mixed(buckets, groups), sets), "differences")
+        members = written(mixed(buckets, groups), "members")
+        rows = written(differences(members, sets), "differences")
         sure, pairs, buckets = family_pairs(rows, last=level == LEVELS - 1)
         late = written(sure.unionByName(_linked(pairs, sets)), "late-links")
         if late.limit(1).count():
