@@ -113,28 +113,50 @@ def _shingle_sets(frame: DataFrame, text: str) -> DataFrame:
     return frame.select(text).mapInArrow(run, "key long, shingles array<long>")
 
 
+def _segments() -> list[Column]:
+    """The values of the segments of ``fp0`` and ``fp1``."""
+    mask = (1 << SEGMENT_BITS) - 1
+    every = range(2 * SEGMENTS)
+    return [F.shiftrightunsigned(f"fp{s // SEGMENTS}", s % SEGMENTS * SEGMENT_BITS).bitwiseAND(mask) for s in every]
+
+
 def _signatures(classes: DataFrame) -> DataFrame:
     """A row for each segment and bit: ``sig`` holds both, and the segment without the bit."""
     mask = (1 << SEGMENT_BITS) - 1
     variants = []
-    for s in range(2 * SEGMENTS):
-        part = F.shiftrightunsigned(f"fp{s // SEGMENTS}", s % SEGMENTS * SEGMENT_BITS).bitwiseAND(mask)
+    for s, part in enumerate(_segments()):
         for j in range(SEGMENT_BITS):
             variants.append(part.bitwiseAND(mask ^ (1 << j)).bitwiseOR((s * SEGMENT_BITS + j) << SEGMENT_BITS))
     return classes.select("key", "fp0", "fp1", F.explode(F.array(*variants)).alias("sig"))
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pairs (a, b)`` of close fingerprints, each once, and ``crowd (sig, key, fp0, fp1)``.
+    """``pairs (a, b)`` of close fingerprints, each once, and the ``sig`` of crowded buckets.
 
-    ``classes`` holds ``(key, fp0, fp1)``, each key once.  The crowd are the rows of buckets with more
-    than ``LARGE_BUCKET`` rows or ``DENSE`` close pairs a row; ``crowd_middles`` and ``family_pairs``
-    compare those.
+    ``classes`` holds ``(key, fp0, fp1)``, each key once.  A bucket is crowded if it has more than
+    ``LARGE_BUCKET`` rows or ``DENSE`` close pairs a row; ``crowd_middles`` and ``family_pairs``
+    compare its rows, which are those of its ``segments_of``.
     """
     rows = _signatures(classes).select("sig", "key", "fp0", "fp1").repartition("sig").sortWithinPartitions("sig", "key")
-    found = written(rows.mapInArrow(_buckets, "a long, b long, sig long, fp0 long, fp1 long"), "close")
-    pairs = found.where("sig is null").select("a", "b")
-    return pairs, found.where("sig is not null").select("sig", F.col("a").alias("key"), "fp0", "fp1")
+    found = written(rows.mapInArrow(_buckets, "a long, b long, sig long"), "close")
+    return found.where("sig is null").select("a", "b"), found.where("sig is not null").select("sig")
+
+
+def segments_of(crowd: DataFrame) -> DataFrame:
+    """``(bucket, sig)``: the two segments, bit unset and set, that a bucket named by ``sig`` is made of."""
+    place = F.shiftright("sig", SEGMENT_BITS)
+    segment = F.floor(place / SEGMENT_BITS)
+    unset = F.shiftleft(segment, SEGMENT_BITS).bitwiseOR(F.col("sig").bitwiseAND((1 << SEGMENT_BITS) - 1))
+    bits = F.array(*[F.lit(1 << j).cast("long") for j in range(SEGMENT_BITS)])
+    both = F.array(unset, unset.bitwiseOR(F.get(bits, (place % SEGMENT_BITS).cast("int"))))
+    return crowd.select(F.col("sig").alias("bucket"), F.explode(both).alias("sig"))
+
+
+def segment_rows(classes: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(sig, key, fp0, fp1)``: the rows of ``segments (sig)``; a row has six of them, but 120 signatures."""
+    parts = [part.bitwiseOR(s << SEGMENT_BITS) for s, part in enumerate(_segments())]
+    rows = classes.select(F.explode(F.array(*parts)).alias("sig"), "key", "fp0", "fp1")
+    return rows.join(segments.select("sig").distinct(), "sig", "left_semi")
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +169,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on in the next batch
         yield from _compared(rows[:cut], crowded)
-        if cut:
-            crowded = None
         kept = rows[cut:]
-        if len(kept) > LARGE_BUCKET or (crowded is not None and len(kept)):  # its rows leave as they come
+        if kept[0, 0] != crowded:
+            crowded = None
+        if crowded is None and len(kept) > LARGE_BUCKET:
             crowded = int(kept[0, 0])
-            yield _output(kept[:0, 1], kept[:0, 1], kept)
+            yield _crowded(crowded)
+        if crowded is not None:  # its name is out; the rest of its rows needn't wait
             kept = kept[:0]
     yield from _compared(kept, crowded)
 
@@ -176,25 +199,23 @@ def _compared(rows: np.ndarray, crowded: int | None) -> Iterator[pa.RecordBatch]
         yield _output(a[fine, 1], b[fine, 1])
     for start, size in zip(starts, sizes):
         bucket = rows[start : start + size]
-        if bucket[0, 0] == crowded:
-            yield _output(bucket[:0, 1], bucket[:0, 1], bucket)
-        elif size > SMALL_BUCKET:
+        if bucket[0, 0] != crowded and size > SMALL_BUCKET:
             i, j = _close_pairs(bucket, bucket, DENSE * size)
             if size > LARGE_BUCKET or len(i) > DENSE * size:
-                yield _output(bucket[:0, 1], bucket[:0, 1], bucket)
+                yield _crowded(int(bucket[0, 0]))
             else:
                 fine = _first_time(bucket[i], bucket[j])
                 yield _output(bucket[i[fine], 1], bucket[j[fine], 1])
 
 
-def _output(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None = None) -> pa.RecordBatch:
-    if crowd is None:
-        nothing = pa.nulls(len(a), pa.int64())
-        columns = [pa.array(a), pa.array(b), nothing, nothing, nothing]
-    else:
-        sig, key, fp0, fp1 = (pa.array(np.ascontiguousarray(c)) for c in crowd.T)
-        columns = [key, key, sig, fp0, fp1]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "sig", "fp0", "fp1"])
+def _output(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "sig"])
+
+
+def _crowded(sig: int) -> pa.RecordBatch:
+    nothing = pa.nulls(1, pa.int64())
+    return pa.RecordBatch.from_arrays([nothing, nothing, pa.array([sig], pa.int64())], names=["a", "b", "sig"])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,10 +258,11 @@ def _first_time(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def crowd_middles(crowd: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of crowded rows and the row nearest to the majority of their bits.
+    """Pairs ``(a, b)`` of rows of a segment and the row nearest to the majority of their bits.
 
     Copies edited from one text lie around it, so these few comparisons join most of a family.
-    Rows are taken as they come in the sorted bucket, at most ``LARGE_BUCKET`` at once.
+    Rows are taken as they come in the order of segments and keys, at most ``LARGE_BUCKET`` at once;
+    a segment of very many rows may be cut into several tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +278,7 @@ def crowd_middles(crowd: DataFrame) -> DataFrame:
                     [pa.array(near[:, 1].copy()), pa.array(np.full(len(near), best[0, 1]))], names=["a", "b"]
                 )
 
-    return crowd.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, PAIR)
+    return crowd.repartitionByRange("sig", "key").sortWithinPartitions("sig", "key").mapInArrow(run, PAIR)
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -266,18 +288,28 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
             yield low, min(low + LARGE_BUCKET, end)
 
 
-def mixed(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(fam, key, grp)``: the rows of all buckets ``(sig, key)`` of several groups, each row once a family.
+def mixed(rows: DataFrame, groups: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``(fam, key, grp)``: the rows of all buckets of several groups, each row once a family.
 
-    ``groups`` is ``(node, component)``; a row in none is its own.  The buckets in which the same
-    group has most rows are one family, named by it.
+    ``rows`` are ``(sig, key)``, a bucket for each ``sig``; with ``parts (bucket, sig)`` a bucket has the
+    rows of its parts, which have none in common.  Then only a part's counts are repeated for its
+    buckets, its rows are not.  ``groups`` is ``(node, component)``; a row in none is its own.  The
+    buckets in which the same group has most rows are one family, named by it.
     """
-    known = buckets.join(groups, F.col("key") == F.col("node"), "left")
-    known = known.select("sig", "key", F.coalesce("component", "key").alias("grp"))
+    known = rows.join(groups, F.col("key") == F.col("node"), "left")
+    known = written(known.select("sig", "key", F.coalesce("component", "key").alias("grp")), "known")
     sizes = known.groupBy("sig", "grp").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("several"), F.max(F.struct("n", "grp")).alias("m"))
-    most = most.where("several > 1").select("sig", F.col("m.grp").alias("fam"))
-    return known.join(most, "sig").select("fam", "key", "grp").distinct()
+    if parts is None:
+        sizes = sizes.withColumnRenamed("sig", "bucket")
+    else:
+        sizes = sizes.join(parts, "sig").groupBy("bucket", "grp").agg(F.sum("n").alias("n"))
+    most = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("several"), F.max(F.struct("n", "grp")).alias("m"))
+    most = most.where("several > 1").select("bucket", F.col("m.grp").alias("fam"))
+    if parts is None:
+        named = most.withColumnRenamed("bucket", "sig")
+    else:
+        named = most.join(parts, "bucket").select("sig", "fam").distinct()
+    return known.join(named, "sig").select("fam", "key", "grp").distinct()
 
 
 def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -338,11 +370,14 @@ def family_pairs(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame, Dat
     return links, pairs, met.where("busy").select("sig", "key").distinct()
 
 
-def crowd_groups(buckets: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, component)`` over ``links`` and all links within the ``buckets`` of ``(sig, key)``, by exact count."""
+def crowd_groups(buckets: DataFrame, links: DataFrame, sets: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``(node, component)`` over ``links`` and all links within the ``buckets`` of ``(sig, key)``, by exact count.
+
+    With ``parts (bucket, sig)`` it is all links within the buckets that are put together of those.
+    """
     groups = written(connected_components(links), "groups")
     for level in range(LEVELS):
-        members = written(mixed(buckets, groups), "members")
+        members = written(mixed(buckets, groups, None if level else parts), "members")
         rows = written(differences(members, sets), "differences")
         sure, pairs, buckets = family_pairs(rows, last=level == LEVELS - 1)
         late = written(sure.unionByName(_linked(pairs, sets)), "late-links")
@@ -369,7 +404,9 @@ def grouped(frame: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     rows = written(_with_prints(hashed, text, id_column, "_hash"), "prints")
     first = _best(id_column)
     classes = written(rows.groupBy("key", "fp0", "fp1").agg(first.alias("r")).select("key", "fp0", "fp1", "r.*"), "classes")
-    pairs, crowd = candidates(classes.select("key", "fp0", "fp1"))
+    pairs, crowded = candidates(classes.select("key", "fp0", "fp1"))
+    parts = written(segments_of(crowded), "parts")
+    crowd = written(segment_rows(classes, parts), "crowd")
     asked = pairs.select("a").union(pairs.select("b")).union(crowd.select("key")).distinct()
     wanted = classes.join(asked, F.col("key") == F.col("a"), "left_semi").select("_id", "_text")
     same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
@@ -377,7 +414,7 @@ def grouped(frame: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     sets = written(_shingle_sets(texts, text), "shingles")
     near = _linked(pairs.unionByName(crowd_middles(crowd).distinct()), sets)
     near = written(near, "links")
-    groups = crowd_groups(crowd.select("sig", "key"), near, sets)
+    groups = crowd_groups(crowd.select("sig", "key"), near, sets, parts)
     return rows.join(groups, F.col("key") == F.col("node"), "left").select(
         id_column, "_hash", "key", F.coalesce("component", "key").alias("root")
     )

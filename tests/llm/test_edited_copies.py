@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from moodstream.llm import edited_copies as e
@@ -174,3 +176,34 @@ def test_compared_pairs_grow_with_the_family_not_its_square(spark, monkeypatch):
     root, _ = _brute_groups(dict(rows))
     assert all((got[i] == got[j]) == (root[i] == root[j]) for i in root for j in root)
     assert sum(compared[1:]) <= 2 * len(texts), compared  # of crowded buckets, beyond their middles
+
+
+def test_buckets_are_put_together_from_segments(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(60), rng.getrandbits(60)]
+    rows = [(key, *(part ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for part in base)) for key in range(60)]
+    classes = spark.createDataFrame(rows, "key long, fp0 long, fp1 long")
+    signed = e._signatures(classes)
+    parts = e.segments_of(signed.select("sig").distinct())
+    met = parts.join(e.segment_rows(classes, parts), "sig").select("bucket", "key", "fp0", "fp1")
+    assert sorted(met.collect()) == sorted(signed.select("sig", "key", "fp0", "fp1").collect())
+
+
+def test_a_crowded_row_is_taken_once_a_segment(spark, monkeypatch):
+    rows = list(enumerate(t for edits in (1, 2) for t in _family(random.Random(edits), 200, edits)))
+    taken, groups = [], e.crowd_groups
+    monkeypatch.setattr(e, "crowd_groups", lambda crowd, *more: taken.append(crowd.count()) or groups(crowd, *more))
+    got = {r.doc_id: r.root for r in e.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    root, _ = _brute_groups(dict(rows))
+    assert all((got[i] == got[j]) == (root[i] == root[j]) for i in root for j in root)
+    assert len(rows) < taken[0] <= 2 * e.SEGMENTS * len(rows), taken
+
+
+def test_a_bucket_over_several_batches_is_named_once(monkeypatch):
+    monkeypatch.setattr(e, "LARGE_BUCKET", 40)
+    rows = [(sig, key, key % 7, 0) for sig, size in ((3, 100), (4, 100), (5, 2)) for key in range(size)]
+    for step in (7, 50, 100, 300):
+        slices = [np.array(rows[low : low + step], np.int64).T for low in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in s], names=["sig", "key", "fp0", "fp1"]) for s in slices]
+        found = [r for b in e._buckets(iter(batches)) for r in b.to_pylist()]
+        assert sorted(r["sig"] for r in found if r["sig"] is not None) == [3, 4], step
