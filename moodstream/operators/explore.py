@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodstream.functions.text import histogram, ngrams, topic_tokens
 from moodstream.functions.wordlists import stop_words
+from moodstream.operators.topic_model import fit_topics
 from moodstream.operators.topics import word_rows
 from moodstream.session import written
 
@@ -71,25 +70,20 @@ def lda_topics(
     """``topic, rank, term, weight`` of a latent topic model over topic words.
 
     Every step of the fit sees all posts and every word of at least two posts, as counted first; the
-    driver holds these words and their weights.  ``vocabulary`` keeps the most frequent ones only.
+    driver holds these words, their weights stay on the executors.  ``vocabulary`` keeps the most
+    frequent ones only.
     """
     words = posts.select(topic_tokens(text, stop_words()).alias("_words"))
     if vocabulary is None:
         held = words.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").count()
         vocabulary = max(1, held.where("count >= 2").count())
-    counter = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary, minDF=2)
-    lda = LDA(k=topics, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0)
-    model = Pipeline(stages=[counter, lda]).fit(words)
-    names = model.stages[0].vocabulary
-    topic_rows = model.stages[1].describeTopics(terms)
-    shown = sorted({i for row in topic_rows.select("termIndices").collect() for i in row[0]})  # terms of each topic
-    listed = posts.sparkSession.createDataFrame([(i, names[i]) for i in shown], "index int, term string")
-    described = topic_rows.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")))
-    return (
-        described.select(
-            "topic", (F.col("pos") + 1).alias("rank"),
-            F.col("col.termIndices").alias("index"), F.col("col.termWeights").alias("weight"),
-        )
-        .join(F.broadcast(listed), "index")
-        .select("topic", "rank", "term", "weight")
-    )
+    counter = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary, minDF=2).fit(words)
+    names = counter.vocabulary
+    counted = counter.transform(words).select(F.unwrap_udt("features").alias("_f"))
+    counted = counted.select(F.col("_f.indices").alias("words"), F.col("_f.values").alias("n"))
+    best = Window.partitionBy("topic").orderBy(F.desc("weight"), "word")
+    ranked = fit_topics(counted, len(names), topics, iterations, seed).withColumn("rank", F.row_number().over(best))
+    ranked = written(ranked.where(F.col("rank") <= terms), "topic-terms")
+    shown = [row.word for row in ranked.select("word").distinct().collect()]  # terms of each topic
+    listed = posts.sparkSession.createDataFrame([(i, names[i]) for i in shown], "word int, term string")
+    return ranked.join(F.broadcast(listed), "word").select("topic", "rank", "term", "weight")

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from moodstream.operators import explore, learn, models
+from moodstream.operators import explore, learn, models, topic_model
 from moodstream.plans.analyze import analyze
 
 SMALL = learn.ForestSettings(trees=5, depth=4)
@@ -170,3 +170,75 @@ def test_node_statistics_leave_room_for_the_other_tasks(texts, monkeypatch):
     monkeypatch.setattr(learn, "RandomForestClassifier", lambda **options: asked.append(options) or forest(**options))
     learn.bootstrap_train(texts, SMALL)
     assert asked[0]["maxMemoryInMB"] <= 256  # four tasks of an executor hold a gigabyte at most
+
+
+def test_topic_weights_stay_off_the_driver(spark, monkeypatch):
+    import pyspark.ml.clustering
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def fail(*_):
+        raise AssertionError("the weights of all words meet on the driver")
+
+    monkeypatch.setattr(pyspark.ml.clustering.LDA, "_fit", fail)
+    collected, collect = [], DataFrame.collect
+
+    def counted(frame):
+        rows = collect(frame)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    names = ["planet" + "".join(chr(97 + int(d)) for d in f"{i:03d}") for i in range(400)]
+    rows = [(" ".join((names + names)[i * 10 : i * 10 + 20]),) for i in range(40)] + [("",)]
+    posts = spark.createDataFrame(rows, "text string")
+    assert len(explore.lda_topics(posts, topics=2, terms=3, iterations=2).collect()) == 6
+    assert 3 <= len(collected) and max(collected) <= 6
+
+
+@pytest.mark.parametrize("block", [5, 1 << 18])
+def test_topic_fit_against_plain_python(spark, monkeypatch, block):
+    monkeypatch.setattr(topic_model, "BLOCK", block)
+    posts = [([0, 1], [2.0, 1.0]), ([1, 2, 3], [1.0, 1.0, 4.0]), ([], []), ([4], [3.0]), ([0, 1], [2.0, 1.0])] * 3 + [([3], [900.0])]
+    names, topics, words, steps = ["t0", "t1", "t2"], 3, 6, 4  # no post holds the last word
+
+    def digamma(x, h=1e-4):
+        return (math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h)
+
+    def trigamma(x, h=1e-3):
+        return (math.lgamma(x + h) - 2 * math.lgamma(x) + math.lgamma(x - h)) / h**2
+
+    first = topic_model._first_weights(spark.range(words), names, 7).collect()
+    weights = {row.word: [row[c] for c in names] for row in first}
+    alpha, span = [1 / topics] * topics, range(topics)
+    for step in range(1, steps + 1):
+        rate = (1024 + step) ** -0.51
+        spread = [digamma(sum(w[t] for w in weights.values())) for t in span]
+        beta = {i: [math.exp(digamma(w[t]) - spread[t]) for t in span] for i, w in weights.items()}
+        added, logs = {i: [0.0] * topics for i in weights}, [0.0] * topics
+        for ids, n in posts:
+            gamma, moved = [*topic_model._draws(7, -step, topics)], 1.0
+            while ids:
+                own = [digamma(g) - digamma(sum(gamma)) for g in gamma]
+                theta = [math.exp(x) for x in own]
+                share = [m / sum(theta[t] * beta[i][t] for t in span) for i, m in zip(ids, n)]
+                if moved <= 1e-3:
+                    break
+                new = [alpha[t] + theta[t] * sum(s * beta[i][t] for i, s in zip(ids, share)) for t in span]
+                gamma, moved = new, sum(abs(a - b) for a, b in zip(new, gamma)) / topics
+            for t in span if ids else ():
+                logs[t] += own[t]
+                for i, s in zip(ids, share):
+                    added[i][t] += theta[t] * s * beta[i][t]
+        weights = {i: [(1 - rate) * w[t] + rate * (added[i][t] + 1 / topics) for t in span] for i, w in weights.items()}
+        held = sum(1 for ids, _ in posts if ids)
+        slope = [held * (digamma(sum(alpha)) - digamma(a) + x / held) for a, x in zip(alpha, logs)]
+        own = [-held * trigamma(a) for a in alpha]
+        shared = sum(x / q for x, q in zip(slope, own)) / (1 / (held * trigamma(sum(alpha))) + sum(1 / q for q in own))
+        moved = [a - rate * (x - shared) / q for a, x, q in zip(alpha, slope, own)]
+        alpha = moved if min(moved) > 0 else alpha
+    total = [sum(w[t] for w in weights.values()) for t in span]
+    counts = spark.createDataFrame(posts, "words array<int>, n array<double>")
+    got = topic_model.fit_topics(counts, words, topics, steps, 7).collect()
+    assert len(got) == words * topics
+    for row in got:
+        assert row.weight == pytest.approx(weights[row.word][row.topic] / total[row.topic], rel=1e-4)
