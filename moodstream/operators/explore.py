@@ -73,7 +73,8 @@ def lda_topics(
     driver holds these words, their weights stay on the executors.  ``vocabulary`` keeps the most
     frequent ones only.
     """
-    words = posts.select(topic_tokens(text, stop_words()).alias("_words"))
+    # Cutting the texts costs more than reading their words again.
+    words = written(posts.select(topic_tokens(text, stop_words()).alias("_words")), "words")
     if vocabulary is None:
         held = words.select(F.explode(F.array_distinct("_words")).alias("word")).groupBy("word").count()
         vocabulary = max(1, held.where("count >= 2").count())

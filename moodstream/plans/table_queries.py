@@ -886,8 +886,8 @@ def lda_topics(spark, folder):
     """Per topic: terms listed, terms that are words of the texts, falling weights."""
     listed = explore.lda_topics(_texts(spark, folder))
     listed = written(listed, "topics")
-    counted = F.explode(text.histogram(text.topic_tokens("text", stop_words()))).alias("c")
-    words = _texts(spark, folder).select(counted).groupBy(F.col("c.word").alias("term")).count()
+    held = F.explode(F.array_distinct(text.topic_tokens("text", stop_words()))).alias("term")
+    words = _texts(spark, folder).select(held).groupBy("term").count()
     known = listed.join(words.where("count >= 2"), "term", "left")
     order = Window.partitionBy("topic").orderBy("rank")
     falls = F.coalesce(F.lag("weight").over(order) >= F.col("weight"), F.lit(True))

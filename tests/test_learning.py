@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,60 @@ def test_topic_fit_against_plain_python(spark, monkeypatch, block):
     assert len(got) == words * topics
     for row in got:
         assert row.weight == pytest.approx(weights[row.word][row.topic] / total[row.topic], rel=1e-4)
+
+
+def _plain_pass(beta, at, n, lengths, alpha, gamma):
+    found = []
+    for own, m, mixture in zip(np.split(at, cuts := np.cumsum(lengths)[:-1]), np.split(n, cuts), gamma, strict=True):
+        theta = np.exp(topic_model._expected_logs(mixture[:, None])[:, 0])
+        found.append(alpha + theta * (beta[:, own] @ (m / (theta @ beta[:, own]))))
+    return np.array(found)
+
+
+def test_mixtures_of_alike_topics_need_few_passes(monkeypatch):
+    draw = np.random.default_rng(3)
+    lengths = np.array([40, 3, 400, 150, 1, 90])
+    at, n = draw.integers(0, 500, lengths.sum()), draw.integers(1, 3, lengths.sum()).astype(float)
+    beta, alpha, first = draw.gamma(100, 1 / 100, (4, 500)), np.full(4, 0.1), draw.gamma(100, 1 / 100, 4)
+    calls, logs = [], topic_model._expected_logs
+    monkeypatch.setattr(topic_model, "_expected_logs", lambda gamma: calls.append(1) or logs(gamma))
+    found = topic_model._mixtures(beta, at, n, lengths, alpha, first)
+    passes = len(calls)
+    plain, most = np.repeat(first[None], len(lengths), axis=0), 0
+    still = np.zeros(len(lengths), bool)
+    while not still.all():
+        moved = _plain_pass(beta, at, n, lengths, alpha, plain)
+        still |= np.abs(moved - plain).mean(axis=1) <= topic_model.STILL
+        plain, most = moved, most + 1
+    assert most > 500 > 2 * passes  # passes alone creep
+    again = _plain_pass(beta, at, n, lengths, alpha, found)
+    assert (np.abs(again - found).mean(axis=1) <= 2 * topic_model.STILL).all()
+    assert (found > 0).all() and found.sum(axis=1) == pytest.approx(0.4 + np.add.reduceat(n, np.cumsum(lengths) - lengths))
+
+
+def test_topic_fit_is_the_same_in_parts(spark, monkeypatch):
+    posts = [([0, 1], [2.0, 1.0]), ([1, 2, 3], [1.0, 1.0, 4.0]), ([6, 8], [3.0, 1.0]), ([5], [2.0])] * 4 + [([], [])]
+    counts = spark.createDataFrame(posts, "words array<int>, n array<double>")
+
+    def fitted(block, part):
+        monkeypatch.setattr(topic_model, "BLOCK", block)
+        monkeypatch.setattr(topic_model, "PART", part, raising=False)
+        return {(r.word, r.topic): r.weight for r in topic_model.fit_topics(counts, 9, 2, 3, 5).collect()}
+
+    whole = fitted(1 << 18, 1 << 14)
+    assert len(whole) == 18 and fitted(6, 2) == pytest.approx(whole)
+
+
+def test_words_of_posts_are_cut_once_for_the_topics(texts, monkeypatch):
+    labels, write = [], explore.written
+    monkeypatch.setattr(explore, "written", lambda frame, label: labels.append(label) or write(frame, label))
+    read = []
+
+    class Counter(explore.CountVectorizer):
+        def fit(self, words):
+            read.append(words._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(words)
+
+    monkeypatch.setattr(explore, "CountVectorizer", Counter)
+    assert explore.lda_topics(texts, topics=2, terms=3, iterations=1).count() == 6
+    assert labels[0] == "words" and "split(" not in read[0]
