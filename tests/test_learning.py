@@ -300,3 +300,39 @@ def test_words_of_posts_are_cut_once_for_the_topics(texts, monkeypatch):
     monkeypatch.setattr(explore, "CountVectorizer", Counter)
     assert explore.lda_topics(texts, topics=2, terms=3, iterations=1).count() == 6
     assert labels[0] == "words" and "split(" not in read[0]
+
+
+def test_texts_are_cut_once_for_the_forest(texts, monkeypatch):
+    read = []
+
+    class Weights(learn.IDF):
+        def fit(self, counted):
+            read.append((counted.columns, counted.count()))
+            return super().fit(counted)
+
+    monkeypatch.setattr(learn, "IDF", Weights)
+    model = learn.bootstrap_train(texts, SMALL)
+    assert read == [(["_counts", "label"], 36)]
+    kinds = [type(stage).__name__.removesuffix("Model") for stage in model.stages]
+    assert kinds[4:] == ["CountVectorizer", "IDF", "Normalizer", "StringIndexer", "RandomForestClassification"]
+
+
+def test_forest_queries_use_all_cores(spark, tmp_path, monkeypatch):
+    from moodstream.plans.table_queries import QUERIES
+
+    rows = [(i if i % 10 else 7, f"{['good great', 'awful bad', 'plain'][i % 3]} day number {i % 5}") for i in range(30)] + [(None, "lost")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(i, int(i % 3 == 0), int(i % 3 == 1)) for i in range(20)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    sizes, train, predict = [], learn.train, learn.predict
+
+    def spread(rows, *_):
+        sizes.append([part for part in rows.rdd.glom().map(len).collect() if part])
+
+    monkeypatch.setattr(learn, "train", lambda rows, **options: spread(rows) or train(rows, SMALL, **options))
+    monkeypatch.setattr(learn, "predict", lambda model, texts, *a, **k: spread(texts) or predict(model, texts, *a, **k))
+    got = QUERIES["rf_reload"](spark, str(tmp_path)).collect()
+    ids = [i for i, _ in rows if i is not None]
+    assert sorted(r.doc_id for r in got) == sorted(i for i in ids for _ in range(ids.count(i)))
+    assert all(r.same for r in got if r.doc_id != 7) and {r.same for r in got} == {True, False}
+    assert len(sizes) == 3 and all(len(parts) >= 4 for parts in sizes)
